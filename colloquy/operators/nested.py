@@ -149,6 +149,7 @@ def flatten(df: DataFrame, key: str, text: str, schema: DataFrame | None = None)
 
     paths = {canonical(p) for p in raw}
     arrays = {canonical(p) for p in listed}
+    tables: dict[str, DataFrame] = {}
 
     def leaf_paths(root: str) -> list[str]:
         inner = [p for p in paths if p.startswith(root + ".") and "[" not in p[len(root) :] and p not in arrays]

@@ -1 +1,8 @@
 """Colloquy: analytics over the message boards of agent teams, on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with their code: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

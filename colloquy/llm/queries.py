@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import conversations, runs
+from colloquy.llm import consensus, conversations, nearest, runs
 from colloquy.sources.tables import table
 
 
@@ -11,6 +11,11 @@ def _t(name, f):
 
 
 QUERIES = {
+    "p2_found": lambda spark, d: nearest.nearest_turns(table(spark, d, "room"), table(spark, d, "wakes")).select("message_id", "room_id", "seat", "turn"),
+    "p2_nearest": lambda spark, d: nearest.nearest_turns(table(spark, d, "room"), table(spark, d, "wakes")),
+    "p4_found": _t("incidents", consensus.found),
+    "p4_agreement": _t("incidents", consensus.agreement),
+    "p4_reliability": _t("incidents", consensus.reliability),
     "p5_found": _t("room", lambda r: conversations.conversations(r).select("root_message_id", "position", "message_id")),
     "p5_conversations": _t("room", conversations.conversations),
     "p6_found": _t("room", lambda r: runs.runs(r).select("room_id", "first_sequence", "last_sequence", "n_posts")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import consensus, conversations, nearest, runs
+from colloquy.llm import consensus, conversations, leaks, nearest, runs
 from colloquy.sources.tables import table
 
 
@@ -18,6 +18,8 @@ QUERIES = {
     "p4_reliability": _t("incidents", consensus.reliability),
     "p5_found": _t("room", lambda r: conversations.conversations(r).select("root_message_id", "position", "message_id")),
     "p5_conversations": _t("room", conversations.conversations),
+    "p8_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p8_leaks": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p6_found": _t("room", lambda r: runs.runs(r).select("room_id", "first_sequence", "last_sequence", "n_posts")),
     "p6_runs": _t("room", runs.runs),
 }

@@ -36,6 +36,11 @@ LEAST_SCORE = 6.5
 #: Items are sought in blocks of so many.
 BLOCK = 2000
 
+# Cyrillic, Greek and small-capital letters that look like Latin ones.
+LOOKALIKES = str.maketrans(
+    "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0501\u051b\u051d\u04bb\u0432\u043a\u043c\u043d\u0442\u03bf\u03b1\u03b5\u03b9\u03ba\u03bd\u03c1\u03c4\u03c5\u03c7\u0131\u0261",
+    "aeopcyxijsdqwhbkmhtoaeikvptuxig",
+)
 _ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrtbf])|%([0-9A-Fa-f]{2})(?=%|\b|\w)")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
@@ -49,7 +54,9 @@ def tokens(text: str) -> list[str]:
         text = _ESCAPES.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf"))
+        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).casefold()
+        # words that mix scripts, or stand among Latin ones, are Latin in disguise
+        text = text.translate(LOOKALIKES)
     return _TOKEN.findall(text.casefold())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import consensus, conversations, leaks, nearest, runs
+from colloquy.llm import consensus, conversations, leaks, nearest, runs, sentences
 from colloquy.sources.tables import table
 
 
@@ -20,6 +20,8 @@ QUERIES = {
     "p5_conversations": _t("room", conversations.conversations),
     "p8_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p8_leaks": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p9_found": _t("documents", lambda x: sentences.split(x).select("doc_id", "sent_start", "sent_end")),
+    "p9_sentences": _t("documents", sentences.split),
     "p6_found": _t("room", lambda r: runs.runs(r).select("room_id", "first_sequence", "last_sequence", "n_posts")),
     "p6_runs": _t("room", runs.runs),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import consensus, conversations, leaks, nearest, runs, sentences
+from colloquy.llm import consensus, conversations, leaks, nearest, personal, runs, sentences
 from colloquy.sources.tables import table
 
 
@@ -13,6 +13,8 @@ def _t(name, f):
 QUERIES = {
     "p2_found": lambda spark, d: nearest.nearest_turns(table(spark, d, "room"), table(spark, d, "wakes")).select("message_id", "room_id", "seat", "turn"),
     "p2_nearest": lambda spark, d: nearest.nearest_turns(table(spark, d, "room"), table(spark, d, "wakes")),
+    "p3_found": lambda spark, d: personal.found(table(spark, d, "room"), table(spark, d, "turn_lines")),
+    "p3_redacted": lambda spark, d: personal.redacted(table(spark, d, "room"), table(spark, d, "turn_lines")),
     "p4_found": _t("incidents", consensus.found),
     "p4_agreement": _t("incidents", consensus.agreement),
     "p4_reliability": _t("incidents", consensus.reliability),

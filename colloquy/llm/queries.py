@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import consensus, conversations, leaks, nearest, personal, runs, sentences
+from colloquy.llm import consensus, conversations, leaks, nearest, packing, personal, runs, sentences
 from colloquy.sources.tables import table
 
 
@@ -20,6 +20,8 @@ QUERIES = {
     "p4_reliability": _t("incidents", consensus.reliability),
     "p5_found": _t("room", lambda r: conversations.conversations(r).select("root_message_id", "position", "message_id")),
     "p5_conversations": _t("room", conversations.conversations),
+    "p7_containers": _t("documents", packing.containers),
+    "p7_summary": _t("documents", packing.summary),
     "p8_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p8_leaks": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p9_found": _t("documents", lambda x: sentences.split(x).select("doc_id", "sent_start", "sent_end")),

@@ -47,6 +47,11 @@ def posts(room: DataFrame) -> DataFrame:
     return out.select("id", *cols, "seat", "at_ms")
 
 
+def posts_numbers(room: DataFrame) -> DataFrame:
+    """``r_room, r_id, r_seq``: the number of every post, to resolve references by id."""
+    return room.where("id is not null").groupBy(F.col("room_id").alias("r_room"), F.col("id").alias("r_id")).agg(F.min("sequence").alias("r_seq"))
+
+
 def wakes(raw: DataFrame) -> DataFrame:
     """One row per ``(room_id, seat, turn)`` with ``start_ms`` and ``end_ms``; repeated rows give the known times of any of them."""
     w = raw.select("*", seat_name(F.col("seat")).alias("_seat"), epoch_ms(F.col("started_at")).alias("start_ms"), epoch_ms(F.col("ended_at")).alias("end_ms"))

@@ -111,7 +111,9 @@ def _round(rows: DataFrame, limits: Limits, blocks: int, label: str) -> DataFram
         return pdf.drop(columns="block")
 
     schema = "doc_id bigint, chunk_no bigint, token_start bigint, token_end bigint, n_tokens bigint, loss_tokens bigint, container_id string"
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(blocks))).groupBy("block").applyInPandas(run, schema)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(blocks)))
+    # a block's work is far larger than its bytes: with a number of its own the partitioning isn't coalesced
+    return dealt.repartition(2 * blocks, "block").groupBy("block").applyInPandas(run, schema)
 
 
 def containers(docs: DataFrame, limits: Limits = Limits(), tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.pointers import jump
 from colloquy.operators.ordered import position
+from colloquy.session import cut
 from colloquy.sources.tables import is_blank, posts
 
 
@@ -16,7 +17,8 @@ def links(room: DataFrame) -> DataFrame:
     A reference by id counts before one by number. A reference by number is looked up on the post's own board.
     Null content or sender are kept as they are; repeated deliveries are one post.
     """
-    p = posts(room).select("id", "room_id", "sequence", "seat", "content", "at_ms", "type", F.col("sender.kind").alias("sender_kind"), "reply_to_message_id", "reply_to_sequence")
+    # written once: it is read for both kinds of reference, for the nodes and for the result
+    p = cut(posts(room).select("id", "room_id", "sequence", "seat", "content", "at_ms", F.col("sender.kind").alias("sender_kind"), is_blank(F.col("content")).alias("blank"), "reply_to_message_id", "reply_to_sequence"))
     known = p.select(F.col("id").alias("t_id"), F.col("room_id").alias("t_room"), F.col("sequence").alias("t_seq"))
     by_id = p.where("reply_to_message_id is not null").join(known, F.col("reply_to_message_id") == F.col("t_id"))
     by_no = p.where("reply_to_message_id is null and reply_to_sequence is not null").join(known, (F.col("room_id") == F.col("t_room")) & (F.col("reply_to_sequence") == F.col("t_seq")))
@@ -34,7 +36,7 @@ def conversations(room: DataFrame) -> DataFrame:
     whose speaker is unknown counts for no speaker. ``role`` is ``author`` for the root's speaker, ``runner`` for a
     runner's notice, else ``participant``.
     """
-    p = links(room).withColumn("blank", is_blank(F.col("content")))
+    p = cut(links(room))
     # a root without children is a conversation of one speaker: only roots that are somebody's parent matter
     parents = p.where("parent is not null").select(F.col("parent").alias("id")).distinct()
     nodes = p.where("parent is not null or is_root or broken").select("id", F.col("parent").alias("_p"), "is_root", "broken")

@@ -5,7 +5,7 @@ Every relation carries ``room``. Fields that a source doesn't show are null, nev
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, replace  # noqa: F401
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,23 +179,36 @@ def link_posts(ops: DataFrame, posts: DataFrame) -> DataFrame:
     return shaped(said.unionByName(ops.where("posted_id is null"), allowMissingColumns=True), "ops")
 
 
-def from_tables(spark, sf_dir: str) -> Board:
-    """The boards of the table source."""
-    t = lambda n: tables.table(spark, sf_dir, n)
-    nested._allow_repeated_keys(t("turn_lines"))
-    room, runs = t("room"), tables.episodes(t("episodes"))
-    p = posts(room, runs)
+def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame, checks: DataFrame, wakes: DataFrame) -> Board:
+    """A board of raw relations in the shape of the tables; where a room lists no seats, its senders are its seats."""
+    nested.allow_repeated_keys(turn_lines)
+    p = posts(room, episodes)
     return Board(
-        rooms=rooms(p, runs),
-        seats=seats(runs),
+        rooms=rooms(p, episodes),
+        seats=all_seats(room, episodes, p),
         posts=p,
-        artifacts=empty(spark, "artifacts"),
-        ops=link_posts(actions(t("turn_lines")), p),
-        checks=shaped(tables.checks(t("checks")).withColumnRenamed("room_id", "room"), "checks"),
-        wakes=shaped(tables.wakes(t("wakes")).withColumnRenamed("room_id", "room").withColumnRenamed("seat", "who"), "wakes"),
+        artifacts=empty(room.sparkSession, "artifacts"),
+        ops=link_posts(actions(turn_lines), p),
+        checks=shaped(tables.checks(checks).withColumnRenamed("room_id", "room"), "checks"),
+        wakes=shaped(tables.wakes(wakes).withColumnRenamed("room_id", "room").withColumnRenamed("seat", "who"), "wakes"),
     )
 
 
+def all_seats(room: DataFrame, episodes: DataFrame, posts: DataFrame) -> DataFrame:
+    """The listed seats; of a room without any, the agents that post there, joined with their first post; with their principals."""
+    listed = seats(episodes)
+    senders = agent_posts(posts).join(listed.select("room").distinct(), "room", "left_anti").groupBy("room", "who").agg(F.min_by("created_at", "seq").alias("joined_at"), F.min("seq").cast("int").alias("ord"))
+    member = tables.posts(room).groupBy(F.col("room_id").alias("room"), F.col("seat").alias("who")).agg(F.min(F.coalesce("sender_instance_id", "sender.member_id")).alias("member_id"))
+    found = shaped(senders.join(member, ["room", "who"], "left"), "seats")
+    return principals(room, listed.unionByName(found))
+
+
+def from_tables(spark, sf_dir: str) -> Board:
+    """The boards of the table source."""
+    t = lambda n: tables.table(spark, sf_dir, n)
+    return from_relations(t("room"), tables.episodes(t("episodes")), t("turn_lines"), t("checks"), t("wakes"))
+
+
 def rooms(posts: DataFrame, episodes: DataFrame) -> DataFrame:
     """One row per room, of its latest run; the kind is ``goal-run`` where seats are listed."""
     last = F.struct(F.coalesce("goal.sequence", F.lit(0)), F.col("goal.message_id"))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from colloquy.functions.json_values import MAP, as_text, decoded, entries, field, is_text, strict_json, whole_number
 
 
-def _allow_repeated_keys(df: DataFrame) -> DataFrame:
+def allow_repeated_keys(df: DataFrame) -> DataFrame:
+    """Let the session's JSON parser take objects that repeat a key."""
     # a repeated key is valid JSON; its last value counts
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return df
@@ -24,7 +25,7 @@ def _allow_repeated_keys(df: DataFrame) -> DataFrame:
 
 def parse_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row ``key, value VARIANT`` for each distinct key whose text is valid JSON; null, empty and broken texts give none."""
-    one = _allow_repeated_keys(df).select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
+    one = allow_repeated_keys(df).select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and _text is not null")
     one = one.dropDuplicates(["_key"]).select(F.col("_key").alias(key), strict_json(F.col("_text")).alias("value"))
     return one.where(F.col("value").isNotNull())
 

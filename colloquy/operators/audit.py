@@ -60,8 +60,8 @@ KEY = ["room", "trace_digest", "sort_key"]
 
 def check_labels(rows: DataFrame) -> DataFrame:
     """Problems of a rater's file: edited fixed fields, wrong schema, labels outside the choices, labels both given and uncertain, repeats."""
-    twice = F.count("*").over(Window.partitionBy("sample_id")) > 1
-    p = rows.select("sample_id", F.explode(F.array(
+    twice = F.col("_n") > 1
+    p = rows.withColumn("_n", F.count("*").over(Window.partitionBy("sample_id"))).select("sample_id", F.explode(F.array(
         F.when(F.coalesce(F.col("schema") != SCHEMA_TAG, F.lit(True)), "wrong schema"),
         F.when(F.coalesce(digest(*FIXED) != F.col("digest"), F.lit(True)), "a fixed field was edited"),
         F.when(F.col("labels").isNull() | F.col("uncertain").isNull(), "labels and uncertain must be lists"),

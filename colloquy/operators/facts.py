@@ -44,7 +44,7 @@ def before_posts(ops: DataFrame, links: DataFrame) -> DataFrame:
     """For each linked post, what its seat had done before the posting command: ``looks, runs, last_work`` (code and command).
 
     Running maxima over the seat's stream of actions: the last look (a file change, or work that exited 0), the last run of a test or a
-    program, the last work command; null where there was none.
+    program, the last work command; false or null where there was none.
     """
     command = F.coalesce("command", F.lit(""))
     work = is_work(F.col("kind"), command)
@@ -53,7 +53,7 @@ def before_posts(ops: DataFrame, links: DataFrame) -> DataFrame:
     o = running_max(o, key, "at", F.struct(F.coalesce("look", F.lit(-1)).alias("look")), "l", width=TURN_WIDTH)
     o = running_max(o, key, "at", F.struct(F.coalesce("run", F.lit(-1)).alias("run")), "r", width=TURN_WIDTH)
     o = running_max(o, key, "at", F.col("work"), "w", width=TURN_WIDTH)
-    o = o.select("room", "who", "turn", "i", (F.col("l.look") >= 0).alias("looks"), (F.col("r.run") >= 0).alias("runs"), F.col("w.code").alias("last_code"), F.col("w.command").alias("last_command"))
+    o = o.select("room", "who", "turn", "i", F.coalesce(F.col("l.look") >= 0, F.lit(False)).alias("looks"), F.coalesce(F.col("r.run") >= 0, F.lit(False)).alias("runs"), F.col("w.code").alias("last_code"), F.col("w.command").alias("last_command"))
     return links.join(o, ["room", "who", "turn", "i"])
 
 

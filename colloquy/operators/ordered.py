@@ -51,14 +51,13 @@ def previous(df: DataFrame, keys: list[str], order: str, value: list[str], prefi
 def running_max(df: DataFrame, keys: list[str], order: str, value: Column, out: str, inclusive: bool = False, width: int = RANGE) -> DataFrame:
     """``df`` with the greatest ``value`` of the rows before in its group (and of its own row, if inclusive); nulls are passed over.
 
-    With a struct that starts with the order column this is the last value. Ranges carry their greatest value on.
+    With a struct that starts with the order column this is the last value. Ranges of the order column carry their greatest value on.
     """
     cut = _cut(df, order, width).withColumn("_v", value)
-    high = cut.where("_v is not null").groupBy(*keys, "_range").agg(F.max("_v").alias("_m"))
-    every = cut.select(*keys, "_range").distinct().join(high, [*keys, "_range"], "left")
+    high = cut.groupBy(*keys, "_range").agg(F.max("_v").alias("_m"))
     upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.max("_m").over(upto).alias("_carried"))
+    carried = high.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.max("_m").over(upto).alias("_carried"))
     within = Window.partitionBy(*keys, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     rows = cut.withColumn("_w", F.max("_v").over(within))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range").eqNullSafe(F.col("_r"))]
-    return rows.join(carried, on).select(*df.columns, F.coalesce("_w", "_carried").alias(out))
+    return rows.join(carried, on).select(*df.columns, F.greatest("_w", "_carried").alias(out))

@@ -63,7 +63,7 @@ ORACLE = {
       JOIN (SELECT incident_id, min(class) AS cb FROM lab WHERE record = 'B' AND class IS NOT NULL GROUP BY ALL) b USING (incident_id)),
       g AS (SELECT k AS class, count(*) AS n, count_if(ca = k) AS pa, count_if(cb = k) AS pb, count_if(ca = k AND cb = k) AS ab FROM j, (SELECT unnest(['unsaid', 'unreceived', 'misread', 'disagreement', 'ungrounded', 'stalled']) AS k) GROUP BY k)
       SELECT class, n AS decisions, pa AS positives_a, pb AS positives_b,
-        round(((ab + n - pa - pb + ab) / n - (pa * pb + (n - pa) * (n - pb)) / (n * n)) / (1 - (pa * pb + (n - pa) * (n - pb)) / (n * n)), 4) AS kappa FROM g""",
+        round(((ab + n - pa - pb + ab) / n - (pa * pb + (n - pa) * (n - pb)) / (n * n)) / nullif(1 - (pa * pb + (n - pa) * (n - pb)) / (n * n), 0), 4) AS kappa FROM g""",
     "incident_candidates": f"WITH {_REC} SELECT room, a, b, CASE WHEN same THEN 1 + j ELSE j END AS score FROM cand WHERE same OR j >= 0.5",
     "timeline": f"""WITH {POSTS}, {WAKES}, cut AS (SELECT room_id AS room, {seat("seat")} AS who, turn, min(cut_by_end) AS c FROM wakes GROUP BY ALL)
       SELECT room, at_ms, CASE WHEN role = 'goal' THEN 0 ELSE 1 END AS rank, 'P' || seq || ' ' || who || ': ' || text AS line FROM posts

@@ -31,9 +31,10 @@ def read_posts(spark: SparkSession, sf_dir: str, name: str = "room") -> DataFram
 
 
 def timed(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """Posts with a usable time as ``ts``, a watermark on it, and one row per id within it."""
+    """Posts with a usable time as ``ts``, a watermark on it, and one row per id within it (of a batch: one row per id)."""
     p = stream.select(F.col("room_id").alias("room"), "id", F.col("sequence").alias("seq"), seat_name(F.col("sender.name")).alias("who"), F.coalesce("content", F.lit("")).alias("text"), event_time(F.col("created_at")).alias("ts"))
-    return p.where("ts is not null and id is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    p = p.where("ts is not null and id is not null")
+    return p.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"]) if p.isStreaming else p.dropDuplicates(["id"])
 
 
 def hourly_acts(posts: DataFrame) -> DataFrame:

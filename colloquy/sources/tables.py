@@ -26,8 +26,10 @@ def seat_name(name: Column) -> Column:
     return F.when(t != "", t)
 
 
-def posts(room: DataFrame) -> DataFrame:
-    """One row per post ``id``, with ``seat`` and ``at_ms``.
+def posts(room: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per post ``id``, with ``seat`` and ``at_ms``; of the other columns those in ``keep`` (all, if none are named).
+
+    What isn't kept isn't shuffled: name what a query needs.
 
     Repeated deliveries become one row: the first received, with the first usable ``created_at`` among them. A missing
     sender name is the name under which the same ``sender_instance_id`` posts on that board most often (ties: the first
@@ -35,7 +37,8 @@ def posts(room: DataFrame) -> DataFrame:
     """
     r = room.where("id is not null").select("*", epoch_ms(F.col("created_at")).alias("_ms"), seat_name(F.col("sender.name")).alias("_seat"))
     order = F.struct(F.col("received_at"), F.col("created_at"))
-    cols = [c for c in room.columns if c != "id"]
+    kept = [c for c in room.columns if c != "id" and (keep is None or c in keep)]
+    cols = kept + [c for c in ("room_id", "sender_instance_id") if c not in kept]
     one = r.groupBy("id").agg(F.min_by(F.struct(*cols), order).alias("_r"), F.min_by("_ms", F.when(F.col("_ms").isNotNull(), order)).alias("at_ms"), F.max("_seat").alias("_seat"))
     one = one.select("id", *(F.col("_r")[c].alias(c) for c in cols), "at_ms", "_seat")
     # names seen per instance: two counts, so a busy instance is pre-aggregated before the shuffle
@@ -44,7 +47,7 @@ def posts(room: DataFrame) -> DataFrame:
     missing = one.where("_seat is null").join(named, ["room_id", "sender_instance_id"], "left").withColumn("_seat", F.col("_name"))
     names = missing.select("id", F.col("_seat").alias("_found"))
     out = one.join(names, "id", "left").select("*", F.coalesce("_seat", "_found").alias("seat"))
-    return out.select("id", *cols, "seat", "at_ms")
+    return out.select("id", *kept, "seat", "at_ms")
 
 
 def posts_numbers(room: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def nearest_turns(room: DataFrame, raw_wakes: DataFrame, tolerance_ms: int = TOL
 
     Posts without a usable time, a seat or a board match nothing. Of turns at the same distance the lowest counts.
     """
-    p = posts(room).where("at_ms is not null and seat is not null and room_id is not null").select(F.col("id").alias("message_id"), "room_id", "seat", F.col("at_ms").alias("t"))
+    p = posts(room, ["room_id"]).where("at_ms is not null and seat is not null and room_id is not null").select(F.col("id").alias("message_id"), "room_id", "seat", F.col("at_ms").alias("t"))
     turns = wakes(raw_wakes)
     index = turn_index(turns, tolerance_ms)
     # a post looks into one shard of every level; only long turns are above level 0

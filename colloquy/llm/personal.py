@@ -55,7 +55,7 @@ _ADDRESS = re.compile(
     r"|(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte[rs]?|Neue[rs]?) )?\p{Lu}\p{Ll}+ \d{1,4}[a-z]?, \d{5} \p{Lu}\p{Ll}+"
     r"|\b(?:Calle|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carrera|Rua|Via|Viale|Piazza)\s(?:(?:de|del|la|las|los|el|da|do|di)\s)*\p{Lu}[\p{L}'’]+(?: \p{L}+){0,3},? (?:n\.?º ?)?\d{1,4}(?:, \d{1,2}º(?: ?[A-Z])?)?"
     r"|(?<![\w.])\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) (?:(?:de|du|des|la|le|les) |[ld]['’])*\p{Lu}[\p{L}'’-]+"
-    r"|[\p{Han}]{2,}?(?:路|街|巷|道|胡同|弄)\d{1,5}号(?:\d+(?:单元|楼|栋|室|层))*"
+    r"|[\p{Han}]{2,12}?(?:路|街|巷|道|胡同|弄)\d{1,5}号(?:\d+(?:单元|楼|栋|室|层))*"
 )
 _CAP = r"\p{Lu}[\p{Ll}'’]*\p{Ll}(?:-\p{Lu}\p{Ll}+)*"
 _CAPS = r"\p{Lu}[\p{Lu}'’]+\p{Lu}(?:-\p{Lu}{2,})*"

@@ -61,6 +61,9 @@ _MARK = regex.compile(
 _CLOSE = regex.compile(r"(?:[\p{SB=Close}’'\"*_](?<![(\[{（［【「『《〈“„«‹]))*")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*$")
 _NAME = regex.compile(r"[\p{Ll}]+-\d|`|\p{Lu}|\p{Lt}|[\"“„«‹‘¿¡(\[]|\d|[#*]")
+_TICKS, _LOW_CLOSE, _GAP = regex.compile("`+"), regex.compile("[“”]"), regex.compile(r"\s*")
+#: The longest quotation or bracket that can stand within a sentence.
+REACH = 2000
 _UNSPACED = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}]")
 
 
@@ -150,27 +153,21 @@ def _stops(t: str, start: int, end: int, after: int) -> bool:
 
 
 def _partner(t: str, at: int) -> int:
-    """Where the quotation, bracket or code span opened at ``at`` closes (its end), or -1."""
-    c = t[at]
-    if c == "`":
-        n = len(t[at:]) - len(t[at:].lstrip("`"))
-        close = t.find("`" * n, at + n)
-        return close + n if close > 0 else -1
-    if c == '"':
-        close = t.find('"', at + 1)
-        return close + 1 if close > 0 else -1
-    want, depth, i = _OPEN[c], 0, at + 1
+    """Where the quotation, bracket or code span opened at ``at`` closes (its end), or -1; longer ones than ``REACH`` aren't one."""
+    c, stop = t[at], at + REACH
+    if c in "`\"":
+        mark = _TICKS.match(t, at)[0] if c == "`" else c
+        close = t.find(mark, at + len(mark), stop)
+        return close + len(mark) if close > 0 else -1
     if c == "„":  # closes with either mark
-        m = regex.compile("[“”]").search(t, i)
+        m = _LOW_CLOSE.search(t, at + 1, stop)
         return m.end() if m else -1
-    while i < len(t):
-        if t[i] == want:
-            if depth == 0:
-                return i + 1
-            depth -= 1
-        elif t[i] == c:
-            depth += 1
-        i += 1
+    want, depth, i = _OPEN[c], 0, at + 1
+    while (close := t.find(want, i, stop)) >= 0:
+        depth += t.count(c, i, close)
+        if depth == 0:
+            return close + 1
+        depth, i = depth - 1, close + 1
     return -1
 
 
@@ -204,7 +201,7 @@ def sentences(t: str) -> Iterator[tuple[int, int]]:
         after = _CLOSE.match(t, close).end()
         rest = t[after : after + 60]
         ahead = rest.lstrip()
-        alone = not t[start : m.start()].strip()
+        alone = _GAP.match(t, start).end() >= m.start()
         if c not in _QUOTES:
             # a bracket with whole sentences is one only where nothing stands before it
             stop = alone and bool(rest[:1].isspace() or not ahead) and (not ahead or regex.match(r"\p{Lu}|\p{Lo}|[\"“„«]", ahead) is not None)
@@ -214,7 +211,7 @@ def sentences(t: str) -> Iterator[tuple[int, int]]:
             stop = False
         elif not rest[0].isspace():
             stop = False  # scripts without spaces: words right after a quotation go on with it
-        elif t[: m.start()].rstrip().endswith((":", "：")):
+        elif t[max(0, m.start() - 20) : m.start()].rstrip().endswith((":", "：")):
             stop = True  # what was announced has been said
         else:
             # words in lower case go on; a name, a capital, or a script without case begins anew

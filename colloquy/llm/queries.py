@@ -18,7 +18,7 @@ QUERIES = {
     "p4_found": _t("incidents", consensus.found),
     "p4_agreement": _t("incidents", consensus.agreement),
     "p4_reliability": _t("incidents", consensus.reliability),
-    "p5_found": _t("room", lambda r: conversations.conversations(r).select("root_message_id", "position", "message_id")),
+    "p5_found": _t("room", lambda r: conversations.conversations(r, ()).select("root_message_id", "position", "message_id")),
     "p5_conversations": _t("room", conversations.conversations),
     "p7_containers": _t("documents", packing.containers),
     "p7_summary": _t("documents", packing.summary),

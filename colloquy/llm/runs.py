@@ -62,7 +62,7 @@ def slips(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def matched(room: DataFrame) -> DataFrame:
     """Every post with ``prev_id`` and ``same``: whether it says the same as the post before of its seat on its board."""
-    p = posts(room).where("room_id is not null and sequence is not null and seat is not null").select("id", "room_id", "seat", "sequence", "at_ms", is_blank(F.col("content")).alias("blank"), wording(F.col("content")).alias("words"), F.col("content"))
+    p = posts(room, ["room_id", "sequence", "content"]).where("room_id is not null and sequence is not null and seat is not null").select("id", "room_id", "seat", "sequence", "at_ms", is_blank(F.col("content")).alias("blank"), wording(F.col("content")).alias("words"), F.col("content"))
     # a post of numbers or symbols alone has no words: its own text is its wording
     p = p.withColumn("words", F.when(~F.col("blank") & (F.size("words") == 0), F.array(F.regexp_replace(F.lower("content"), r"\s+", ""))).otherwise(F.col("words"))).drop("content")
     p = cut(p)

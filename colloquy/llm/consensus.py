@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.session import cut
@@ -85,10 +85,10 @@ def _softmax(scores: Column) -> Column:
     return F.transform(e, lambda s: F.struct(s["k"].alias("k"), (s["p"] / total).alias("p")))
 
 
-def _combine(v: DataFrame, weights: DataFrame, priors: DataFrame) -> DataFrame:
-    """``incident_id, field, post``: the consensus as probabilities; ``weights``: ``field, annotator, label, k, w``."""
-    s = v.join(weights, ["field", "annotator", "label"]).groupBy("incident_id", "field", "k").agg(F.sum("w").alias("w"))
-    s = s.join(priors, ["field", "k"]).groupBy("incident_id", "field").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("w") + F.log("pi")).alias("s")))).alias("scores"))
+def _combine(v: DataFrame, weights: DataFrame) -> DataFrame:
+    """``incident_id, field, post``: the consensus as probabilities; ``weights``: ``field, annotator, label, k, w, pi``."""
+    s = v.join(weights, ["field", "annotator", "label"]).groupBy("incident_id", "field", "k").agg((F.sum("w") + F.log(F.max("pi"))).alias("s"))
+    s = s.groupBy("incident_id", "field").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("scores"))
     return s.select("incident_id", "field", _softmax(F.col("scores")).alias("post"))
 
 
@@ -96,27 +96,21 @@ def consensus(incidents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     """The consensus (``incident_id, field, post``), the votes it rests on, and the strengths by triplets.
 
     Empty input, or incidents that fewer than three annotators labelled usably, give no row. Equal probabilities go to the
-    value that is first in order. The tables joined to the votes have one row per annotator, label and value: they do not grow with the rows.
+    value that is last in order. The tables joined to the votes have one row per annotator, label and value: they do not grow with the rows.
     """
     v = cut(votes(incidents))
     st = cut(strengths(v))
-    priors = st.select("field", F.col("label").alias("k"), F.col("prior").alias("pi")).distinct()
-    # a vote for l speaks for l by its likelihood ratio, and against the others' votes
-    m = st.select("field", "annotator", F.col("label").alias("k"), "sens", "fpr")
+    # a vote for l speaks for l by its likelihood ratio, and against the others
+    m = st.select("field", "annotator", F.col("label").alias("k"), "sens", "fpr", F.col("prior").alias("pi"))
     each = st.select("field", "annotator", "label").join(m, ["field", "annotator"])
     ratio = F.when(F.col("label") == F.col("k"), F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
-    post = cut(_combine(v, each.select("field", "annotator", "label", "k", ratio.alias("w")), priors))
+    post = cut(_combine(v, each.select("field", "annotator", "label", "k", ratio.alias("w"), "pi")))
+    over = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))  # noqa: E731  (over the table of confusions)
     for _ in range(rounds):
         seen = v.join(post, ["incident_id", "field"]).select("field", "annotator", "label", F.explode("post").alias("x")).groupBy("field", "annotator", "label", F.col("x.k").alias("k")).agg(F.sum("x.p").alias("n"))
-        seen = cut(seen)
-        pooled = seen.groupBy("field", "label", "k").agg(F.sum("n").alias("n"))
-        pooled = pooled.join(pooled.groupBy("field", "k").agg(F.sum("n").alias("t")), ["field", "k"]).select("field", "label", "k", (F.col("n") / F.col("t")).alias("share"))
-        total = seen.groupBy("field", "annotator", "k").agg(F.sum("n").alias("t"))
-        w = seen.join(pooled, ["field", "label", "k"]).join(total, ["field", "annotator", "k"])
-        w = w.select("field", "annotator", "label", "k", F.log((F.col("n") + PRIOR * F.col("share") + 1e-6) / (F.col("t") + PRIOR + 6e-6)).alias("w"))
-        mass = seen.groupBy("field", "k").agg(F.sum("n").alias("n"))
-        pi = mass.join(mass.groupBy("field").agg(F.sum("n").alias("t")), "field").select("field", "k", (F.col("n") / F.col("t")).alias("pi"))
-        post = cut(_combine(v, w, pi))
+        share = over("field", "label", "k") / over("field", "k")
+        weight = F.log((F.col("n") + PRIOR * share + 1e-6) / (over("field", "annotator", "k") + PRIOR + 6e-6))
+        post = cut(_combine(v, seen.select("field", "annotator", "label", "k", weight.alias("w"), (over("field", "k") / over("field")).alias("pi"))))
     return post, v, st
 
 

@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 RANGE = 4096
 
 
-def _cut(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_range", F.floor(F.col(order) / width).cast("bigint"))
+def _cut(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """``df`` with ``_part``, the row's group and range in one value: all steps share one partitioning, and null keys are equal."""
+    return df.withColumn("_part", F.struct(*keys, F.floor(F.col(order) / width).cast("bigint").alias("_range")))
+
+
+def _before(keys: list[str]):
+    return Window.partitionBy(*(F.col(f"_part.{k}") for k in keys)).orderBy("_part._range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _groups(keys: list[str]):
+    return Window.partitionBy(*(F.col(f"_part.{k}") for k in keys)).orderBy("_part._range")
 
 
 def position(df: DataFrame, keys: list[str], order: str, out: str = "position", width: int = RANGE) -> DataFrame:
@@ -22,15 +31,11 @@ def position(df: DataFrame, keys: list[str], order: str, out: str = "position",
 
     Rows are numbered inside their range, and the numbers of rows in the ranges before are added. Null order values come first.
     """
-    cut = _cut(df, order, width)
-    ranges = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
-    numbered = cut.withColumn("_own", own)
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range").eqNullSafe(F.col("_r"))]
-    joined = numbered.join(ranges, on)
-    return joined.select(*df.columns, (F.col("_own") + F.col("_before")).cast("bigint").alias(out))
+    cut = _cut(df, keys, order, width)
+    ranges = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranges = ranges.select("_part", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_before"))
+    numbered = cut.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return numbered.join(ranges, "_part").select(*df.columns, (F.col("_own") + F.col("_before")).cast("bigint").alias(out))
 
 
 def previous(df: DataFrame, keys: list[str], order: str, value: list[str], prefix: str = "prev_", width: int = RANGE) -> DataFrame:
@@ -38,13 +43,11 @@ def previous(df: DataFrame, keys: list[str], order: str, value: list[str], prefi
 
     Inside a range by a window; the first row of a range takes the last row of the nearest range before that has any.
     """
-    cut = _cut(df, order, width).withColumn("_v", F.struct(*value))
-    last = cut.groupBy(*keys, "_range").agg(F.max_by("_v", order).alias("_last"))
-    last = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carried"))
-    within = Window.partitionBy(*keys, "_range").orderBy(order)
-    rows = cut.withColumn("_p", F.lag("_v").over(within))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range").eqNullSafe(F.col("_r"))]
-    joined = rows.join(last, on).withColumn("_p", F.coalesce("_p", "_carried"))
+    cut = _cut(df, keys, order, width).withColumn("_v", F.struct(*value))
+    last = cut.groupBy("_part").agg(F.max_by("_v", order).alias("_last"))
+    last = last.select("_part", F.lag("_last").over(_groups(keys)).alias("_carried"))
+    rows = cut.withColumn("_p", F.lag("_v").over(Window.partitionBy("_part").orderBy(order)))
+    joined = rows.join(last, "_part").withColumn("_p", F.coalesce("_p", "_carried"))
     return joined.select(*df.columns, *(F.col("_p")[v].alias(prefix + v) for v in value))
 
 
@@ -53,11 +56,8 @@ def running_max(df: DataFrame, keys: list[str], order: str, value: Column, out:
 
     With a struct that starts with the order column this is the last value. Ranges of the order column carry their greatest value on.
     """
-    cut = _cut(df, order, width).withColumn("_v", value)
-    high = cut.groupBy(*keys, "_range").agg(F.max("_v").alias("_m"))
-    upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = high.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.max("_m").over(upto).alias("_carried"))
-    within = Window.partitionBy(*keys, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    cut = _cut(df, keys, order, width).withColumn("_v", value)
+    carried = cut.groupBy("_part").agg(F.max("_v").alias("_m")).select("_part", F.max("_m").over(_before(keys)).alias("_carried"))
+    within = Window.partitionBy("_part").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     rows = cut.withColumn("_w", F.max("_v").over(within))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_range").eqNullSafe(F.col("_r"))]
-    return rows.join(carried, on).select(*df.columns, F.greatest("_w", "_carried").alias(out))
+    return rows.join(carried, "_part").select(*df.columns, F.greatest("_w", "_carried").alias(out))

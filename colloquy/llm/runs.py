@@ -15,12 +15,12 @@ SLIP_RATIO = 4
 
 
 def wording(text: Column) -> Column:
-    """The words of a post without numbers, case, spacing, punctuation and symbols, as an array."""
+    """The words of a post without numbers, case, spacing, punctuation and symbols, with a blank between."""
     t = F.lower(text)
     # forms of width: full-width letters and digits
     t = F.translate(t, "".join(chr(c) for c in range(0xFF10, 0xFF5B)), "".join(chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B)))
     t = F.regexp_replace(t, r"(?<=\d) ?[ap]\.?m\b\.?", " ")
-    return F.filter(F.split(F.regexp_replace(t, r"[^\p{L}\p{M}]+", " "), " "), lambda w: w != "")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}]+", " "))
 
 
 def _swap(a: Column, b: Column) -> Column:
@@ -62,15 +62,16 @@ def slips(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def matched(room: DataFrame) -> DataFrame:
     """Every post with ``prev_id`` and ``same``: whether it says the same as the post before of its seat on its board."""
-    p = posts(room, ["room_id", "sequence", "content"]).where("room_id is not null and sequence is not null and seat is not null").select("id", "room_id", "seat", "sequence", "at_ms", is_blank(F.col("content")).alias("blank"), wording(F.col("content")).alias("words"), F.col("content"))
-    # a post of numbers or symbols alone has no words: its own text is its wording
-    p = p.withColumn("words", F.when(~F.col("blank") & (F.size("words") == 0), F.array(F.regexp_replace(F.lower("content"), r"\s+", ""))).otherwise(F.col("words"))).drop("content")
-    p = cut(p)
-    vocabulary = p.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    q = previous(p, ["room_id", "seat"], "sequence", ["id", "blank", "words"])
-    q = q.withColumn("comparable", ~F.col("blank") & ~F.coalesce("prev_blank", F.lit(True)) & (F.size("words") == F.size("prev_words")))
-    pair = F.filter(F.arrays_zip(F.col("prev_words").alias("a"), F.col("words").alias("b")), lambda x: x["a"] != x["b"])
-    q = cut(q.select("id", "room_id", "seat", "sequence", "at_ms", "prev_id", F.when(F.col("comparable"), pair).alias("differ")))
+    p = posts(room, ["room_id", "sequence", "content"]).where("room_id is not null and sequence is not null and seat is not null")
+    # a post of numbers or symbols alone has no words: its own text is its wording; a blank one has none
+    own = F.coalesce(F.nullif(wording(F.col("content")), F.lit("")), F.regexp_replace(F.lower("content"), r"\s+", ""))
+    p = cut(p.select("id", "room_id", "seat", "sequence", "at_ms", F.when(~is_blank(F.col("content")), own).alias("said")))
+    words = lambda c: F.split(c, " ")
+    vocabulary = p.select(F.explode(F.array_distinct(words("said"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    q = previous(p, ["room_id", "seat"], "sequence", ["id", "said"])
+    pair = F.filter(F.arrays_zip(words("prev_said").alias("a"), words("said").alias("b")), lambda x: x["a"] != x["b"])
+    differ = F.when(F.col("said") == F.col("prev_said"), F.array().cast("array<struct<a:string,b:string>>")).when(F.size(words("said")) == F.size(words("prev_said")), pair)
+    q = cut(q.select("id", "room_id", "seat", "sequence", "at_ms", "prev_id", F.when(F.size(differ) <= 2, differ).alias("differ")))
     near = q.where("size(differ) between 1 and 2").select("id", F.explode("differ").alias("x")).select("id", "x.a", "x.b")
     fine = near.join(slips(near.select("a", "b"), vocabulary).withColumn("ok", F.lit(1)), ["a", "b"], "left")
     fine = fine.groupBy("id").agg(F.min(F.coalesce("ok", F.lit(0))).alias("ok")).where("ok = 1").select("id", F.lit(True).alias("slip"))

@@ -30,7 +30,7 @@ def votes(incidents: DataFrame, least: int = 3) -> DataFrame:
 
     Only an annotator's latest label counts, whether usable or not; unusable ones give no vote.
     """
-    one = labels(incidents)
+    one = labels(incidents.select("annotation_id", "incident_id", "annotator", "class", "severity", "annotated_at"))
     v = one.select("incident_id", "annotator", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in DOMAIN))).alias("x"))
     v = v.select("incident_id", "annotator", "x.*").where("label is not null")
     enough = v.groupBy("incident_id", "field").agg(F.count("*").alias("n")).where(F.col("n") >= least)

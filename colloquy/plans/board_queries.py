@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.functions.patterns import has
+from colloquy.functions.patterns import CASELESS, has
 from colloquy.operators import board as B
 from colloquy.operators import facts, modes, taxonomy
 from colloquy.plans.sql import EVENTS, MESSAGES, POSTS, WAKES, ms, seat
@@ -184,3 +184,15 @@ ORACLE |= {
       UNION ALL SELECT room, 'D1', acts > 0, 'unknown', least(acts, 10), 0.3 FROM x
       UNION ALL SELECT room, 'D3', d3, CASE WHEN d3h THEN 'high' WHEN d3 THEN 'medium' ELSE 'none' END, CAST(d3 AS BIGINT), 0.6 FROM x""".replace("{near}", ORACLE["near_duplicates"]),
 }
+
+_UNI = r"[\p{L}\p{M}\p{N}_"
+_SECRET = r"\b(?:snk|sni|rit|rmt|clp|shr|afk)_[A-Za-z0-9_-]{10,}\b"
+_MAIL = _UNI + r".+-]+@" + _UNI + r"-]+\." + _UNI + r".]+"
+_ONE_LINE = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '<url>', 'g'), '{_MAIL}', '<email>', 'g'), '{_SECRET}', '<token>', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+ORACLE |= {
+    "post_redacted": f"WITH {POSTS}, o AS (SELECT room, seq, {_ONE_LINE} AS s, regexp_replace(regexp_replace(text, '{_SECRET}', '<token>', 'g'), '{_MAIL}', '<email>', 'g') AS scrubbed FROM posts) SELECT room, seq, CASE WHEN length(s) > 160 THEN substr(s, 1, 160) || '…' ELSE s END AS excerpt, scrubbed FROM o",
+    "role_conflicts": f"""WITH {FLAGGED}, said AS (SELECT room, lower(regexp_extract(text, '(?i){CASELESS["role"].replace("'", "''")}', 1)) AS role_word, who FROM flagged WHERE role_claim UNION SELECT room, 'authorized', who FROM flagged WHERE authorized)
+      SELECT room, role_word, string_agg(who, ', ' ORDER BY who) AS who FROM said GROUP BY room, role_word HAVING count(*) >= 2""",
+    "modes_regrouped": f"""SELECT room, CASE WHEN mode IN ('R1', 'R2') THEN 'misread' WHEN mode IN ('B1', 'B2') THEN 'disagreement' WHEN mode IN ('D1', 'D2') THEN 'ungrounded' WHEN mode IN ('D3', 'D4') THEN 'stalled' ELSE 'overhead' END AS "group",
+      CAST(sum(count) AS BIGINT) AS n FROM ({ORACLE["mode_severities"]}) GROUP BY ALL""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import audit, facts, incidents, taxonomy
 from colloquy.operators import board as B
-from colloquy.plans.board_queries import _board, _posts
+from colloquy.plans.board_queries import LINKED, OPS, _board, _posts
 from colloquy.plans.sql import LABELS, POSTS, WAKES, seat
 from colloquy.sources import tables
 
@@ -70,3 +70,16 @@ ORACLE = {
       UNION ALL SELECT room, start_ms, 0, '--- ' || who || ' turn ' || turn || ' starts' FROM turns
       UNION ALL SELECT room, coalesce(end_ms, 1152921504606846976), 2, '--- ' || who || ' turn ' || turn || ' ends' || CASE WHEN c THEN ' (cut by the end of the run)' ELSE '' END FROM turns JOIN cut USING (room, who, turn)""",
 }
+
+_SEEN = """
+lk AS (SELECT room, posted AS seq, x.who, x.turn, x.i FROM (SELECT room, posted, max({'who': who, 'turn': turn, 'i': i}) AS x FROM linked WHERE posted IS NOT NULL GROUP BY ALL)),
+ag AS (SELECT p.room, p.seq, p.who, p.at_ms, lk.turn AS l_turn, lk.seq IS NOT NULL AS has_link, lk.who = p.who AS own FROM posts p LEFT JOIN lk USING (room, seq) WHERE role = 'agent'),
+fr AS (SELECT a.room, a.seq, a.who, arg_max({'turn': t.turn, 'e': coalesce(t.end_ms, 1152921504606846976), 'h': coalesce(t.through_sequence, 1)}, t.start_ms) AS w, any_value(a.at_ms) AS at_ms
+  FROM ag a JOIN turns t ON t.room = a.room AND t.who = a.who AND t.start_ms <= a.at_ms WHERE NOT a.has_link GROUP BY ALL)
+"""
+ORACLE |= {
+    "posts_seen": f"""WITH {LINKED}, {WAKES}, {_SEEN}
+      SELECT a.room, a.seq, a.who, CASE WHEN t.turn IS NOT NULL THEN a.l_turn END AS turn, CASE WHEN t.turn IS NOT NULL THEN coalesce(t.through_sequence, 1) END AS seen FROM ag a LEFT JOIN turns t ON t.room = a.room AND t.who = a.who AND t.turn = a.l_turn WHERE a.has_link AND a.own
+      UNION ALL SELECT a.room, a.seq, a.who, CASE WHEN f.at_ms <= f.w.e + 1000 THEN f.w.turn END, CASE WHEN f.at_ms <= f.w.e + 1000 THEN f.w.h END FROM ag a LEFT JOIN fr f USING (room, seq) WHERE NOT a.has_link""",
+    "evidence_levels": f"WITH {POSTS}, {OPS} SELECT DISTINCT room, CASE WHEN room IN (SELECT room FROM ops) THEN 'E3' WHEN room IN (SELECT room_id FROM wakes) THEN 'E2' ELSE 'E1' END AS level FROM posts",
+}

@@ -6,13 +6,30 @@ import argparse
 import json
 import sys
 
-from colloquy import contract
+from colloquy import contract, views
 from colloquy.operators import audit, taxonomy
 from colloquy.operators import board as B
 from colloquy.session import get_session
 from colloquy.sources.files import write_jsonl
 
 
+TEMPLATE = '''"""NAME: questions that nobody answered. Replace annotate() with your own method and register the class
+under the entry-point group colloquy.annotators."""
+
+from colloquy.operators import taxonomy
+
+
+class Annotator:
+    """Open questions and bare claims."""
+
+    name, version, taxonomy = "NAME", "0.1.0", "state_gap"
+    schema = "pattern string, room string, seq bigint, who string, signal string, excerpt string, group string"
+
+    def annotate(self, board):
+        return taxonomy.kickstart(board.posts, self.taxonomy)
+'''
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="colloquy")
     sub = p.add_subparsers(dest="command", required=True)
@@ -21,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--annotator", default="modes_v1")
     a.add_argument("--source", default="auto")
     a.add_argument("-o", "--out")
+    a.add_argument("--markdown", metavar="ROOM", help="show one room's result as Markdown (modes_v1, kickstart)")
     t = sub.add_parser("trace", help="what a source holds, per room")
     t.add_argument("src")
     t.add_argument("--source", default="auto")
@@ -31,6 +49,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("annotator")
     x = sub.add_parser("taxonomy")
     x.add_argument("choice", nargs="?")
+    n = sub.add_parser("new", help="a working annotator to start from")
+    n.add_argument("name")
+    n.add_argument("-o", "--out", default=".")
     v = sub.add_parser("validate", help="check a folder of records")
     v.add_argument("records")
     e = sub.add_parser("export", help="blind samples for human labels")
@@ -55,6 +76,13 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "taxonomy":
         print(json.dumps(taxonomy.CHOICES.get(args.choice) if args.choice else sorted(taxonomy.CHOICES), indent=1))
         return int(bool(args.choice) and args.choice not in taxonomy.CHOICES)
+    if args.command == "new":
+        if not contract.NAME.match(args.name):
+            print("the name must be 2 to 41 lower-case letters, digits and _, starting with a letter", file=sys.stderr)
+            return 1
+        with open(f"{args.out}/{args.name}.py", "x", encoding="utf-8") as f:
+            f.write(TEMPLATE.replace("NAME", args.name))
+        return 0
     try:
         if args.command == "schema":
             print(contract.get_annotator(args.annotator).schema)
@@ -85,7 +113,13 @@ def main(argv: list[str] | None = None) -> int:
             if problems:
                 print(*problems, sep="\n", file=sys.stderr)
                 return 2
-            if args.out:
+            if args.markdown:
+                show = {"modes_v1": views.modes, "kickstart": views.findings}.get(args.annotator)
+                if show is None:
+                    print(f"{args.annotator} has no Markdown view", file=sys.stderr)
+                    return 1
+                print(show(out, args.markdown))
+            elif args.out:
                 write_jsonl(contract.records(annotator, board, out), args.out)
             else:
                 out.show(1000, truncate=False)

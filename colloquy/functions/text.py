@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from colloquy.functions.json_values import once
+from colloquy.functions.json_values import once, strict_json
 from colloquy.functions.patterns import found, has, java, python
 
 _SPACE = r"(?dU)\s+"
@@ -95,6 +95,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
+def parse_reply(text: Column) -> Column:
+    """The JSON object in a chatty or fenced text as a VARIANT: of a fenced block, else from the first brace to the last; null if there is none."""
+    t = F.trim(_plain(text))
+    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
+    bare = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    return strict_json(F.when(fenced != "", fenced).otherwise(bare))
+
+
+def first_line(text: Column, n: int = 80) -> Column:
+    return F.substring(F.get(F.split(F.trim(_plain(text)), "\n"), 0), 1, n)
+
+
 @F.pandas_udf(BooleanType())
 def success(texts: pd.Series) -> pd.Series:
     """Whether a text claims success: marks and claim forms that no negation precedes and no condition governs.

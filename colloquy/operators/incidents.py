@@ -218,3 +218,47 @@ def action_list(ops: DataFrame) -> DataFrame:
         .otherwise(F.substring(F.concat_ws(": ", "kind", text), 1, 240))
     )
     return ops.select("room", F.concat_ws(":", "who", "turn", "i").alias("action_id"), "who", "turn", "i", "kind", line.alias("line"))
+
+
+def bundle_index(board: Board) -> tuple[DataFrame, DataFrame]:
+    """What a record is checked against: posts (``room, seq, who, role, created_at, seen, level``) and action ids."""
+    s = seen(board).select("room", "seq", "seen")
+    p = board.posts.select("room", "seq", "who", "role", "created_at").join(s, ["room", "seq"], "left").join(evidence_levels(board), "room", "left")
+    return p, board.ops.select("room", F.concat_ws(":", "who", "turn", "i").alias("action_id"), "who", "turn", "kind")
+
+
+def annotation_problems(items: DataFrame, incidents: DataFrame, undecidable: DataFrame, levels: DataFrame) -> DataFrame:
+    """``room, problem`` of annotations: items without id or name, incident ids missing or repeated, unknown undecidable classes, and
+    ``unsaid`` not given as undecidable where the room has no agents' logs.
+
+    ``items``: ``room, id, name``; ``incidents``: ``room, id, items array``; ``undecidable``: ``room, class``; ``levels``: ``room, level``.
+    """
+    row = lambda d, p: d.select("room", F.lit(p).alias("problem")).distinct()
+    out = row(items.where("coalesce(id, '') = '' or coalesce(name, '') = ''"), "each item needs an id and a name")
+    out = out.unionByName(row(incidents.where("id is null"), "incident ids must be present"))
+    out = out.unionByName(row(incidents.where("id is not null").groupBy("room", "id").count().where("count > 1"), "incident ids must be unique"))
+    named = incidents.select("room", F.explode("items").alias("id"))
+    out = out.unionByName(row(named.join(items, ["room", "id"], "left_anti"), "an incident names an item that isn't listed"))
+    out = out.unionByName(row(undecidable.where(~F.col("class").isin(*CLASSES)), "undecidable holds an unknown class"))
+    silent = levels.where("level <> 'E3'").join(undecidable.where("class = 'unsaid'"), "room", "left_anti")
+    return out.unionByName(row(silent, "without agents' logs, unsaid must be undecidable"))
+
+
+def verdict_problems(verdict: DataFrame, incidents: DataFrame) -> DataFrame:
+    """``room, index, problem`` of a verdict's causes (``room, index, kind, incidents array``): unknown kinds, incidents missing or unknown."""
+    v = verdict.select("room", "index", F.when(~F.coalesce(F.col("kind").isin(*CAUSES), F.lit(False)), "unknown kind of cause").when((F.col("kind") == "incident") & (F.coalesce(F.size("incidents"), F.lit(0)) < 1), "an incident cause must list incidents").alias("problem"))
+    named = verdict.where("kind = 'incident'").select("room", "index", F.explode("incidents").alias("id"))
+    unknown = named.join(incidents.select("room", "id"), ["room", "id"], "left_anti").select("room", "index", F.lit("no such incident").alias("problem")).distinct()
+    return v.where("problem is not null").unionByName(unknown)
+
+
+def accepted(runs: DataFrame, artifacts: DataFrame, needed: list[str], agreements: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """``run, ok`` of a batch: all needed artifacts are there, evidence is E3, and the stored agreement equals the recomputed one.
+
+    ``runs``: ``run, level``; ``artifacts``: ``run, name``; ``agreements`` and ``recomputed``: ``run, incident_f1, class_kappa``.
+    """
+    have = artifacts.where(F.col("name").isin(*needed)).groupBy("run").agg(F.count_distinct("name").alias("n"))
+    a = agreements.select("run", F.struct("incident_f1", "class_kappa").alias("a"))
+    r = recomputed.select("run", F.struct("incident_f1", "class_kappa").alias("r"))
+    j = runs.join(have, "run", "left").join(a, "run", "left").join(r, "run", "left")
+    return j.select("run", F.coalesce((F.col("n") == len(needed)) & (F.col("level") == "E3") & F.col("a").eqNullSafe(F.col("r")) & F.col("a").isNotNull(), F.lit(False)).alias("ok"))

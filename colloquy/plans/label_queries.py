@@ -36,6 +36,7 @@ QUERIES = {
     "incident_problems": lambda spark, d: incidents.problems(_raw(spark, d), B.from_tables(spark, d)),
     "posts_seen": _board(incidents.seen),
     "evidence_levels": _board(incidents.evidence_levels),
+    "bundle_posts": _board(lambda b: incidents.bundle_index(b)[0]),
     "timeline": _board(lambda b: incidents.timeline(b)),
     "action_list": _board(lambda b: incidents.action_list(b.ops)),
     "labels_usable": lambda spark, d: tables.labels(tables.table(spark, d, "incidents")).select("incident_id", "annotator", "record", "class", "severity"),

@@ -126,3 +126,31 @@ def test_accounting_and_sweep(spark):
     assert [r["index"] for r in incidents.grade_gaps(g, spark.createDataFrame([("r", 1)], "room string, index int")).collect()] == [3]
     s = incidents.batch_summary(spark.createDataFrame([("a", "completed"), ("b", "failed"), ("c", "completed")], "run string, status string")).first()
     assert tuple(s) == (3, 2, 1, 0)
+
+
+def test_annotation_verdict_batch(spark):
+    c = spark.createDataFrame
+    items = c([("r", "I", "n"), ("r", "", "x")], "room string, id string, name string")
+    inc = c([("r", "a", ["I"]), ("r", "a", ["J"]), ("r", None, [])], "room string, id string, items array<string>")
+    und = c([("r", "zzz")], "room string, class string")
+    got = {x.problem for x in incidents.annotation_problems(items, inc, und, c([("r", "E1"), ("s", "E3")], "room string, level string")).collect()}
+    assert len(got) == 6
+    v = c([("r", 1, "incident", ["a"]), ("r", 2, "incident", []), ("r", 3, "luck", None), ("r", 4, "incident", ["q"])], "room string, index int, kind string, incidents array<string>")
+    assert {(x["index"], x.problem) for x in incidents.verdict_problems(v, inc).collect()} == {(2, "an incident cause must list incidents"), (3, "unknown kind of cause"), (4, "no such incident")}
+    runs = c([("x", "E3"), ("y", "E3"), ("z", "E1")], "run string, level string")
+    arts = c([(r, n) for r in "xyz" for n in ("A", "B")], "run string, name string")
+    agr = c([("x", 0.5, None), ("y", 0.5, 0.1), ("z", 1.0, 1.0)], "run string, incident_f1 double, class_kappa double")
+    rec = c([("x", 0.5, None), ("y", 0.5, 0.2), ("z", 1.0, 1.0)], "run string, incident_f1 double, class_kappa double")
+    assert {x.run: x.ok for x in incidents.accepted(runs, arts, ["A", "B"], agr, rec).collect()} == {"x": True, "y": False, "z": False}
+
+
+def test_index_and_views(spark):
+    from colloquy import views
+    from colloquy.operators import facts, modes, taxonomy
+
+    b = boards.board(spark, [(1, "a", "who? "), (2, "b", "it | is done")], [boards.op("a", 1, 0, "command", "ls", 0)], seats=[("r1", "a", 0, None, None, None, None, None, None)])
+    p, a = incidents.bundle_index(b)
+    assert {(r.seq, r.level) for r in p.collect()} == {(1, "E3"), (2, "E3")} and a.first().action_id == "a:1:0"
+    assert views.modes(modes.Modes(b).modes(), "r1").count("\n") == 13
+    assert "| a | 1 | 1 |" in views.facts(facts.findings(b), facts.seat_stats(b), "r1")
+    assert "open_question" in views.findings(taxonomy.kickstart(b.posts), "r1")

@@ -91,6 +91,12 @@ def test_contract(spark, record, tmp_path):
 def test_cli(spark, record, tmp_path, capsys):
     assert main(["annotators"]) == main(["sources"]) == main(["taxonomy", "state_gap"]) == main(["schema", "facts_v1"]) == 0
     assert main(["taxonomy", "nope"]) == 1 and main(["schema", "nope"]) == 1
+    assert main(["new", "my_own", "-o", str(tmp_path)]) == 0 and main(["new", "No", "-o", str(tmp_path)]) == 1
+    scope = {}
+    exec((tmp_path / "my_own.py").read_text(), scope)
+    assert contract.check_annotator(scope["Annotator"]) == []
+    assert main(["analyse", str(record), "--markdown", "run1"]) == 0 and "| HB |" in capsys.readouterr().out
+    assert main(["analyse", str(record), "--annotator", "facts_v1", "--markdown", "run1"]) == 1
     assert main(["analyse", str(record), "--annotator", "kickstart", "-o", str(tmp_path / "out")]) == 0
     assert main(["trace", str(record), "--full", str(tmp_path / "full")]) == 0
     assert spark.read.json(str(tmp_path / "full/posts")).count() == 2

@@ -67,3 +67,9 @@ def test_blank_and_seat(spark):
 def test_jaccard(spark, a, b, want):
     r = spark.createDataFrame([(a, b)], "a array<int>, b array<int>").select(T.jaccard(F.col("a"), F.col("b")).alias("v")).first()
     assert r.v == pytest.approx(want)
+
+
+def test_parse_reply(spark):
+    texts = ['{"a": 1}', 'Here:\n```json\n{"a": 1}\n```\nbye', 'so {"a": 1} it is', "none", None, '{"a": ']
+    assert values(spark, texts, lambda c: F.try_variant_get(T.parse_reply(c), "$.a", "int")) == [1, 1, 1, None, None, None]
+    assert values(spark, ["one\ntwo", None], lambda c: T.first_line(c)) == ["one", ""]

@@ -13,6 +13,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.json_values import once
 from colloquy.session import cut
 from colloquy.sources.tables import labels
 
@@ -79,24 +80,31 @@ def strengths(v: DataFrame) -> DataFrame:
 
 
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(F.transform(scores, lambda s: s["s"]))
-    e = F.transform(scores, lambda s: F.struct(s["k"].alias("k"), F.exp(s["s"] - top).alias("p")))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, s: acc + s["p"])
-    return F.transform(e, lambda s: F.struct(s["k"].alias("k"), (s["p"] / total).alias("p")))
+    top = F.array_max(scores)
+    return once(F.transform(scores, lambda s: F.exp(s - top)), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)))
 
 
 def _combine(v: DataFrame, weights: DataFrame) -> DataFrame:
-    """``incident_id, field, post``: the consensus as probabilities; ``weights``: ``field, annotator, label, k, w, pi``."""
-    s = v.join(weights, ["field", "annotator", "label"]).groupBy("incident_id", "field", "k").agg((F.sum("w") + F.log(F.max("pi"))).alias("s"))
-    s = s.groupBy("incident_id", "field").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("scores"))
-    return s.select("incident_id", "field", _softmax(F.col("scores")).alias("post"))
+    """``incident_id, field, votes, ks, post``: the consensus as the values' probabilities.
+
+    ``weights``: ``field, annotator, label, k, w, pi``. They become one row with a map from a vote to its weights, a few kilobytes for each
+    annotator, which is broadcast; an incident's votes are added up in its row, so that no round shuffles incidents.
+    """
+    key = F.concat_ws("\x1f", "field", "annotator", "label")
+    per = weights.groupBy("field", key.alias("key")).agg(F.array_sort(F.collect_list(F.struct("k", "w", F.log("pi").alias("l")))).alias("x"))
+    row = per.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct(F.transform("x", lambda e: e["w"]).alias("w"))))).alias("by_vote"))
+    prior = per.groupBy("field").agg(F.first("x").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(F.transform("x", lambda e: e["k"]).alias("k"), F.transform("x", lambda e: e["l"]).alias("l"))))).alias("by_field"))
+    j = v.crossJoin(F.broadcast(row)).crossJoin(F.broadcast(prior))  # one row each
+    of = lambda x: F.col("by_vote")[F.concat_ws("\x1f", F.col("field"), x["annotator"], x["label"])]["w"]
+    scores = F.aggregate("votes", F.col("by_field")[F.col("field")]["l"], lambda acc, x: F.zip_with(acc, of(x), lambda p, q: p + q))
+    return j.select("incident_id", "field", "votes", F.col("by_field")[F.col("field")]["k"].alias("ks"), _softmax(scores).alias("post"))
 
 
 def consensus(incidents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The consensus (``incident_id, field, post``), the votes it rests on, and the strengths by triplets.
+    """The consensus (``incident_id, field, post`` as ``array<struct<k, p>>``), the votes it rests on, and the strengths by triplets.
 
     Empty input, or incidents that fewer than three annotators labelled usably, give no row. Equal probabilities go to the
-    value that is last in order. The tables joined to the votes have one row per annotator, label and value: they do not grow with the rows.
+    value that is last in order.
     """
     v = cut(votes(incidents))
     st = cut(strengths(v))
@@ -104,14 +112,17 @@ def consensus(incidents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     m = st.select("field", "annotator", F.col("label").alias("k"), "sens", "fpr", F.col("prior").alias("pi"))
     each = st.select("field", "annotator", "label").join(m, ["field", "annotator"])
     ratio = F.when(F.col("label") == F.col("k"), F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
-    post = cut(_combine(v, each.select("field", "annotator", "label", "k", ratio.alias("w"), "pi")))
+    per = v.groupBy("incident_id", "field").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
+    post = cut(_combine(per, each.select("field", "annotator", "label", "k", ratio.alias("w"), "pi")))
     over = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))  # noqa: E731  (over the table of confusions)
     for _ in range(rounds):
-        seen = v.join(post, ["incident_id", "field"]).select("field", "annotator", "label", F.explode("post").alias("x")).groupBy("field", "annotator", "label", F.col("x.k").alias("k")).agg(F.sum("x.p").alias("n"))
+        seen = post.select("field", F.explode("votes").alias("v"), "ks", "post").select("field", "v.annotator", "v.label", F.explode(F.arrays_zip(F.col("ks").alias("k"), F.col("post").alias("p"))).alias("x"))
+        seen = cut(seen.groupBy("field", "annotator", "label", F.col("x.k").alias("k")).agg(F.sum("x.p").alias("n")))
         share = over("field", "label", "k") / over("field", "k")
         weight = F.log((F.col("n") + PRIOR * share + 1e-6) / (over("field", "annotator", "k") + PRIOR + 6e-6))
-        post = cut(_combine(v, seen.select("field", "annotator", "label", "k", weight.alias("w"), (over("field", "k") / over("field")).alias("pi"))))
-    return post, v, st
+        weights = seen.select("field", "annotator", "label", "k", weight.alias("w"), (over("field", "k") / over("field")).alias("pi"))
+        post = cut(_combine(post.select("incident_id", "field", "votes"), weights))
+    return post.select("incident_id", "field", F.arrays_zip(F.col("ks").alias("k"), F.col("post").alias("p")).alias("post")), v, st
 
 
 def found(incidents: DataFrame) -> DataFrame:

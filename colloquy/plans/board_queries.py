@@ -196,3 +196,15 @@ ORACLE |= {
     "modes_regrouped": f"""SELECT room, CASE WHEN mode IN ('R1', 'R2') THEN 'misread' WHEN mode IN ('B1', 'B2') THEN 'disagreement' WHEN mode IN ('D1', 'D2') THEN 'ungrounded' WHEN mode IN ('D3', 'D4') THEN 'stalled' ELSE 'overhead' END AS "group",
       CAST(sum(count) AS BIGINT) AS n FROM ({ORACLE["mode_severities"]}) GROUP BY ALL""",
 }
+
+ORACLE |= {
+    "board_rooms": f"""WITH {POSTS}, e AS (SELECT room_id AS room, max({{'s': coalesce(goal.sequence, 0), 'm': goal.message_id, 'n': name, 'c': goal.started_at, 'st': state, 'e': ended_by.trigger}}) AS x, max(len(agents)) AS a FROM episodes WHERE goal.message_id IS NOT NULL GROUP BY room_id)
+      SELECT room, x.n AS name, x.c AS created_at, latest_sequence, CASE WHEN x.e IS NOT NULL THEN 'closed' ELSE x.st END AS state, CASE WHEN a > 0 THEN 'goal-run' ELSE 'goal-export' END AS source_kind, x.e AS ended_by
+      FROM e FULL JOIN (SELECT room, max(seq) AS latest_sequence FROM posts GROUP BY room) USING (room)""",
+    "fact_seats": f"""WITH {LINKED}, s AS (SELECT DISTINCT room_id AS room, {seat("a.name")} AS who FROM (SELECT room_id, unnest(agents) AS a FROM episodes)),
+      lk AS (SELECT room, posted, max({{'who': who, 'turn': turn, 'i': i}}) AS x FROM linked WHERE posted IS NOT NULL GROUP BY ALL),
+      c AS (SELECT room, who, count(DISTINCT turn) AS turns, count_if(kind = 'command') AS commands, count_if(kind = 'command' AND coalesce(exit_code, 0) <> 0) AS failed, count_if(kind = 'command' AND {sql_has("coalesce(command, '')", "test")}) AS tests FROM ops GROUP BY ALL)
+      SELECT s.room, s.who, coalesce(p.n, 0) AS posts, coalesce(l.n, 0) AS linked_posts, coalesce(turns, 0) AS turns, coalesce(commands, 0) AS commands, coalesce(failed, 0) AS failed_commands, coalesce(tests, 0) AS test_runs, coalesce(f.n, 0) AS n_files_changed
+      FROM s LEFT JOIN (SELECT room, who, count(*) AS n FROM posts WHERE role = 'agent' GROUP BY ALL) p USING (room, who) LEFT JOIN (SELECT room, x.who AS who, count(*) AS n FROM lk GROUP BY ALL) l USING (room, who)
+      LEFT JOIN c USING (room, who) LEFT JOIN (SELECT room, who, count(*) AS n FROM ({ORACLE["files_changed"]}) GROUP BY ALL) f USING (room, who) WHERE s.who IS NOT NULL""",
+}

@@ -46,3 +46,4 @@ ORACLE = {
       good AS (SELECT root FROM member GROUP BY root HAVING bool_or(id = root AND NOT {_CONTENT_BLANK}) AND count(DISTINCT seat) FILTER (NOT {_CONTENT_BLANK}) > 1)
       SELECT root AS root_message_id, row_number() OVER (PARTITION BY root ORDER BY sequence) AS position, id AS message_id FROM member WHERE NOT {_CONTENT_BLANK} AND root IN (SELECT root FROM good)""",
 }
+ORACLE["p2_nearest"] = ORACLE["p2_found"].replace("AS turn FROM d", "AS turn, min(dist) AS distance_ms FROM d")

@@ -84,20 +84,23 @@ def _softmax(scores: Column) -> Column:
     return once(F.transform(scores, lambda s: F.exp(s - top)), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)))
 
 
-def _combine(v: DataFrame, weights: DataFrame) -> DataFrame:
-    """``incident_id, field, votes, ks, post``: the consensus as the values' probabilities.
+def _combine(per: DataFrame, weights: DataFrame) -> DataFrame:
+    """``incident_id, field, codes, ks, post``: the consensus as the values' probabilities.
 
-    ``weights``: ``field, annotator, label, k, w, pi``. They become one row with a map from a vote to its weights, a few kilobytes for each
+    ``weights``: ``code, field, k, w, pi``. They become one row, an array by code of the weights for each value, a few kilobytes for each
     annotator, which is broadcast; an incident's votes are added up in its row, so that no round shuffles incidents.
     """
-    key = F.concat_ws("\x1f", "field", "annotator", "label")
-    per = weights.groupBy("field", key.alias("key")).agg(F.array_sort(F.collect_list(F.struct("k", "w", F.log("pi").alias("l")))).alias("x"))
-    row = per.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct(F.transform("x", lambda e: e["w"]).alias("w"))))).alias("by_vote"))
-    prior = per.groupBy("field").agg(F.first("x").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(F.transform("x", lambda e: e["k"]).alias("k"), F.transform("x", lambda e: e["l"]).alias("l"))))).alias("by_field"))
-    j = v.crossJoin(F.broadcast(row)).crossJoin(F.broadcast(prior))  # one row each
-    of = lambda x: F.col("by_vote")[F.concat_ws("\x1f", F.col("field"), x["annotator"], x["label"])]["w"]
-    scores = F.aggregate("votes", F.col("by_field")[F.col("field")]["l"], lambda acc, x: F.zip_with(acc, of(x), lambda p, q: p + q))
-    return j.select("incident_id", "field", "votes", F.col("by_field")[F.col("field")]["k"].alias("ks"), _softmax(scores).alias("post"))
+    by = weights.groupBy("code", "field").agg(F.array_sort(F.collect_list(F.struct("k", "w", F.log("pi").alias("l")))).alias("x"))
+    parts = F.transform("x", lambda e: e["k"]), F.transform("x", lambda e: e["w"]), F.transform("x", lambda e: e["l"])
+    row = by.select("code", "field", *(c.alias(n) for n, c in zip(("ks", "ws", "ls"), parts, strict=True)))
+    row = row.agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("code", "ws"))), lambda e: e["ws"]).alias("by_code"),
+        *(F.first(F.when(F.col("field") == f, F.struct("ks", "ls")), ignorenulls=True).alias(f"of_{f}") for f in DOMAIN),
+    )
+    own = F.coalesce(*(F.when(F.col("field") == f, F.col(f"of_{f}")) for f in DOMAIN))
+    j = per.crossJoin(F.broadcast(row)).withColumn("own", own)  # one row
+    scores = F.aggregate("codes", F.col("own.ls"), lambda acc, c: F.zip_with(acc, F.get("by_code", c), lambda p, q: p + q))
+    return j.select("incident_id", "field", "codes", F.col("own.ks").alias("ks"), _softmax(scores).alias("post"))
 
 
 def consensus(incidents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,20 +111,22 @@ def consensus(incidents: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Da
     """
     v = cut(votes(incidents))
     st = cut(strengths(v))
+    # every vote that was ever cast gets a number: annotators times labels, whatever the number of incidents
+    kinds = v.select("field", "annotator", "label").distinct()
+    codes = cut(kinds.withColumn("code", (F.row_number().over(Window.orderBy("field", "annotator", "label")) - 1).cast("int")))
     # a vote for l speaks for l by its likelihood ratio, and against the others
     m = st.select("field", "annotator", F.col("label").alias("k"), "sens", "fpr", F.col("prior").alias("pi"))
-    each = st.select("field", "annotator", "label").join(m, ["field", "annotator"])
     ratio = F.when(F.col("label") == F.col("k"), F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
-    per = v.groupBy("incident_id", "field").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
-    post = cut(_combine(per, each.select("field", "annotator", "label", "k", ratio.alias("w"), "pi")))
+    weights = codes.join(m, ["field", "annotator"]).select("code", "field", "k", ratio.alias("w"), "pi")
+    per = cut(v.join(F.broadcast(codes), ["field", "annotator", "label"]).groupBy("incident_id", "field").agg(F.array_sort(F.collect_list("code")).alias("codes")))
     over = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))  # noqa: E731  (over the table of confusions)
     for _ in range(rounds):
-        seen = post.select("field", F.explode("votes").alias("v"), "ks", "post").select("field", "v.annotator", "v.label", F.explode(F.arrays_zip(F.col("ks").alias("k"), F.col("post").alias("p"))).alias("x"))
-        seen = cut(seen.groupBy("field", "annotator", "label", F.col("x.k").alias("k")).agg(F.sum("x.p").alias("n")))
+        seen = _combine(per, weights).select(F.explode("codes").alias("code"), "ks", "post").select("code", F.explode(F.arrays_zip(F.col("ks").alias("k"), F.col("post").alias("p"))).alias("x"))
+        seen = cut(seen.groupBy("code", F.col("x.k").alias("k")).agg(F.sum("x.p").alias("n")).join(codes, "code"))
         share = over("field", "label", "k") / over("field", "k")
         weight = F.log((F.col("n") + PRIOR * share + 1e-6) / (over("field", "annotator", "k") + PRIOR + 6e-6))
-        weights = seen.select("field", "annotator", "label", "k", weight.alias("w"), (over("field", "k") / over("field")).alias("pi"))
-        post = cut(_combine(post.select("incident_id", "field", "votes"), weights))
+        weights = seen.select("code", "field", "k", weight.alias("w"), (over("field", "k") / over("field")).alias("pi"))
+    post = cut(_combine(per, weights))
     return post.select("incident_id", "field", F.arrays_zip(F.col("ks").alias("k"), F.col("post").alias("p")).alias("post")), v, st
 
 

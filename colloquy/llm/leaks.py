@@ -26,7 +26,7 @@ from colloquy.session import cut
 WINDOW, STEP, ITEM_STEP = 24, 12, 4
 RANK, POWER_ROUNDS, SEED = 192, 1, 11
 #: Least cosine of a passage and an item's passage.
-COSINE = 0.55
+COSINE = 0.5
 #: A leak: so many words (or characters of a script without spaces) of the item, of which at most about this share is altered, missing or added.
 WORDS, CHARS, ALTERED = 12, 24, 0.2
 #: A passage holds at least so many of the item's terms; less can't make a leak within one window.

@@ -5,6 +5,8 @@ What needs the whole board (unanswered asks, open items) can't be given out earl
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,10 @@ from colloquy.sources.files import exists
 from colloquy.sources.tables import seat_name
 
 
+#: Later than any time that can be written in four digits of year.
+END_MS = 568_971_820_800_000
+
+
 def read_posts(spark: SparkSession, sf_dir: str, name: str = "room") -> DataFrame:
     """A stream over the files of a table, in its schema."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -34,7 +40,17 @@ def timed(stream: DataFrame, late: str = "2 days") -> DataFrame:
     """Posts with a usable time as ``ts``, a watermark on it, and one row per id within it (of a batch: one row per id)."""
     p = stream.select(F.col("room_id").alias("room"), "id", F.col("sequence").alias("seq"), seat_name(F.col("sender.name")).alias("who"), F.coalesce("content", F.lit("")).alias("text"), event_time(F.col("created_at")).alias("ts"))
     p = p.where("ts is not null and id is not null")
-    return p.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"]) if p.isStreaming else p.dropDuplicates(["id"])
+    if not p.isStreaming:
+        return p.dropDuplicates(["id"])
+    return p.unionByName(_end(p)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"]).where(F.col("ts") < F.timestamp_millis(F.lit(END_MS)))
+
+
+def _end(posts: DataFrame) -> DataFrame:
+    """An empty stream beside ``posts``, over a folder of its own: a post at the end of time, put there by ``run_available``, moves the watermark past all others."""
+    spark = posts.sparkSession
+    path = f"{checkpoint_dir(spark)}/end-{uuid.uuid4().hex}"
+    spark.createDataFrame([], posts.schema).write.parquet(path)
+    return spark.readStream.schema(posts.schema).parquet(path)
 
 
 def hourly_acts(posts: DataFrame) -> DataFrame:
@@ -71,9 +87,22 @@ def reclaims(posts: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything the stream has now, written to the shared folder and read back."""
-    import uuid
-
-    spark, base = stream.sparkSession, f"{checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}-log").trigger(availableNow=True).start(base).awaitTermination()
+    """Everything the stream has now, written to the shared folder and read back.
+
+    The stream ends here: after its last post the watermark passes all of them, in a micro-batch of its own, so windows, sessions and claims still open are given out too.
+    """
+    spark = stream.sparkSession
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def run() -> None:
+        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}-log").trigger(availableNow=True).start(base).awaitTermination()
+
+    run()
+    ends = set(re.findall(r"FileSource\[([^\]]*/end-[0-9a-f]{32})\]", stream._jdf.queryExecution().analyzed().toString()))
+    for path in ends:
+        schema = spark.read.parquet(path).schema
+        last = {"id": F.lit(path), "ts": F.timestamp_millis(F.lit(END_MS))}
+        spark.range(1).select(*(last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(path)
+    if ends:
+        run()
     return spark.read.schema(stream.schema).parquet(base)

@@ -1,5 +1,6 @@
 import json
 
+import boards
 import pytest
 
 from colloquy import contract
@@ -122,5 +123,26 @@ def test_stream_equals_batch(spark, sf):
     assert set(S.run_available(S.reclaims(S.timed(S.read_posts(spark, sf)))).columns) == {"room", "item", "seq", "who", "done_by", "done_seq"}
 
 
+def test_registered_streams_are_whole(spark, sf):
+    from colloquy.plans.stream_queries import QUERIES
+    from colloquy.streaming import board_stream as S
+
+    batch = S.timed(spark.read.parquet(f"{sf}/room.parquet"))
+    for name, make in (("stream_hourly_acts", S.hourly_acts), ("stream_sessions", S.sessions)):
+        rows = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
+        assert sorted(rows) == sorted(map(tuple, make(batch).collect())) and rows
+
+
+def test_stream_in_several_batches(spark, tmp_path):
+    from colloquy.streaming import board_stream as S
+
+    rows = [boards.message(n, "a", "I'll take `x.py`", at=f"2026-05-0{1 + n}T10:00:00Z") for n in range(4)]
+    for r in rows:
+        spark.createDataFrame([r], boards.ROOM).coalesce(1).write.mode("append").parquet(str(tmp_path / "room.parquet"))
+    posts = spark.readStream.schema(boards.ROOM).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "room.parquet"))
+    assert S.run_available(S.hourly_acts(S.timed(posts, late="9 days"))).count() == 4
+    assert S.run_available(S.timed(posts, late="9 days")).count() == 4
+
+
 def test_posts_of_no_type(spark):
     assert B.empty(spark, "posts").count() == 0

@@ -5,8 +5,10 @@ What needs the whole board (unanswered asks, open items) can't be given out earl
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,23 +69,36 @@ def sessions(posts: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def _reclaims(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done_by, done_seq = state.get if state.exists else (None, None)
-    out = []
+    dones, waiting = map(list, json.loads(state.get[0])) if state.exists else ([], [])
+    # a group comes in several Arrow batches, in no order
     for pdf in batches:
-        for r in pdf.sort_values("seq").itertuples():
-            if r.claims and done_seq is not None and done_seq < r.seq:
-                out.append((*key, r.seq, r.who, done_by, done_seq))
-            if r.done and (done_seq is None or r.seq > done_seq):
-                done_by, done_seq = r.who, r.seq
-    if done_seq is not None:
-        state.update((done_by, int(done_seq)))
+        dones += pdf.loc[pdf["done"].astype(bool), ["seq", "who"]].values.tolist()
+        waiting += pdf.loc[pdf["claims"].astype(bool), ["seq", "who", "at"]].values.tolist()
+    dones.sort()
+    seqs, mark, out, still = [d[0] for d in dones], state.getCurrentWatermarkMs(), [], []
+    for seq, who, at in sorted(waiting):
+        if at > mark:
+            still.append((seq, who, at))
+        elif n := bisect_left(seqs, seq):
+            out.append((*key, seq, who, dones[n - 1][1], dones[n - 1][0]))
+    if dones or still:
+        state.update((json.dumps((dones, still)),))
+    elif state.exists:
+        state.remove()
+    if still:
+        state.setTimeoutTimestamp(min(at for _, _, at in still))
     yield pd.DataFrame(out, columns=["room", "item", "seq", "who", "done_by", "done_seq"])
 
 
 def reclaims(posts: DataFrame) -> DataFrame:
-    """Claims of items that were reported done in a post seen before, with the last such report; state is one report per item."""
-    e = posts.select("room", "seq", F.coalesce("who", F.lit("?")).alias("who"), has(F.col("text"), "accept").alias("claims"), has(F.col("text"), "done").alias("done"), F.explode(items(F.col("text"))).alias("item")).where("claims or done")
-    return e.groupBy("room", "item").applyInPandasWithState(_reclaims, "room string, item string, seq bigint, who string, done_by string, done_seq bigint", "done_by string, done_seq bigint", "append", GroupStateTimeout.NoTimeout)
+    """Claims of items that were reported done in an earlier post, with the last such report.
+
+    A claim waits until the watermark passes it, so reports before it may come after it. The state holds the numbers and authors of an item's done reports, and its waiting claims.
+    """
+    # pandas holds the years 1678 to 2261; the mark of the watermark's column is put on what is cut to them, the time itself is in at
+    ts = F.greatest(F.least("ts", F.lit("2262-01-01").cast("timestamp")), F.lit("1700-01-01").cast("timestamp")).alias("ts", metadata={"spark.watermarkDelayMs": 0})
+    e = posts.select("room", "seq", F.coalesce("who", F.lit("?")).alias("who"), ts, F.unix_millis("ts").alias("at"), has(F.col("text"), "accept").alias("claims"), has(F.col("text"), "done").alias("done"), F.explode(items(F.col("text"))).alias("item")).where("(claims or done) and seq is not null")
+    return e.groupBy("room", "item").applyInPandasWithState(_reclaims, "room string, item string, seq bigint, who string, done_by string, done_seq bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:

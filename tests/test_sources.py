@@ -144,5 +144,32 @@ def test_stream_in_several_batches(spark, tmp_path):
     assert S.run_available(S.timed(posts, late="9 days")).count() == 4
 
 
+def test_stream_reclaims_equal_batch(spark, tmp_path):
+    import random
+
+    from colloquy.operators.ordered import running_max
+    from colloquy.streaming import board_stream as S
+    from pyspark.sql import functions as F
+
+    say = lambda n: f"`x.py` is done {n}" if n % 7 == 3 else f"I'll take `x.py` {n}"
+    rows = [boards.message(n, "abc"[n % 3], say(n), at=str(1777629600000 + n * 1000)) for n in range(1, 1500)]
+    random.Random(5).shuffle(rows)
+    rows += [boards.message(1500, "a", "I'll take `x.py`", at="9999-12-31T23:59:59Z")]
+    path = str(tmp_path / "room.parquet")
+    for a in range(0, len(rows), 600):
+        spark.createDataFrame(rows[a : a + 500], boards.ROOM).coalesce(1).write.mode("append").parquet(path)
+    e = S.timed(spark.read.parquet(path)).select(F.lit("r1").alias("room"), F.lit("x.py").alias("item"), "seq", "who", F.col("text").contains("done").alias("done"))
+    e = running_max(e, ["room", "item"], "seq", F.when(F.col("done"), F.struct("seq", "who")), "last")
+    want = sorted(map(tuple, e.where("not done and last is not null").select("room", "item", "seq", "who", "last.who", "last.seq").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for files in (None, 1):
+            r = spark.readStream.schema(boards.ROOM)
+            posts = (r.option("maxFilesPerTrigger", files) if files else r).parquet(path)
+            assert sorted(map(tuple, S.run_available(S.reclaims(S.timed(posts))).collect())) == want and len(want) > 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_posts_of_no_type(spark):
     assert B.empty(spark, "posts").count() == 0

@@ -185,10 +185,15 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names).astype({"part": "int32", "a": "int32", "b": "int32"})
 
 
-#: What a text must hold to be scanned at all: a sign of a mailbox, six digits close together, two capitals, or Han characters between marks.
+#: What a text must hold to be scanned at all, in Java's notation: every alternative of the patterns above holds one of these, also where its blanks are escapes of JSON.
+_BLANKS = r"(?:\s|\\[nrt])?"
 _HINT = (
-    r"[@＠]\w|%40|\bat\b.{1,60}\bdot\b|\d[\d .()\-]{6,}|\b\d{1,5} \p{Lu}\p{L}+ \p{Lu}|\p{Lu}[\p{L}'’\-]+,? (\p{Lu}\.? )?\p{Lu}\p{L}|\p{Lu}\. \p{Lu}\p{L}"
-    r"|(Mrs?|Ms|Dr|Prof|Sra?|Herr|Frau)\.? \p{Lu}|\p{Lu}\p{Ll}+ \d{1,4}|(?<!\p{IsHan})\p{IsHan}{2,4}(?!\p{IsHan})|号|先生|女士"
+    rf"[@＠]\S|%40|[\[({{]{_BLANKS}(?i:at){_BLANKS}[\])}}]|(?i: at )\S+(?i: dot )"
+    r"|\p{Nd}(?:[ .()\-]{0,3}\p{Nd}){5}"
+    r"|\p{Nd}[a-zA-Z]? \p{Lu}|\p{Lu}\p{Ll}+ \p{Nd}|(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm) \p{Nd}|号"
+    r"|Calle|Avenida|Avda|Av\.|Plaza|Paseo|Camino|Carrera|Rua|Via|Piazza|\p{Nd}(?: ?bis| ?ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) "
+    rf"|(?:{TITLES})\.? \p{{Lu}}|先生|女士|小姐|老师|博士|教授|\p{{Lu}}\. \p{{Lu}}"
+    r"|\p{Lu}[\p{L}'’\-]+,? (?:\p{Lu}\.? )?\p{Lu}[\p{L}'’]|(?<!\p{IsHan})\p{IsHan}{2,4}(?!\p{IsHan})"
 )
 
 

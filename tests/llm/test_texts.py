@@ -56,6 +56,23 @@ def test_names_by_disclosure(spark):
     assert "none" not in text
 
 
+@pytest.mark.parametrize("in_line", [False, True])
+def test_every_form_passes_the_hint(spark, in_line):
+    texts = {
+        "email": ["x jane.doe@example.com", "x jane.doe＠example.com", "x jane.doe%40example.com", "x jane.doe [AT] example [DOT] com", "x jane.doe (at) example.com", "x jane.doe {at} example dot com", "x jane AT example DOT com", "x jane.doe (\nat) example.com"],
+        "identity_number": ["x 123-45-6789", "x AB123456C", "x AB 12 34 56 C", "x 12345678Z", "x A12345678", "x 11010519491231002X"],
+        "street_address": ["x 12 Oak Street", "x 12b Oak Street", "an der Parkallee 5", "in der Poststr. 7", "Am Markt 5, 10115 Berlin", "Calle de la Paz, 12", "Avda. Mayor, 3", "x 12 rue de Rivoli", "x 12 bis, quai d'Orsay", "x Via Roma 5", "住在中山路12号"],
+        "phone": ["x +44 20 7946 0958", "x 0049 30 12345", "x (030) 1234-5678", "x 555-123-4567", "x 01 23 45 67 89", "x 0123 456 789", "x 010-12345678", "x 138 1234 5678"],
+        "person_name": ["x Mx. Lee", "x Srta. Gómez", "x Monsieur Blanc", "x Don Diego", "x Señora Ruiz", "请联系王教授谢谢大家", "请联系王老师谢谢大家", "x A. O'neil"],
+    }
+    want = {(str(n), k) for n, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)}
+    each = [(n, t) for n, t in enumerate(t for ts in texts.values() for t in ts)]
+    room = spark.createDataFrame([] if in_line else [(str(n), t) for n, t in each], "id string, content string")
+    lines = spark.createDataFrame([(n, json.dumps({"item": {"command": t}}, ensure_ascii=False)) for n, t in each] if in_line else [], "line_id bigint, line string")
+    got = {(r.record_key, r.kind) for r in personal.found(room, lines).collect()}
+    assert not want - got
+
+
 def test_lines_and_empty(spark):
     item = {"item": json.dumps({"command": "echo x@y.example", "aggregated_output": {"mail": "a@b.example"}})}
     lines = spark.createDataFrame([(1, json.dumps([{"a": 1}, item])), (2, "broken command x@y.example"), (3, None), (1, json.dumps([{"a": 1}, item]))], LINES)

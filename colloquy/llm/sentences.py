@@ -52,6 +52,7 @@ _BLANK = regex.compile(rf"{_SPACE}*$")
 _OUTER = regex.compile(rf"^{_SPACE}*|{_SPACE}*$")
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
+_EITHER_MARK = {a: regex.compile(f"[{regex.escape(a + b)}]") for a, b in _OPEN.items()}
 _QUOTES = "\"「『“„«‹‘"
 #: What a scan stops at: openers, closers, quotes, code spans, terminators, and a space between Thai, Lao or Khmer letters.
 _MARK = regex.compile(
@@ -62,8 +63,6 @@ _CLOSE = regex.compile(r"(?:[\p{SB=Close}’'\"*_](?<![(\[{（［【「『《〈
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*$")
 _NAME = regex.compile(r"[\p{Ll}]+-\d|`|\p{Lu}|\p{Lt}|[\"“„«‹‘¿¡(\[]|\d|[#*]")
 _TICKS, _LOW_CLOSE, _GAP = regex.compile("`+"), regex.compile("[“”]"), regex.compile(r"\s*")
-#: The longest quotation or bracket that can stand within a sentence.
-REACH = 2000
 _UNSPACED = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}]")
 
 
@@ -152,28 +151,46 @@ def _stops(t: str, start: int, end: int, after: int) -> bool:
     return True
 
 
-def _partner(t: str, at: int) -> int:
-    """Where the quotation, bracket or code span opened at ``at`` closes (its end), or -1; longer ones than ``REACH`` aren't one."""
-    c, stop = t[at], at + REACH
-    if c in "`\"":
-        mark = _TICKS.match(t, at)[0] if c == "`" else c
-        close = t.find(mark, at + len(mark), stop)
-        return close + len(mark) if close > 0 else -1
-    if c == "„":  # closes with either mark
-        m = _LOW_CLOSE.search(t, at + 1, stop)
-        return m.end() if m else -1
-    want, depth, i = _OPEN[c], 0, at + 1
-    while (close := t.find(want, i, stop)) >= 0:
-        depth += t.count(c, i, close)
-        if depth == 0:
-            return close + 1
-        depth, i = depth - 1, close + 1
-    return -1
+class _Pairs:
+    """Where quotations, brackets and code spans of a paragraph close, however long they are: each kind of bracket is paired once with a stack, a mark that isn't found isn't sought again."""
+
+    def __init__(self, t: str) -> None:
+        self.t, self.brackets, self.missing = t, {}, set()
+
+    def partner(self, at: int) -> int:
+        """Where what is opened at ``at`` closes (its end), or -1."""
+        t, c = self.t, self.t[at]
+        if c in "`\"„":
+            mark = _TICKS.match(t, at)[0] if c == "`" else c
+            if mark in self.missing:
+                return -1
+            if c == "„":  # closes with either mark
+                m = _LOW_CLOSE.search(t, at + 1)
+                close = m.end() if m else -1
+            else:
+                close = t.find(mark, at + len(mark))
+                close = close + len(mark) if close > 0 else -1
+            if close < 0:
+                self.missing.add(mark)
+            return close
+        if c not in self.brackets:
+            self.brackets[c] = self._paired(c, _OPEN[c])
+        return self.brackets[c].get(at, -1)
+
+    def _paired(self, opens: str, closes: str) -> dict[int, int]:
+        out, stack = {}, []
+        for m in _EITHER_MARK[opens].finditer(self.t):
+            if m[0] == opens:
+                stack.append(m.start())
+            elif stack:
+                out[stack.pop()] = m.end()
+        return out
 
 
 def sentences(t: str) -> Iterator[tuple[int, int]]:
     """Spans of the sentences of a paragraph."""
     start = i = 0
+    pairs = _Pairs(t)
     while m := _MARK.search(t, i):
         if m.lastgroup == "gap":
             yield start, m.start()
@@ -187,7 +204,7 @@ def sentences(t: str) -> Iterator[tuple[int, int]]:
                 yield start, after
                 start = after
             continue
-        close = _partner(t, m.start())
+        close = pairs.partner(m.start())
         if close < 0:
             i = m.end()
             continue

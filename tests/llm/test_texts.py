@@ -254,6 +254,13 @@ def test_spans_cover_the_text(spark, sf):
     assert all(not t[at.get(d, 0) :].strip(" \n\t​﻿") for d, t in text.items() if t)
 
 
+@pytest.mark.parametrize("marks", ["()", "[]", "“”", "«»", '""', "„“", "「」", "``"])
+def test_marks_of_any_reach(marks):
+    inside = "One thing is said. Another is said. " * 200
+    text = f"Then they wrote {marks[0]}{inside.strip()}{marks[1]}, and left."
+    assert len(inside) > 7000 and sentences.spans(text) == [(0, len(text))]
+
+
 def test_long_text_is_quick():
     import time
 

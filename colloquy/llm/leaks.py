@@ -181,6 +181,27 @@ def leaked(hits: int, doc_span: int, item_span: int, chars: bool) -> bool:
     return max(doc_span, item_span) >= least - spare and hits >= (1 - ALTERED) * least and hits >= (1 - ALTERED - 0.05) * max(doc_span, item_span)
 
 
+def widened(got: tuple[int, int, int, int, int], doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
+    """An alignment with what stands beyond an altered word near its ends, and with altered end words, as far as the whole stays within ``ALTERED``.
+
+    Local alignment cuts off a lone word behind an altered one, as that one costs more than the word is worth.
+    """
+    hits, i0, i1, j0, j1 = got
+    # hits gained by so many steps to either side
+    k, m = min(i0, j0), min(len(doc) - i1, len(item) - j1)
+    left = np.append(0, (doc[i0 - k : i0] == item[j0 - k : j0])[::-1].cumsum())
+    right = np.append(0, (doc[i1 : i1 + m] == item[j1 : j1 + m]).cumsum())
+    if hits + left[-1] + right[-1] < (1 - ALTERED) * WORDS:
+        return got
+    n, steps = hits + left[:, None] + right, np.arange(k + 1)[:, None] + np.arange(m + 1)
+    # most hits, then the longest
+    at = np.where(n >= (1 - ALTERED) * (max(i1 - i0, j1 - j0) + steps), 1000 * n + steps, 0)
+    if not at.any():
+        return got
+    x, y = divmod(int(at.argmax()), m + 1)
+    return int(n[x, y]), i0 - x, i1 + y, j0 - x, j1 + y
+
+
 class Search:
     """What a task needs to seek leaks: bounded by the block of items, not by the documents."""
 
@@ -224,10 +245,12 @@ class Search:
             for (r, k), lo, part, got in zip(pairs, lows, parts, align(parts, sides), strict=True):
                 if got is None:
                     continue
+                body = part[got[1] : got[2]]
+                chars = bool(2 * self.wide[body[body >= 0]].sum() > (body >= 0).sum())
+                if not leaked(got[0], got[2] - got[1], got[4] - got[3], chars):
+                    got = widened(got, part[: len(seqs[owner[r]]) - lo], self.items.segments[k])
                 hits, i0, i1, j0, j1 = got
-                body = part[i0:i1]
-                chars = 2 * self.wide[body[body >= 0]].sum() > (body >= 0).sum()
-                if leaked(hits, i1 - i0, j1 - j0, bool(chars)):
+                if leaked(hits, i1 - i0, j1 - j0, chars):
                     found.setdefault(int(owner[r]), set()).add((2 * hits - 0.5 * (i1 - i0 + j1 - j0), self.items.ids[k], lo + i0, lo + i1, hits))
         out = []
         for d, each in found.items():

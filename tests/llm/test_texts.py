@@ -194,6 +194,24 @@ def test_leaks(spark):
     assert leaked(spark, texts) == {(0, 1), (1, 1), (2, 2), (3, 1), (4, 2), (4, 3), (7, 2), (8, 3), (12, 1), (12, 2)}
 
 
+def test_minimal_passages():
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(40)]
+    it = leaks.read_items([(1, " ".join(words))])
+    v = len(it.vocabulary)
+    s = leaks.Search(it, np.ones(v + 1), np.eye(v, dtype=np.float32))
+    seqs = []
+    for length, changed in ((12, 1), (12, 2), (13, 2), (14, 2), (15, 3)):
+        for _ in range(60):
+            a = rng.randrange(1, 39 - length)
+            part = np.arange(a, a + length, dtype=np.int32)
+            part[rng.sample(range(length), changed)] = -1
+            seqs.append(np.concatenate([np.full(30, -1), part, np.full(30, -1)]).astype(np.int32))
+    assert {d for d, *_ in s.leaks(seqs)} == set(range(len(seqs)))
+    # nine words are none, however they are widened
+    assert s.leaks([np.concatenate([np.full(30, -1), np.arange(5, 14), np.full(30, -1)]).astype(np.int32)]) == []
+
+
 def test_leak_recall_against_all_pairs(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
     got = {(r.doc_id, r.item_id) for r in leaks.found(docs, items).collect()}

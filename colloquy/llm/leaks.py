@@ -12,7 +12,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,10 +71,19 @@ class Items:
     owner: np.ndarray  # segment of each passage
 
 
-def read_items(rows: list[tuple[int, str]]) -> Items:
-    """Segments and passages of the items; a sentence that stands in several items is left out and splits its item."""
-    split = {i: [tokens(s) for s in _SENTENCE.split(t or "")] for i, t in rows}
-    seen = Counter(k for ss in split.values() for k in {tuple(s) for s in ss if s})
+def _split(rows: list[tuple[int, str]]) -> dict[int, list[list[str]]]:
+    return {i: [tokens(s) for s in _SENTENCE.split(t or "")] for i, t in rows}
+
+
+def sentence_counts(rows: list[tuple[int, str]]) -> Counter:
+    """In how many items each sentence stands."""
+    return Counter(k for ss in _split(rows).values() for k in {tuple(s) for s in ss if s})
+
+
+def read_items(rows: list[tuple[int, str]], seen: Counter | None = None) -> Items:
+    """Segments and passages of the items; a sentence that stands in several items (of all, if ``seen`` has their counts) is left out and splits its item."""
+    split = _split(rows)
+    seen = sentence_counts(rows) if seen is None else seen
     vocabulary: dict[str, int] = {}
     ids, segments = [], []
     for i, ss in split.items():
@@ -231,6 +240,10 @@ class Search:
 
     def leaks(self, seqs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """``document number, item, start, end, matches`` (in tokens) of a batch; a stretch belongs to the item that explains it best."""
+        return [(d, *x) for d, each in self.explanations(seqs).items() for x in best(each)]
+
+    def explanations(self, seqs: list[np.ndarray]) -> dict[int, set[tuple[float, int, int, int, int]]]:
+        """By document number: ``score, item, start, end, matches`` of all that is leaked."""
         owner, start, w = batch_passages(seqs)
         rows, segs = self.candidates(w)
         found: dict[int, set[tuple[float, int, int, int, int]]] = {}
@@ -252,15 +265,19 @@ class Search:
                 hits, i0, i1, j0, j1 = got
                 if leaked(hits, i1 - i0, j1 - j0, chars):
                     found.setdefault(int(owner[r]), set()).add((2 * hits - 0.5 * (i1 - i0 + j1 - j0), self.items.ids[k], lo + i0, lo + i1, hits))
-        out = []
-        for d, each in found.items():
-            taken: list[tuple[int, int, float, int]] = []
-            for score, item, a, b, hits in sorted(each, key=lambda x: (-x[0], x[1])):
-                if any(min(b, y) - max(a, x) > 0.5 * (b - a) and score < s and item != other for x, y, s, other in taken):
-                    continue
-                taken.append((a, b, score, item))
-                out.append((d, item, a, b, hits))
-        return out
+        return found
+
+
+def best(each: Iterable[tuple[float, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``item, start, end, matches`` of what no other item explains better, of one document's explanations."""
+    taken: list[tuple[int, int, float, int]] = []
+    out = []
+    for score, item, a, b, hits in sorted(each, key=lambda x: (-x[0], x[1])):
+        if any(min(b, y) - max(a, x) > 0.5 * (b - a) and score < s and item != other for x, y, s, other in taken):
+            continue
+        taken.append((a, b, score, item))
+        out.append((item, a, b, hits))
+    return out
 
 
 def _sequences(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -325,15 +342,28 @@ def leaks(docs: DataFrame, eval_items: DataFrame) -> DataFrame:
     hold nothing; repeated documents are reported under each of their ids; empty tables give no rows.
     """
     rows = sorted({(r.item_id, r.text) for r in eval_items.select("item_id", "text").where("item_id is not null").toLocalIterator()}, key=lambda r: (r[0], r[1] or ""))
-    out = None
-    for a in range(0, max(len(rows), 1), BLOCK):
-        part = _leaks_of_block(docs, read_items(rows[a : a + BLOCK]))
+    if len(rows) <= BLOCK:
+        return _leaks_of_block(docs, read_items(rows))
+    seen, out = sentence_counts(rows), None
+    for a in range(0, len(rows), BLOCK):
+        part = _leaks_of_block(docs, read_items(rows[a : a + BLOCK], seen), scored=True)
         out = part if out is None else out.unionByName(part)
-    return out
 
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = pdf["doc_id"].iloc[0]
+        each = pdf[["score", "item_id", "token_start", "token_end", "n_words"]].drop_duplicates().itertuples(index=False, name=None)
+        return pd.DataFrame([(d, *x) for x in best(each)], columns=["doc_id", "item_id", "token_start", "token_end", "n_words"])
+
+    # one document's explanations are bounded by its length
+    return out.groupBy("doc_id").applyInPandas(choose, SCHEMA)
 
-def _leaks_of_block(docs: DataFrame, items: Items) -> DataFrame:
-    schema = "doc_id bigint, item_id bigint, token_start int, token_end int, n_words int"
+
+SCHEMA = "doc_id bigint, item_id bigint, token_start int, token_end int, n_words int"
+
+
+def _leaks_of_block(docs: DataFrame, items: Items, scored: bool = False) -> DataFrame:
+    """The leaks of a block's items; scored, all explanations, from which the best are still to be chosen."""
+    schema = SCHEMA + (", score double" if scored else "")
     if not items.segments:
         return docs.sparkSession.createDataFrame([], schema)
     seqs = cut(_sequences(docs, items.vocabulary))
@@ -344,8 +374,12 @@ def _leaks_of_block(docs: DataFrame, items: Items) -> DataFrame:
         search = Search(items, weight, basis)
         for pdf in batches:
             ids = pdf["doc_id"].tolist()
-            found = search.leaks([np.asarray(s) for s in pdf["seq"]])
-            yield pd.DataFrame([(ids[d], *rest) for d, *rest in found], columns=["doc_id", "item_id", "token_start", "token_end", "n_words"])
+            seqs_ = [np.asarray(s) for s in pdf["seq"]]
+            columns = ["doc_id", "item_id", "token_start", "token_end", "n_words"]
+            if scored:
+                yield pd.DataFrame([(ids[d], *rest, float(score)) for d, each in search.explanations(seqs_).items() for score, *rest in each], columns=[*columns, "score"])
+            else:
+                yield pd.DataFrame([(ids[d], *rest) for d, *rest in search.leaks(seqs_)], columns=columns)
 
     return seqs.mapInPandas(seek, schema)
 

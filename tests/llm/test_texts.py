@@ -194,6 +194,18 @@ def test_leaks(spark):
     assert leaked(spark, texts) == {(0, 1), (1, 1), (2, 2), (3, 1), (4, 2), (4, 3), (7, 2), (8, 3), (12, 1), (12, 2)}
 
 
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    say = lambda k, n: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(n)) + "."
+    standing, own = say("s", 16), say("o", 24)
+    near = " ".join("zebra" if n == 11 else w for n, w in enumerate(own[:-1].split())) + "."
+    items = spark.createDataFrame([(1, f"{standing} {say('a', 20)}"), (2, own), (3, f"{standing} {say('b', 20)}"), (4, near)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, f"{say('x', 30)} {standing} {say('y', 30)}"), (1, f"{say('x', 30)} {own} {say('y', 30)}")], "doc_id bigint, text string")
+    for size in (2000, 2):
+        monkeypatch.setattr(leaks, "BLOCK", size)
+        assert {tuple(r) for r in leaks.found(docs, items).collect()} == {(1, 2)}
+
+
 def test_minimal_passages():
     rng = random.Random(3)
     words = [f"w{n}" for n in range(40)]

@@ -113,6 +113,11 @@ def test_consensus_beats_majority(spark):
         assert mine > majority and mine > 0.85 * len(truth), f
     rel = {(x.annotator, x.field_name): x.triplet_accuracy for x in consensus.reliability(df).collect()}
     assert rel["a0", "class"] > rel["a3", "class"] > rel["a6", "class"]
+    assert all(abs(rel[f"a{a}", "class"] - skill[a]) < 0.12 for a in range(8))
+    # a small panel, and the other annotators solved against its pairs
+    best = consensus._best()["k"].alias("k")
+    few = {(x.incident_id, x.field): x.k for x in consensus.consensus(df, 6)[0].select("incident_id", "field", best).collect()}
+    assert set(few) == set(got) and sum(few[x] == got[x] for x in got) > 0.9 * len(got)
     assert consensus.found(spark.createDataFrame([], INC)).count() == 0
     assert consensus.agreement(df).where("agreement < 0 or agreement > 1 or n_votes < 3").count() == 0
 

@@ -1,9 +1,9 @@
 """Problem 8: held-out items whose passages stand in documents, by latent semantic retrieval and alignment.
 
-Documents become sequences of the items' terms. Windows of them are passages; a randomised SVD of the TF-IDF matrix of all passages
+Documents become sequences of hashed words, once. Windows of them are passages; a randomised SVD of the TF-IDF matrix of all passages
 (accumulated over the cluster, one small matrix per task) gives a latent space, in which each passage seeks the items'
-passages by cosine. What it finds is aligned word by word: a common subsequence that is dense on both sides, and that
-no other item explains better, is a leak.
+passages by cosine. What it finds is aligned word by word: a common subsequence that is dense on both sides, that carries the
+item's own answer (the words that the items' common phrasing doesn't foretell) and that no other item explains better, is a leak.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +24,7 @@ from colloquy.session import cut
 
 #: Passages: their length and step in tokens (a word, or one character of a script without spaces).
 WINDOW, STEP, ITEM_STEP = 24, 12, 4
-RANK, POWER_ROUNDS, SEED = 192, 1, 11
+RANK, POWER_ROUNDS, SEED = 96, 1, 11
 #: Least cosine of a passage and an item's passage.
 COSINE = 0.5
 #: A leak: so many words (or characters of a script without spaces) of the item, of which at most about this share is altered, missing or added.
@@ -33,8 +33,12 @@ WORDS, CHARS, ALTERED = 12, 24, 0.2
 LEAST = 9
 #: What the least leak scores in the alignment: twelve words, two of them altered.
 LEAST_SCORE = 6.5
-#: Items are sought in blocks of so many.
+#: Least share of what the aligned span of the item says that must be matched: its words' surprise beside their neighbours.
+ANSWER = 0.5
+#: Items are sought in blocks of about so many: what the driver and each task hold of them at once. Results don't depend on it.
 BLOCK = 2000
+#: Pairs that are aligned at once.
+PAIRS = 4096
 
 # Cyrillic, Greek and small-capital letters that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -60,51 +64,48 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.casefold())
 
 
+def hashed(words: Iterable[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint32).view(np.int32)
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    return [w for x in _SENTENCE.split(text or "") if (w := tokens(x))]
+
+
 @dataclass
 class Items:
-    """The items' passages in a vocabulary of their own terms."""
+    """A block of items' passages in a vocabulary of their own terms."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # hashes, sorted
+    wide: np.ndarray  # whether a term is a character of a script without spaces
     ids: list[int]  # item of each segment
-    segments: list[np.ndarray]  # token ids; standing sentences are cut out
-    windows: np.ndarray  # padded token ids of the passages, -1 for none
+    segments: list[np.ndarray]  # term numbers; standing sentences are cut out
+    surprise: list[np.ndarray]  # of each word of the segments
+    windows: np.ndarray  # padded term numbers of the passages, -1 for none
     owner: np.ndarray  # segment of each passage
 
-
-def _split(rows: list[tuple[int, str]]) -> dict[int, list[list[str]]]:
-    return {i: [tokens(s) for s in _SENTENCE.split(t or "")] for i, t in rows}
-
-
-def sentence_counts(rows: list[tuple[int, str]]) -> Counter:
-    """In how many items each sentence stands."""
-    return Counter(k for ss in _split(rows).values() for k in {tuple(s) for s in ss if s})
+    def numbers(self, seq: np.ndarray) -> np.ndarray:
+        """Hashed words as term numbers, -1 for any word that no item has."""
+        at = np.searchsorted(self.vocabulary, seq)
+        at[at == len(self.vocabulary)] = 0
+        return np.where(self.vocabulary[at] == seq, at, -1).astype(np.int32)
 
 
-def read_items(rows: list[tuple[int, str]], seen: Counter | None = None) -> Items:
-    """Segments and passages of the items; a sentence that stands in several items (of all, if ``seen`` has their counts) is left out and splits its item."""
-    split = _split(rows)
-    seen = sentence_counts(rows) if seen is None else seen
-    vocabulary: dict[str, int] = {}
-    ids, segments = [], []
-    for i, ss in split.items():
-        run: list[int] = []
-        for s in [*ss, None]:
-            if s is None or (s and seen[tuple(s)] > 1):
-                if run:
-                    ids.append(i)
-                    segments.append(np.array(run, dtype=np.int32))
-                run = []
-            else:
-                run += [vocabulary.setdefault(w, len(vocabulary)) for w in s]
+def item_block(segments: list[tuple[int, list[str], list[float]]]) -> Items:
+    """``segments``: item, words and their surprise of each run of an item's own sentences."""
+    words = sorted({w for _, ws, _ in segments for w in ws})
+    vocabulary, first = np.unique(hashed(words), return_index=True)
+    wide = np.array([len(w) == 1 and ord(w) > 0x2FFF for w in words], dtype=bool)[first]
+    each = [np.searchsorted(vocabulary, hashed(ws)).astype(np.int32) for _, ws, _ in segments]
     windows, owner = [], []
-    for k, seg in enumerate(segments):
+    for k, seg in enumerate(each):
         for a in range(0, max(1, len(seg) - WINDOW + ITEM_STEP), ITEM_STEP):
             w = np.full(WINDOW, -1, dtype=np.int32)
             part = seg[a : a + WINDOW]
             w[: len(part)] = part
             windows.append(w)
             owner.append(k)
-    return Items(vocabulary, ids, segments, np.array(windows).reshape(-1, WINDOW), np.array(owner))
+    return Items(vocabulary, wide, [i for i, _, _ in segments], each, [np.array(x) for _, _, x in segments], np.array(windows, dtype=np.int32).reshape(-1, WINDOW), np.array(owner, dtype=int))
 
 
 def passages(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,81 +126,134 @@ def batch_passages(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     return owner, np.concatenate([np.zeros(0, dtype=int), *(a for a, _ in each)]), np.concatenate([empty, *(w for _, w in each)])
 
 
-def matrix(w: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of windows, of unit length; dense, as a block has few terms."""
-    n, v = len(w), len(weight)
-    cells = np.arange(n)[:, None] * v + np.where(w >= 0, w, v - 1)
-    m = np.bincount(cells.ravel(), weights=np.where(w >= 0, weight[w], 0.0).ravel(), minlength=n * v).astype(np.float32).reshape(n, v)[:, :-1]
-    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-9)
+def unit_weights(w: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of the windows' places, such that a window's vector has unit length; a term's places share its weight."""
+    x = np.where(w >= 0, weight[w], 0.0).astype(np.float32)
+    # a term that stands in k places of a window counts k times: its square is k times what its places give alone
+    same = (w[:, :, None] == w[:, None, :]).sum(2, dtype=np.float32)
+    return x / np.maximum(np.sqrt((x * x * same).sum(1, keepdims=True)), 1e-9)
 
 
-def in_blocks(w: np.ndarray, weight: np.ndarray, rows: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
+def in_blocks(w: np.ndarray, weight: np.ndarray, rows: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for a in range(0, len(w), rows):
-        yield a, matrix(w[a : a + rows], weight)
+        yield a, w[a : a + rows], unit_weights(w[a : a + rows], weight)
+
+
+def project(w: np.ndarray, x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The windows' vectors times ``basis``: sums of its rows, whatever the number of terms."""
+    return np.einsum("np,npr->nr", x, basis[w], optimize=True)
 
 
 def range_step(w: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """The TF-IDF matrix, transposed, times itself, times ``basis``."""
     out = np.zeros(basis.shape, dtype=np.float32)
-    for _, m in in_blocks(w, weight):
-        out += m.T @ (m @ basis)
+    for _, part, x in in_blocks(w, weight):
+        y = project(part, x, basis)
+        order = np.argsort(part, axis=None, kind="stable")
+        terms, flat = part.ravel()[order], x.ravel()[order]
+        known = np.searchsorted(terms, 0)
+        if known < len(terms):
+            first = known + np.flatnonzero(np.append(True, terms[known + 1 :] != terms[known:-1]))
+            rows = y[order // part.shape[1]] * flat[:, None]
+            out[terms[first]] += np.add.reduceat(rows, first, axis=0)
     return out
 
 
-def align(parts: np.ndarray, segments: np.ndarray) -> list[tuple[int, int, int, int, int] | None]:
-    """The densest common subsequence of each pair: matches, and its spans in the document's part and the item (end exclusive).
+def _columns(parts: np.ndarray, segments: np.ndarray) -> Iterator[np.ndarray]:
+    """Local alignment of many pairs at once (rows padded with -1 and -2), place by place of the segments: the scores, doubled, by place of the part and pair.
 
-    Local alignment of many pairs at once (rows padded with -1 and -2): a match is worth 1, a word altered, missing or added costs 1.5.
-    None where even the least leak scores more.
+    A match is worth 1, a word altered, missing or added costs 1.5. The array is reused.
     """
+    w, s = np.ascontiguousarray(parts.T), np.ascontiguousarray(segments.T)
+    n, p = w.shape
+    h, cell, spare = np.zeros((n + 1, p), dtype=np.int16), np.empty((n, p), dtype=np.int16), np.empty(p, dtype=np.int16)
+    for row in s:
+        np.multiply(w == row, np.int16(5), out=cell, casting="unsafe")
+        cell -= 3
+        cell += h[:-1]
+        np.maximum(cell, h[1:] - np.int16(3), out=cell)
+        np.maximum(cell, 0, out=cell)
+        for i in range(1, n):
+            np.subtract(cell[i - 1], 3, out=spare)
+            np.maximum(cell[i], spare, out=cell[i])
+        h[1:] = cell
+        yield h
+
+
+def scores(parts: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """The best local alignment of each pair, doubled."""
+    top = np.zeros((parts.shape[1] + 1, len(parts)), dtype=np.int16)
+    for h in _columns(parts, segments):
+        np.maximum(top, h, out=top)
+    return top.max(0)
+
+
+@dataclass
+class Alignment:
+    """Matches (their places in the item), and the spans in the document's part and in the item (end exclusive)."""
+
+    matched: list[int]
+    i0: int
+    i1: int
+    j0: int
+    j1: int
+
+    def dense(self, chars: bool) -> bool:
+        """Whether it is long and dense enough for a leak."""
+        hits, span = len(self.matched), max(self.i1 - self.i0, self.j1 - self.j0)
+        # a number is one token, but several characters
+        least, spare = (CHARS, 4) if chars else (WORDS, 1)
+        return span >= least - spare and hits >= (1 - ALTERED) * least and hits >= (1 - ALTERED - 0.05) * span
+
+    def answers(self, surprise: np.ndarray) -> bool:
+        """Whether it carries what tells the item from the others: at least so much of the surprise of its span's words."""
+        return surprise[self.matched].sum() >= ANSWER * surprise[self.j0 : self.j1].sum()
+
+    def score(self) -> float:
+        return 2 * len(self.matched) - 0.5 * (self.i1 - self.i0 + self.j1 - self.j0)
+
+
+def align(parts: np.ndarray, segments: np.ndarray) -> list[Alignment | None]:
+    """The densest common subsequence of each pair; None where even the least leak scores more."""
     p, n = parts.shape
     m = segments.shape[1]
-    cost, at = np.float32(1.5), np.arange(m + 1, dtype=np.float32) * np.float32(1.5)
-    h = np.zeros((n + 1, p, m + 1), dtype=np.float32)
-    for i in range(n):
-        row = np.maximum(h[i] - cost, 0)
-        step = np.where(segments == parts[:, i : i + 1], np.float32(1), -cost)
-        np.maximum(row[:, 1:], h[i, :, :-1] + step, out=row[:, 1:])
-        row += at
-        np.maximum.accumulate(row, axis=1, out=row)
-        h[i + 1] = row - at
-    out: list[tuple[int, int, int, int, int] | None] = []
-    for k in range(p):
-        g, doc, item = h[:, k], parts[k], segments[k]
-        i, j = divmod(int(g.argmax()), m + 1)
-        if g[i, j] < LEAST_SCORE:
+    all_ = np.zeros((m + 1, n + 1, p), dtype=np.int16)
+    for j, h in enumerate(_columns(parts, segments)):
+        all_[j + 1] = h
+    out: list[Alignment | None] = []
+    for g, part, segment in zip(np.ascontiguousarray(all_.transpose(2, 0, 1)), parts, segments, strict=True):
+        j, i = divmod(int(g.argmax()), n + 1)
+        now = int(g[j, i])
+        if now < 2 * LEAST_SCORE:
             out.append(None)
             continue
-        i1, j1, hits = i, j, 0
-        while i > 0 and j > 0 and g[i, j] > 1e-3:
-            if doc[i - 1] == item[j - 1] and g[i, j] == g[i - 1, j - 1] + 1:
-                hits, i, j = hits + 1, i - 1, j - 1
-            elif g[i, j] == g[i - 1, j - 1] - cost:
-                i, j = i - 1, j - 1
-            elif g[i, j] == g[i - 1, j] - cost:
-                i -= 1
+        doc, item = part.tolist(), segment.tolist()
+        i1, j1, matched = i, j, []
+        while i > 0 and j > 0 and now > 0:
+            aslant = int(g[j - 1, i - 1])
+            if doc[i - 1] == item[j - 1] and now == aslant + 2:
+                i, j, now = i - 1, j - 1, aslant
+                matched.append(j)
+            elif now == aslant - 3:
+                i, j, now = i - 1, j - 1, aslant
+            elif now == int(g[j, i - 1]) - 3:
+                i, now = i - 1, now + 3
             else:
-                j -= 1
-        out.append((hits, i, i1, j, j1))
+                j, now = j - 1, now + 3
+        out.append(Alignment(matched, i, i1, j, j1))
     return out
 
 
-def leaked(hits: int, doc_span: int, item_span: int, chars: bool) -> bool:
-    # a number is one token, but several characters
-    least, spare = (CHARS, 4) if chars else (WORDS, 1)
-    return max(doc_span, item_span) >= least - spare and hits >= (1 - ALTERED) * least and hits >= (1 - ALTERED - 0.05) * max(doc_span, item_span)
-
-
-def widened(got: tuple[int, int, int, int, int], doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
+def widened(got: Alignment, doc: np.ndarray, item: np.ndarray) -> Alignment:
     """An alignment with what stands beyond an altered word near its ends, and with altered end words, as far as the whole stays within ``ALTERED``.
 
     Local alignment cuts off a lone word behind an altered one, as that one costs more than the word is worth.
     """
-    hits, i0, i1, j0, j1 = got
+    hits, i0, i1, j0, j1 = len(got.matched), got.i0, got.i1, got.j0, got.j1
     # hits gained by so many steps to either side
     k, m = min(i0, j0), min(len(doc) - i1, len(item) - j1)
-    left = np.append(0, (doc[i0 - k : i0] == item[j0 - k : j0])[::-1].cumsum())
-    right = np.append(0, (doc[i1 : i1 + m] == item[j1 : j1 + m]).cumsum())
+    before, behind = doc[i0 - k : i0] == item[j0 - k : j0], doc[i1 : i1 + m] == item[j1 : j1 + m]
+    left, right = np.append(0, before[::-1].cumsum()), np.append(0, behind.cumsum())
     if hits + left[-1] + right[-1] < (1 - ALTERED) * WORDS:
         return got
     n, steps = hits + left[:, None] + right, np.arange(k + 1)[:, None] + np.arange(m + 1)
@@ -208,7 +262,8 @@ def widened(got: tuple[int, int, int, int, int], doc: np.ndarray, item: np.ndarr
     if not at.any():
         return got
     x, y = divmod(int(at.argmax()), m + 1)
-    return int(n[x, y]), i0 - x, i1 + y, j0 - x, j1 + y
+    more = [j0 - 1 - d for d in range(x) if before[k - 1 - d]] + [j1 + d for d in range(y) if behind[d]]
+    return Alignment([*got.matched, *more], i0 - x, i1 + y, j0 - x, j1 + y)
 
 
 class Search:
@@ -216,109 +271,187 @@ class Search:
 
     def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray) -> None:
         self.items, self.weight, self.basis = items, weight, basis
-        q = np.concatenate([m @ basis for _, m in in_blocks(items.windows, weight)])
+        q = np.concatenate([project(w, x, basis) for _, w, x in in_blocks(items.windows, weight)])
         self.q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.copy()
         self.first = np.flatnonzero(np.append(True, items.owner[1:] != items.owner[:-1]))
         self.has = np.zeros((len(items.segments), len(items.vocabulary) + 1), dtype=bool)
         for k, s in enumerate(items.segments):
             self.has[k, s] = True
-        self.wide = np.array([len(t) == 1 and bool(_TOKEN.match(t)) and ord(t) > 0x2FFF for t in items.vocabulary])
+        self.length = np.array([len(s) for s in items.segments])
+        self.padded = np.full((len(items.segments), self.length.max()), -2, dtype=np.int32)
+        for k, s in enumerate(items.segments):
+            self.padded[k, : len(s)] = s
 
     def candidates(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Passages and segments whose latent vectors are near enough."""
+        """Passages and segments whose latent vectors are near enough, and which hold a leak's worth of common words in order."""
         rows, cols = [], []
-        for a, m in in_blocks(w, self.weight):
-            p = m @ self.basis
+        for a, part, x in in_blocks(w, self.weight):
+            p = project(part, x, self.basis)
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
             best = np.maximum.reduceat(p @ self.q, self.first, axis=1)
             r, c = np.nonzero(best >= COSINE)
             # a leak within the passage needs so many of the segment's terms
-            ok = self.has[c[:, None], w[a + r]].sum(1) >= LEAST
+            ok = self.has[c[:, None], part[r]].sum(1) >= LEAST
             rows.append(r[ok] + a)
             cols.append(c[ok])
-        return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
-
-    def leaks(self, seqs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """``document number, item, start, end, matches`` (in tokens) of a batch; a stretch belongs to the item that explains it best."""
-        return [(d, *x) for d, each in self.explanations(seqs).items() for x in best(each)]
-
-    def explanations(self, seqs: list[np.ndarray]) -> dict[int, set[tuple[float, int, int, int, int]]]:
-        """By document number: ``score, item, start, end, matches`` of all that is leaked."""
+        r, c = np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
+        order = np.argsort(self.length[c], kind="stable")
+        r, c = r[order], c[order]
+        ok = np.zeros(len(r), dtype=bool)
+        for a in range(0, len(r), PAIRS):
+            at = slice(a, a + PAIRS)
+            ok[at] = scores(w[r[at]], self.padded[c[at], : self.length[c[at]].max()]) >= 2 * LEAST_SCORE
+        r, c = r[ok], c[ok]
+        order = np.lexsort((r, c))
+        return r[order], c[order]
+
+    def explanations(self, seqs: list[np.ndarray]) -> dict[int, set[tuple]]:
+        """By document number: ``score, item, start, end, matches, answers`` (in tokens) of every dense alignment."""
         owner, start, w = batch_passages(seqs)
         rows, segs = self.candidates(w)
-        found: dict[int, set[tuple[float, int, int, int, int]]] = {}
-        for x in range(0, len(rows), 128):
-            pairs = list(zip(rows[x : x + 128].tolist(), segs[x : x + 128].tolist(), strict=True))
-            longest = max(len(self.items.segments[k]) for _, k in pairs)
-            parts, sides = np.full((len(pairs), 3 * WINDOW), -1, dtype=np.int32), np.full((len(pairs), longest), -2, dtype=np.int32)
+        # what is aligned reaches a passage's length to both sides: of passages that follow one another every second will do
+        follows = np.append(False, (segs[1:] == segs[:-1]) & (owner[rows[1:]] == owner[rows[:-1]]) & (start[rows[1:]] == start[rows[:-1]] + STEP))
+        run = np.arange(len(rows)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(rows))))
+        rows, segs = rows[run % 2 == 0], segs[run % 2 == 0]
+        by_length = np.argsort(self.length[segs], kind="stable")
+        rows, segs = rows[by_length], segs[by_length]
+        found: dict[int, set[tuple]] = {}
+        for x in range(0, len(rows), 512):
+            pairs = list(zip(rows[x : x + 512].tolist(), segs[x : x + 512].tolist(), strict=True))
+            parts = np.full((len(pairs), 3 * WINDOW), -1, dtype=np.int32)
+            sides = self.padded[segs[x : x + 512], : self.length[segs[x : x + 512]].max()]
             lows = [max(0, int(start[r]) - WINDOW) for r, _ in pairs]
-            for y, (r, k) in enumerate(pairs):
-                part, seg = seqs[owner[r]][lows[y] : lows[y] + 3 * WINDOW], self.items.segments[k]
-                parts[y, : len(part)], sides[y, : len(seg)] = part, seg
+            for y, (r, _) in enumerate(pairs):
+                part = seqs[owner[r]][lows[y] : lows[y] + 3 * WINDOW]
+                parts[y, : len(part)] = part
             for (r, k), lo, part, got in zip(pairs, lows, parts, align(parts, sides), strict=True):
                 if got is None:
                     continue
-                body = part[got[1] : got[2]]
-                chars = bool(2 * self.wide[body[body >= 0]].sum() > (body >= 0).sum())
-                if not leaked(got[0], got[2] - got[1], got[4] - got[3], chars):
-                    got = widened(got, part[: len(seqs[owner[r]]) - lo], self.items.segments[k])
-                hits, i0, i1, j0, j1 = got
-                if leaked(hits, i1 - i0, j1 - j0, chars):
-                    found.setdefault(int(owner[r]), set()).add((2 * hits - 0.5 * (i1 - i0 + j1 - j0), self.items.ids[k], lo + i0, lo + i1, hits))
+                body, item = part[got.i0 : got.i1], self.items.segments[k]
+                chars = bool(2 * self.items.wide[body[body >= 0]].sum() > (body >= 0).sum())
+                if not got.dense(chars):
+                    got = widened(got, part[: len(seqs[owner[r]]) - lo], item)
+                if got.dense(chars):
+                    found.setdefault(int(owner[r]), set()).add((got.score(), self.items.ids[k], lo + got.i0, lo + got.i1, len(got.matched), got.answers(self.items.surprise[k])))
         return found
 
 
-def best(each: Iterable[tuple[float, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """``item, start, end, matches`` of what no other item explains better, of one document's explanations."""
+def best(each: Iterable[tuple]) -> list[tuple[int, int, int, int]]:
+    """``item, start, end, matches`` of what no other item explains better, of one document's explanations; of these, what carries the item's answer."""
     taken: list[tuple[int, int, float, int]] = []
     out = []
-    for score, item, a, b, hits in sorted(each, key=lambda x: (-x[0], x[1])):
+    for score, item, a, b, hits, answers in sorted(each, key=lambda x: (-x[0], x[1])):
         if any(min(b, y) - max(a, x) > 0.5 * (b - a) and score < s and item != other for x, y, s, other in taken):
             continue
         taken.append((a, b, score, item))
-        out.append((item, a, b, hits))
+        if answers:
+            out.append((item, a, b, hits))
     return out
 
 
-def _sequences(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """``doc_id, seq``: each text as the numbers of the items' terms, -1 for any other word; null texts have none."""
+# ---- the items, by joins over all of them
+
+
+def own_segments(eval_items: DataFrame) -> DataFrame:
+    """``item_id, segments``: runs of an item's sentences that no other item has, as words with their surprise.
+
+    Standing sentences are counted over all items by their hash. A word is foretold as far as it follows the word before it, or comes before the word
+    behind it, in all items' sentences; its surprise is the logarithm of that share's inverse. What all items phrase alike says nothing;
+    where nothing is phrased alike all words weigh the same. None of this passes the driver.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": [np.array([vocabulary.get(t, -1) for t in tokens(x)], dtype=np.int32) for x in pdf["text"]]})
+            rows = [(i, n, ws) for i, t in zip(pdf["item_id"], pdf["text"], strict=True) for n, ws in enumerate(sentences(t))]
+            yield pd.DataFrame(rows, columns=["item_id", "no", "ws"])
+
+    known = eval_items.where("item_id is not null").select("item_id", "text").distinct()
+    each = cut(known.mapInPandas(read, "item_id bigint, no int, ws array<string>").withColumn("key", F.xxhash64("ws")))
+    standing = each.groupBy("key").agg(F.count_distinct("item_id").alias("n")).where("n > 1").select("key", F.lit(True).alias("standing"))
+    marked = each.join(standing, "key", "left").select("item_id", "no", "ws", F.coalesce("standing", F.lit(False)).alias("standing"))
+    # every word with its neighbours; the ends of a sentence are neighbours too
+    beside = lambda i: F.coalesce(F.try_element_at("ws", i), F.lit(""))
+    at = marked.select("*", F.posexplode("ws").alias("at", "w"))
+    at = at.select("item_id", "no", "standing", "at", "w", F.when(F.col("at") > 0, beside(F.col("at"))).otherwise(F.lit("")).alias("l"), beside(F.col("at") + 2).alias("r"))
+    pairs = at.select(F.col("l").alias("p"), F.col("w").alias("q")).unionByName(at.where("r = ''").select(F.col("w").alias("p"), F.col("r").alias("q"))).groupBy("p", "q").agg(F.count("*").alias("both"))
+    alone = at.groupBy("w").agg(F.count("*").alias("n")).unionByName(marked.agg(F.count("*").alias("n")).select(F.lit("").alias("w"), "n"))
+    share = lambda mine, other, name: (
+        pairs.select(F.col("p").alias("l" if mine == "q" else "w"), F.col("q").alias("w" if mine == "q" else "r"), "both")
+        .join(alone.select(F.col("w").alias(other), "n"), other)
+        .select("w", other, (F.col("both") / (F.col("n") + 2)).alias(name))
+    )
+    told = at.join(share("q", "l", "by_left"), ["w", "l"]).join(share("p", "r", "by_right"), ["w", "r"])
+    word = F.struct("at", "w", (-F.log(F.greatest("by_left", "by_right"))).alias("s"))
+    told = told.groupBy("item_id", "no", "standing").agg(F.array_sort(F.collect_list(word)).alias("x"))
+    ws = F.transform("x", lambda x: F.struct(x["w"].alias("w"), x["s"].alias("s")))
+    none = F.array().cast("array<struct<w:string,s:double>>")
+    # an item is one text: its sentences fit a task
+    runs = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("no", F.when(F.col("standing"), F.lit(None)).otherwise(ws).alias("ws")))), F.array(none),
+        lambda acc, x: F.when(x["ws"].isNull(), F.concat(acc, F.array(none))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), x["ws"])))),
+    )
+    return told.groupBy("item_id").agg(F.filter(runs, lambda x: F.size(x) > 0).alias("segments")).where(F.size("segments") > 0)
+
+
+# ---- the documents
+
+
+def _sequences(docs: DataFrame) -> DataFrame:
+    """``doc_id, seq``: each text as its words' hashes, read once for all blocks of items; null texts have none."""
 
-    return docs.where("text is not null").select("doc_id", "text").mapInPandas(read, "doc_id bigint, seq array<int>")
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": [hashed(tokens(x)) for x in pdf["text"]]})
 
+    return docs.where("text is not null").select("doc_id", "text").mapInPandas(read, "doc_id bigint, seq array<int>")
 
-def _range(seqs: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The TF-IDF matrix of all passages, transposed, times itself, times ``basis``: one partial sum per task, summed in two steps."""
-    shape = basis.shape
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(shape, dtype=np.float32)
-        for pdf in batches:
-            _, _, w = batch_passages([np.asarray(s) for s in pdf["seq"]])
-            if len(w):
-                out += range_step(w, weight, basis)
-        yield pd.DataFrame({"salt": [int(np.random.default_rng().integers(32))], "m": [out.tobytes()]})
+def _sum(parts: DataFrame, shape: tuple[int, ...], dtype: type) -> np.ndarray:
+    """The sum of the arrays in ``m``, one for each task, in two steps."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"m": [np.sum([np.frombuffer(x, dtype=np.float32).reshape(shape) for x in pdf["m"]], axis=0).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"m": [np.sum([np.frombuffer(x, dtype=dtype) for x in pdf["m"]], axis=0).astype(dtype).tobytes()]})
+
+    sums = parts.groupBy("salt").applyInPandas(add, "m binary")
+    return np.sum([np.frombuffer(r.m, dtype=dtype).reshape(shape) for r in sums.toLocalIterator()] or [np.zeros(shape, dtype)], axis=0)
 
-    sums = seqs.select("seq").mapInPandas(part, "salt int, m binary").groupBy("salt").applyInPandas(add, "m binary")
-    return np.sum([np.frombuffer(r.m, dtype=np.float32).reshape(shape) for r in sums.toLocalIterator()], axis=0)
+
+def _salted(m: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"salt": [int(np.random.default_rng().integers(32))], "m": [m.tobytes()]})
 
 
 def weights(seqs: DataFrame, items: Items) -> np.ndarray:
     """A term's weight: the logarithm of its rarity among the items' passages and among all documents."""
-    n = seqs.count()
-    df = np.zeros(len(items.vocabulary) + 1)
-    for r in seqs.select(F.explode(F.array_distinct("seq")).alias("t")).where("t >= 0").groupBy("t").count().toLocalIterator():
-        df[r.t] = r["count"]
-    own = np.zeros(len(items.vocabulary) + 1)
+    v = len(items.vocabulary)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(v + 1, dtype=np.int64)
+        for pdf in batches:
+            for s in pdf["seq"]:
+                known = np.unique(items.numbers(np.asarray(s)))
+                out[known[known >= 0]] += 1
+            out[v] += len(pdf)
+        yield _salted(out)
+
+    df = _sum(seqs.select("seq").mapInPandas(count, "salt int, m binary"), (v + 1,), np.int64)
+    own = np.zeros(v)
     for w in items.windows:
         own[np.unique(w[w >= 0])] += 1
-    return (np.log((n + 2) / (df + 1)) * np.log((len(items.windows) + 2) / (own + 1))).clip(0.01).astype(np.float64) ** 0.5
+    return (np.log((df[v] + 2) / (df[:v] + 1)) * np.log((len(items.windows) + 2) / (own + 1))).clip(0.01) ** 0.5
+
+
+def _range(seqs: DataFrame, items: Items, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The TF-IDF matrix of all passages, transposed, times itself, times ``basis``: one partial sum per task."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(basis.shape, dtype=np.float32)
+        for pdf in batches:
+            _, _, w = batch_passages([items.numbers(np.asarray(s)) for s in pdf["seq"]])
+            if len(w):
+                out += range_step(w, weight, basis)
+        yield _salted(out)
+
+    return _sum(seqs.select("seq").mapInPandas(part, "salt int, m binary"), basis.shape, np.float32)
 
 
 def latent_space(seqs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
@@ -330,43 +463,44 @@ def latent_space(seqs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarra
         basis = np.linalg.qr(basis)[0].astype(np.float32)
         own = range_step(items.windows, weight, basis)
         # both sides weigh the same, however many documents there are
-        docs = _range(seqs, weight, basis)
+        docs = _range(seqs, items, weight, basis)
         basis = own / max(np.linalg.norm(own), 1e-9) + docs / max(np.linalg.norm(docs), 1e-9)
     return np.linalg.qr(basis)[0].astype(np.float32)
 
 
-def leaks(docs: DataFrame, eval_items: DataFrame) -> DataFrame:
+SCHEMA = "doc_id bigint, item_id bigint, token_start int, token_end int, n_words int"
+_EXPLAINED = f"{SCHEMA}, answers boolean, score double"
+
+
+def leaks(docs: DataFrame, eval_items: DataFrame, block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, token_start, token_end, n_words``: the stretches of documents that hold a passage of an item.
 
-    The items are the stated query set, read in blocks against all documents; a document is never compared with another. Null and empty texts
+    The items are the stated query set, dealt by hash into blocks that are read against all documents; a document is never compared with another. What
+    the blocks find is brought together by document, where a stretch belongs to the item that explains it best. Null and empty texts
     hold nothing; repeated documents are reported under each of their ids; empty tables give no rows.
     """
-    rows = sorted({(r.item_id, r.text) for r in eval_items.select("item_id", "text").where("item_id is not null").toLocalIterator()}, key=lambda r: (r[0], r[1] or ""))
-    if len(rows) <= BLOCK:
-        return _leaks_of_block(docs, read_items(rows))
-    seen, out = sentence_counts(rows), None
-    for a in range(0, len(rows), BLOCK):
-        part = _leaks_of_block(docs, read_items(rows[a : a + BLOCK], seen), scored=True)
-        out = part if out is None else out.unionByName(part)
+    spark = docs.sparkSession
+    segments = cut(own_segments(eval_items))
+    n_blocks = max(1, -(-segments.count() // block))
+    dealt = segments.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
+    seqs, out = cut(_sequences(docs)), spark.createDataFrame([], _EXPLAINED)
+    for k in range(n_blocks):
+        own = sorted(dealt.where(F.col("block") == k).drop("block").toLocalIterator(), key=lambda r: r.item_id)
+        rows = [(r.item_id, [x.w for x in seg], [x.s for x in seg]) for r in own for seg in r.segments]
+        if rows:
+            out = out.unionByName(_leaks_of_block(seqs, item_block(rows)))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf["doc_id"].iloc[0]
-        each = pdf[["score", "item_id", "token_start", "token_end", "n_words"]].drop_duplicates().itertuples(index=False, name=None)
+        each = pdf[["score", "item_id", "token_start", "token_end", "n_words", "answers"]].drop_duplicates().itertuples(index=False, name=None)
         return pd.DataFrame([(d, *x) for x in best(each)], columns=["doc_id", "item_id", "token_start", "token_end", "n_words"])
 
     # one document's explanations are bounded by its length
     return out.groupBy("doc_id").applyInPandas(choose, SCHEMA)
 
 
-SCHEMA = "doc_id bigint, item_id bigint, token_start int, token_end int, n_words int"
-
-
-def _leaks_of_block(docs: DataFrame, items: Items, scored: bool = False) -> DataFrame:
-    """The leaks of a block's items; scored, all explanations, from which the best are still to be chosen."""
-    schema = SCHEMA + (", score double" if scored else "")
-    if not items.segments:
-        return docs.sparkSession.createDataFrame([], schema)
-    seqs = cut(_sequences(docs, items.vocabulary))
+def _leaks_of_block(seqs: DataFrame, items: Items) -> DataFrame:
+    """All explanations by the block's items, with their scores; the best are still to be chosen."""
     weight = weights(seqs, items)
     basis = latent_space(seqs, items, weight)
 
@@ -374,15 +508,11 @@ def _leaks_of_block(docs: DataFrame, items: Items, scored: bool = False) -> Data
         search = Search(items, weight, basis)
         for pdf in batches:
             ids = pdf["doc_id"].tolist()
-            seqs_ = [np.asarray(s) for s in pdf["seq"]]
-            columns = ["doc_id", "item_id", "token_start", "token_end", "n_words"]
-            if scored:
-                yield pd.DataFrame([(ids[d], *rest, float(score)) for d, each in search.explanations(seqs_).items() for score, *rest in each], columns=[*columns, "score"])
-            else:
-                yield pd.DataFrame([(ids[d], *rest) for d, *rest in search.leaks(seqs_)], columns=columns)
+            found = search.explanations([items.numbers(np.asarray(s)) for s in pdf["seq"]])
+            yield pd.DataFrame([(ids[d], *rest, float(score)) for d, each in found.items() for score, *rest in each], columns=[x.split()[0] for x in _EXPLAINED.split(", ")])
 
-    return seqs.mapInPandas(seek, schema)
+    return seqs.mapInPandas(seek, _EXPLAINED)
 
 
-def found(docs: DataFrame, eval_items: DataFrame) -> DataFrame:
-    return leaks(docs, eval_items).select("doc_id", "item_id").distinct()
+def found(docs: DataFrame, eval_items: DataFrame, block: int = BLOCK) -> DataFrame:
+    return leaks(docs, eval_items, block).select("doc_id", "item_id").distinct()

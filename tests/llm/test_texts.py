@@ -199,51 +199,91 @@ def test_leaks(spark):
     assert leaked(spark, texts) == {(0, 1), (1, 1), (2, 2), (3, 1), (4, 2), (4, 3), (7, 2), (8, 3), (12, 1), (12, 2)}
 
 
-def test_blocks_of_items_change_nothing(spark, monkeypatch):
+def test_blocks_of_items_change_nothing(spark):
     rng = random.Random(4)
     say = lambda k, n: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(n)) + "."
     standing, own = say("s", 16), say("o", 24)
     near = " ".join("zebra" if n == 11 else w for n, w in enumerate(own[:-1].split())) + "."
     items = spark.createDataFrame([(1, f"{standing} {say('a', 20)}"), (2, own), (3, f"{standing} {say('b', 20)}"), (4, near)], "item_id bigint, text string")
     docs = spark.createDataFrame([(0, f"{say('x', 30)} {standing} {say('y', 30)}"), (1, f"{say('x', 30)} {own} {say('y', 30)}")], "doc_id bigint, text string")
-    for size in (2000, 2):
-        monkeypatch.setattr(leaks, "BLOCK", size)
-        assert {tuple(r) for r in leaks.found(docs, items).collect()} == {(1, 2)}
+    for size in (2000, 2, 1):
+        assert {tuple(r) for r in leaks.found(docs, items, size).collect()} == {(1, 2)}
+
+
+def test_block_sizes_agree_on_the_tables(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
+    one, some = ({tuple(r) for r in leaks.found(docs, items, size).collect()} for size in (2000, 60))
+    assert one and one == some
+
+
+def test_the_common_phrasing_is_no_leak(spark):
+    nouns = [f"noun{n}" for n in range(40)]
+    rng = random.Random(5)
+    phrase = lambda: "first {} every {} entry against its {} and then please {} the {} that differ by more than {} percent of the total".format(*rng.sample(nouns, 6))
+    texts = [phrase() for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, phrase()), (1, phrase()), (2, f"so {texts[7]} indeed")], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaks.found(docs, items).collect()} == {(2, 7)}
+
+
+def block_of(texts):
+    return leaks.item_block([(i, ws, [1.0] * len(ws)) for i, t in texts for ws in [leaks.tokens(t)]])
 
 
 def test_minimal_passages():
     rng = random.Random(3)
-    words = [f"w{n}" for n in range(40)]
-    it = leaks.read_items([(1, " ".join(words))])
+    it = block_of([(1, " ".join(f"w{n}" for n in range(40)))])
     v = len(it.vocabulary)
-    s = leaks.Search(it, np.ones(v + 1), np.eye(v, dtype=np.float32))
+    s = leaks.Search(it, np.ones(v), np.eye(v, dtype=np.float32))
+    words = it.segments[0]
+    pad = np.full(30, -1, dtype=np.int32)
     seqs = []
     for length, changed in ((12, 1), (12, 2), (13, 2), (14, 2), (15, 3)):
         for _ in range(60):
             a = rng.randrange(1, 39 - length)
-            part = np.arange(a, a + length, dtype=np.int32)
+            part = words[a : a + length].copy()
             part[rng.sample(range(length), changed)] = -1
-            seqs.append(np.concatenate([np.full(30, -1), part, np.full(30, -1)]).astype(np.int32))
-    assert {d for d, *_ in s.leaks(seqs)} == set(range(len(seqs)))
+            seqs.append(np.concatenate([pad, part, pad]))
+    assert set(s.explanations(seqs)) == set(range(len(seqs)))
     # nine words are none, however they are widened
-    assert s.leaks([np.concatenate([np.full(30, -1), np.arange(5, 14), np.full(30, -1)]).astype(np.int32)]) == []
+    assert s.explanations([np.concatenate([pad, words[5:14], pad])]) == {}
+
+
+def test_alignment_by_definition():
+    def local(a, b):
+        h = np.zeros((len(a) + 1, len(b) + 1))
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if x == y else -1.5), h[i - 1, j] - 1.5, h[i, j - 1] - 1.5)
+        return h.max()
+
+    rng = np.random.default_rng(2)
+    parts, sides = rng.integers(0, 4, (50, 24)).astype(np.int32), rng.integers(0, 4, (50, 31)).astype(np.int32)
+    want = [local(a, b) for a, b in zip(parts, sides, strict=True)]
+    assert (leaks.scores(parts, sides) / 2 == want).all()
+    for w, got, a, b in zip(want, leaks.align(parts, sides), parts, sides, strict=True):
+        assert (got is None) == (w < leaks.LEAST_SCORE)
+        if got:
+            edits = max(got.i1 - got.i0, got.j1 - got.j0) - len(got.matched)
+            assert len(got.matched) - 1.5 * edits >= w and (a[got.i0], a[got.i1 - 1]) == (b[got.j0], b[got.j1 - 1])
 
 
 def test_leak_recall_against_all_pairs(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
     got = {(r.doc_id, r.item_id) for r in leaks.found(docs, items).collect()}
-    it = leaks.read_items(sorted((r.item_id, r.text) for r in items.collect()))
+    rows = sorted(leaks.own_segments(items).collect(), key=lambda r: r.item_id)
+    it = leaks.item_block([(r.item_id, [x.w for x in seg], [x.s for x in seg]) for r in rows for seg in r.segments])
 
     class Every(leaks.Search):
         def candidates(self, w):
             r, c = np.nonzero(np.stack([self.has[:, x].sum(1) for x in w]) >= leaks.LEAST) if len(w) else (np.zeros(0, int),) * 2
             return r, c
 
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text]
-    s = Every(it, np.ones(len(it.vocabulary) + 1), np.eye(len(it.vocabulary), dtype=np.float32)[:, :4])
-    seqs = [np.array([it.vocabulary.get(t, -1) for t in leaks.tokens(x)], dtype=np.int32) for _, x in rows]
-    want = {(rows[d][0], item) for d, item, *_ in s.leaks(seqs)}
-    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+    texts = [(r.doc_id, r.text) for r in docs.collect() if r.text]
+    s = Every(it, np.ones(len(it.vocabulary)), np.eye(len(it.vocabulary), dtype=np.float32)[:, :4])
+    seqs = [it.numbers(leaks.hashed(leaks.tokens(x))) for _, x in texts]
+    want = {(texts[d][0], item) for d, each in s.explanations(seqs).items() for item, *_ in leaks.best(each)}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
 # ---- problem 9

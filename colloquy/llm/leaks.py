@@ -309,20 +309,16 @@ class Search:
         """By document number: ``score, item, start, end, matches, answers`` (in tokens) of every dense alignment."""
         owner, start, w = batch_passages(seqs)
         rows, segs = self.candidates(w)
-        # what is aligned reaches a passage's length to both sides: of passages that follow one another every second will do
-        follows = np.append(False, (segs[1:] == segs[:-1]) & (owner[rows[1:]] == owner[rows[:-1]]) & (start[rows[1:]] == start[rows[:-1]] + STEP))
-        run = np.arange(len(rows)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(rows))))
-        rows, segs = rows[run % 2 == 0], segs[run % 2 == 0]
         by_length = np.argsort(self.length[segs], kind="stable")
         rows, segs = rows[by_length], segs[by_length]
         found: dict[int, set[tuple]] = {}
         for x in range(0, len(rows), 512):
             pairs = list(zip(rows[x : x + 512].tolist(), segs[x : x + 512].tolist(), strict=True))
-            parts = np.full((len(pairs), 3 * WINDOW), -1, dtype=np.int32)
+            parts = np.full((len(pairs), 2 * WINDOW), -1, dtype=np.int32)
             sides = self.padded[segs[x : x + 512], : self.length[segs[x : x + 512]].max()]
-            lows = [max(0, int(start[r]) - WINDOW) for r, _ in pairs]
+            lows = [max(0, int(start[r]) - WINDOW // 2) for r, _ in pairs]
             for y, (r, _) in enumerate(pairs):
-                part = seqs[owner[r]][lows[y] : lows[y] + 3 * WINDOW]
+                part = seqs[owner[r]][lows[y] : lows[y] + 2 * WINDOW]
                 parts[y, : len(part)] = part
             for (r, k), lo, part, got in zip(pairs, lows, parts, align(parts, sides), strict=True):
                 if got is None:
@@ -337,11 +333,16 @@ class Search:
 
 
 def best(each: Iterable[tuple]) -> list[tuple[int, int, int, int]]:
-    """``item, start, end, matches`` of what no other item explains better, of one document's explanations; of these, what carries the item's answer."""
+    """``item, start, end, matches`` of what other items don't explain better, of one document's explanations; of these, what carries the item's answer."""
     taken: list[tuple[int, int, float, int]] = []
     out = []
     for score, item, a, b, hits, answers in sorted(each, key=lambda x: (-x[0], x[1])):
-        if any(min(b, y) - max(a, x) > 0.5 * (b - a) and score < s and item != other for x, y, s, other in taken):
+        # better explanations by others may be several, one after the other
+        better = np.zeros(b - a, dtype=bool)
+        for x, y, s, other in taken:
+            if score < s and item != other:
+                better[max(x - a, 0) : max(y - a, 0)] = True
+        if better.sum() > 0.5 * (b - a):
             continue
         taken.append((a, b, score, item))
         if answers:

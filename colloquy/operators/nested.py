@@ -7,13 +7,14 @@ table that carries the parent's surrogate key and the entry's ordinal.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.json_values import MAP, as_text, decoded, entries, field, is_text, strict_json, whole_number
+from colloquy.functions.json_values import LIST, MAP, as_text, decoded, entries, field, strict_json, whole_number
+from colloquy.session import cut
 
 
 def allow_repeated_keys(df: DataFrame) -> DataFrame:
@@ -87,90 +88,126 @@ def turn_tables(turn_lines: DataFrame) -> TurnTables:
 def nested_values(turn_lines: DataFrame) -> DataFrame:
     """Every ``item.type``, ``item.changes.path`` and ``usage.input_tokens`` with its place: the rows of ``p1_found``.
 
-    One pass: each event becomes its leaf values as an array of structs, so the three child tables need no join,
-    no shuffle beyond the removal of repeated lines, and the JSON is parsed once.
+    Selected from the flat tables that :func:`flatten` makes of the merged schema; a level or field that no record has gives no rows.
     """
-    ev = events(turn_lines).withColumn("item", decoded(field(F.col("value"), "item"))).withColumn("use", decoded(field(F.col("value"), "usage")))
-    ev = ev.withColumn("changes", entries(decoded(field(F.col("item"), "changes"))))
-    leaf = lambda kind, pos, value: F.struct(F.lit(kind).alias("child_kind"), pos.cast("bigint").alias("child_pos"), value.alias("child_value"))
-    path = lambda x: as_text(field(decoded(x), "path"))
-    leaves = F.concat(
-        F.array(leaf("item", F.lit(0), as_text(field(F.col("item"), "type"))), leaf("usage", F.lit(0), whole_number(field(F.col("use"), "input_tokens")).cast("string"))),
-        F.coalesce(F.transform("changes", lambda x, i: leaf("change", i, path(x))), F.array().cast("array<struct<child_kind:string,child_pos:bigint,child_value:string>>")),
+    flat = flatten(turn_lines, "line_id", "line", leaf=lambda v: v)
+    empty = F.lit(None).cast("variant")
+    # lines are events or lists of events; entries of changes lie one array level below
+    event, change = flat.get("$[]", flat["$"]), flat.get("$[].item.changes[]")
+    at = F.col("pos_1") if "pos_1" in event.columns else F.lit(0).cast("bigint")
+    col = lambda df, name: F.col(f"`{name}`") if name in df.columns else empty
+    values = F.array(
+        F.struct(F.lit("item").alias("child_kind"), as_text(col(event, "item.type")).alias("child_value")),
+        F.struct(F.lit("usage").alias("child_kind"), whole_number(col(event, "usage.input_tokens")).cast("string").alias("child_value")),
     )
-    return ev.select("line_id", "event_pos", F.explode(leaves).alias("x")).select("line_id", "event_pos", "x.*").where("child_value is not null")
+    out = event.select("line_id", at.alias("event_pos"), F.explode(values).alias("x")).select("line_id", "event_pos", "x.child_kind", F.lit(0).cast("bigint").alias("child_pos"), "x.child_value")
+    if change is not None:
+        out = out.unionByName(change.select("line_id", F.col("pos_1").alias("event_pos"), F.lit("change").alias("child_kind"), F.col("pos_2").alias("child_pos"), as_text(col(change, "path")).alias("child_value")))
+    return out.where("child_value is not null")
+
+
+#: An object with more keys than this in all records is a map: its keys are data, and become rows.
+MAP_KEYS = 256
+_NESTED = ("ARRAY", "OBJECT")
+Path = tuple[str, ...]
+
+
+def _levels(parsed: DataFrame, map_keys: int) -> Iterator[tuple[list, DataFrame]]:
+    """Level by level: ``path, kind, n`` of the values there, and the values. It ends where nothing is nested any more, however deep that is."""
+    kind = F.regexp_extract(F.coalesce(F.schema_of_variant("value"), F.lit("VOID")), r"^\w+", 0)
+    keep = lambda df: cut(df.withColumn("value", decoded(F.col("value"))).withColumn("kind", kind).withColumn("value", F.when(F.col("kind").isin(*_NESTED), F.col("value"))))
+    level = keep(parsed.select(F.array().cast("array<string>").alias("parent"), F.lit("$").alias("key"), "value"))
+    while True:
+        per = level.groupBy("parent", "key", "kind").agg(F.count("*").alias("n"))
+        # counted where the keys are: of a map only the number of its keys goes to the driver
+        many = per.where("key <> '[]'").groupBy("parent").agg(F.count_distinct("key").alias("k")).where(F.col("k") > map_keys)
+        maps = [r.parent for r in many.select("parent").collect()]
+        is_map = F.lit(False)
+        for m in maps:
+            is_map = is_map | ((F.col("parent") == F.array(*map(F.lit, m))) & (F.col("key") != "[]"))
+        step = F.when(is_map, "{}").otherwise(F.col("key"))
+        found = per.withColumn("path", F.concat("parent", F.array(step))).groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
+        yield found, level
+        if not any(r.kind in _NESTED for r in found):
+            return
+        here = F.concat("parent", F.array(step))
+        inside = F.coalesce(
+            F.transform(F.map_entries(F.try_variant_get("value", "$", MAP)), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("key"), e["value"].alias("value"))),
+            F.transform(F.try_variant_get("value", "$", LIST), lambda x: F.struct(F.lit("[]").alias("key"), x.alias("value"))),
+        )
+        level = keep(level.where(F.col("value").isNotNull()).select(here.alias("parent"), F.explode(inside).alias("x")).select("parent", "x.key", "x.value"))
 
 
-def infer_schema(df: DataFrame, key: str, text: str, depth: int = 12) -> DataFrame:
-    """The merged schema of all records: ``path, kinds, n``, arrays written ``[]``.
+def merged_schema(parsed: DataFrame, map_keys: int = MAP_KEYS) -> dict[Path, dict[str, int]]:
+    """The paths of all records, as steps (``$``, ``.name``, ``[]`` for a list's entries, ``{}`` for a map's values), with how often each kind of value stands there.
 
-    All levels to ``depth`` are walked by repeated explode inside one row (no shuffle until the final count per path and
-    type); a path with several kinds is a field that changes its type. JSON text inside a string is read on.
+    It is as large as the schema, not the data: objects whose keys are data count as maps.
     """
-    level = parse_lines(df, key, text).select(F.lit("$").alias("path"), F.col("value"))
-    seen = []
-    for d in range(depth):
-        level = level.withColumn("value", decoded(F.col("value")))
-        kind = F.regexp_extract(F.coalesce(F.schema_of_variant("value"), F.lit("VOID")), r"^\w+", 0)
-        found = level.select("path", kind.alias("kind"), "value")
-        counted = found.groupBy("path", "kind").agg(F.count("*").alias("n"))
-        seen.append(counted)
-        below = found.where(F.col("kind").isin("ARRAY", "OBJECT"))
-        if d + 1 == depth or below.isEmpty():
-            break
-        inside = F.coalesce(
-            F.transform(F.map_entries(F.try_variant_get("value", "$", MAP)), lambda e: F.struct(F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("value"))),
-            F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda x: F.struct(F.concat(F.col("path"), F.lit("[]")).alias("path"), x.alias("value"))),
-        )
-        level = below.select(F.explode(inside).alias("x")).select("x.*")
-    out = seen[0]
-    for s in seen[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.sum("n").alias("n"))
+    out: dict[Path, dict[str, int]] = {}
+    for found, _ in _levels(parsed, map_keys):
+        for r in found:
+            kinds = out.setdefault(tuple(r.path), {})
+            kinds[r.kind] = kinds.get(r.kind, 0) + r.n
+    return out
+
 
+def infer_schema(df: DataFrame, key: str, text: str, map_keys: int = MAP_KEYS) -> DataFrame:
+    """The merged schema of all records: ``path, kinds, n``.
 
-def flatten(df: DataFrame, key: str, text: str, schema: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All related flat tables of arbitrary nested records, by array path (``$`` is the root table).
+    Every level is walked by an explode of the one above, whatever the depth; a path with several kinds is a field that changes its type. JSON text inside
+    a string is read on. Null, empty and broken texts give nothing; an empty table gives no rows.
+    """
+    paths = merged_schema(cut(parse_lines(df, key, text)), map_keys)
+    return df.sparkSession.createDataFrame([("".join(p), sorted(k), sum(k.values())) for p, k in paths.items()], "path string, kinds array<string>, n bigint")
+
+
+def flatten(df: DataFrame, key: str, text: str, map_keys: int = MAP_KEYS, leaf: Callable[[Column], Column] = as_text) -> dict[str, DataFrame]:
+    """All related flat tables of arbitrary nested records, by path (``$`` is the root table).
 
-    From the merged schema (collected: its size is that of the schema, not of the data), each array path becomes a child table
-    with the record's ``key``, one ordinal column ``pos_1, pos_2, ...`` per array level above it, and one string column per
-    leaf that is not below a further array. A path that is an object in some records and a list in others is an array level.
+    From the merged schema each array becomes a child table, and so on inside it. A table has the record's ``key``, an ordinal ``pos_1, pos_2, ...`` (or, of a
+    map, ``key_1, ...``) for each level above it, a surrogate key ``row_id`` with that of its parent row ``parent_id``, and a column per
+    leaf that is not below a further array (by ``leaf``, as text if not said otherwise). A path that is an object in some records and a list in others is an array.
     """
-    raw = {r.path: set(r.kinds) for r in (schema or infer_schema(df, key, text)).collect()}
+    parsed = cut(parse_lines(df, key, text))
+    raw = merged_schema(parsed, map_keys)
     listed = {p for p, k in raw.items() if "ARRAY" in k}
 
-    def canonical(path: str) -> str:
+    def canonical(path: Path) -> Path:
         # a lone object where other records have a list belongs to the list's entries
-        out = so_far = ""
-        for part in re.findall(r"\[\]|\$|\.[^.\[]+", path):
-            if so_far in listed and part != "[]":
-                out += "[]"
-            out, so_far = out + part, so_far + part
+        out: Path = ()
+        for n, part in enumerate(path):
+            if n and path[:n] in listed and part != "[]":
+                out += ("[]",)
+            out += (part,)
         return out
 
     paths = {canonical(p) for p in raw}
-    arrays = {canonical(p) for p in listed}
+    arrays, maps = {canonical(p) for p in listed}, {canonical(p)[:-1] for p in raw if p[-1] == "{}"}
     tables: dict[str, DataFrame] = {}
 
-    def leaf_paths(root: str) -> list[str]:
-        inner = [p for p in paths if p.startswith(root + ".") and "[" not in p[len(root) :] and p not in arrays]
-        return sorted(p for p in inner if not any(q.startswith(p + ".") for q in inner))
+    def below(p: Path, root: Path) -> bool:
+        return p[: len(root)] == root and all(x[0] == "." for x in p[len(root) :])
 
-    def walk(root: str, frame: DataFrame, keys: list[str]) -> None:
-        rel = lambda p: [x for x in p[len(root) :].split(".") if x]
-
-        def at(p: str) -> Column:
+    def walk(root: Path, frame: DataFrame, keys: list[str], depth: int) -> None:
+        def at(p: Path) -> Column:
             v = decoded(F.col("value"))
-            for name in rel(p):
-                v = decoded(field(v, name))
+            for name in p[len(root) :]:
+                v = decoded(field(v, name[1:]))
             return v
 
-        cols = leaf_paths(root)
-        own = [as_text(F.col("value")).alias("value")] if not cols else [as_text(at(p)).alias(".".join(rel(p))) for p in cols]
-        tables[root] = frame.where(F.col("value").isNotNull() & ~F.is_variant_null("value")).select(*keys, *own)
-        for a in sorted(x for x in arrays if x == root or (x.startswith(root + ".") and "[" not in x[len(root) :])):
-            pos = f"pos_{sum(1 for k in keys if k.startswith('pos_')) + 1}"
-            walk(a + "[]", child_level(frame, keys, at(a), pos), [*keys, pos])
-
-    walk("$", parse_lines(df, key, text), [key])
+        inner = [p for p in paths if len(p) > len(root) and below(p, root) and p not in arrays | maps]
+        cols = sorted(p for p in inner if not any(below(q, p) and len(q) > len(p) for q in inner))
+        ids = [x for x in keys if x != key]
+        own = [leaf(F.col("value")).alias("value")] if root not in arrays | maps and not any(len(p) > len(root) and p[: len(root)] == root for p in paths) else [leaf(at(p)).alias("".join(p[len(root) :])[1:]) for p in cols]
+        name = lambda cs: F.concat_ws("/", *(F.col(c).cast("string") for c in cs))
+        # a step of a child table names its array too: siblings' rows are told apart by their table
+        tables["".join(root)] = frame.where(F.col("value").isNotNull() & ~F.is_variant_null("value")).select(*keys, name(keys).alias("row_id"), (name(keys[:-1]) if ids else F.lit(None).cast("string")).alias("parent_id"), *own)
+        for a in sorted(x for x in arrays | maps if below(x, root)):
+            if a in arrays:
+                walk((*a, "[]"), child_level(frame, keys, at(a), f"pos_{depth}"), [*keys, f"pos_{depth}"], depth + 1)
+            else:
+                each = F.explode(F.try_variant_get(at(a), "$", MAP)).alias(f"key_{depth}", "value")
+                walk((*a, "{}"), frame.select(*keys, each).withColumn("value", decoded(F.col("value"))), [*keys, f"key_{depth}"], depth + 1)
+
+    walk(("$",), parsed, [key], 1)
     return tables

@@ -10,12 +10,20 @@ def _lines(spark, d):
     return table(spark, d, "turn_lines")
 
 
+def _flat(spark, d, path, columns):
+    """A table of the merged schema; its columns are named by their path below it."""
+    t = nested.flatten(_lines(spark, d), "line_id", "line")[path]
+    return t.select("line_id", *(t[f"`{c}`"].alias(c.replace(".", "_")) for c in columns))
+
+
 QUERIES = {
     "p1_found": lambda spark, d: nested.nested_values(_lines(spark, d)),
     "p1_turns": lambda spark, d: nested.turn_tables(_lines(spark, d)).turns,
     "p1_items": lambda spark, d: nested.turn_tables(_lines(spark, d)).items,
     "p1_changes": lambda spark, d: nested.turn_tables(_lines(spark, d)).changes,
     "p1_usage": lambda spark, d: nested.turn_tables(_lines(spark, d)).usage,
+    "p1_flat_events": lambda spark, d: _flat(spark, d, "$[]", ["parent_id", "row_id", "type", "item.type", "item.id", "usage.output_tokens"]),
+    "p1_flat_changes": lambda spark, d: _flat(spark, d, "$[].item.changes[]", ["parent_id", "row_id", "path", "kind"]),
     "p1_schema": lambda spark, d: nested.infer_schema(_lines(spark, d), "line_id", "line").selectExpr("path", "concat_ws('|', kinds) as kinds", "n"),
 }
 
@@ -47,6 +55,11 @@ SELECT line_id, event_pos, 'item' AS child_kind, CAST(0 AS BIGINT) AS child_pos,
 UNION ALL SELECT line_id, event_pos, 'change', change_pos, json_extract_string(value, '$.path') FROM chx WHERE json_extract_string(value, '$.path') IS NOT NULL
 UNION ALL SELECT line_id, event_pos, 'usage', CAST(0 AS BIGINT), CAST({_TOKENS.format("input_tokens")} AS VARCHAR) FROM ev WHERE {_TOKENS.format("input_tokens")} IS NOT NULL
 """,
+    "p1_flat_events": _EVENTS
+    + """SELECT line_id, CAST(line_id AS VARCHAR) AS parent_id, line_id || '/' || event_pos AS row_id, json_extract_string(value, '$.type') AS type, json_extract_string(item, '$.type') AS item_type,
+  json_extract_string(item, '$.id') AS item_id, json_extract_string(value, '$.usage.output_tokens') AS usage_output_tokens FROM it WHERE json_type(value) <> 'NULL'""",
+    "p1_flat_changes": _EVENTS
+    + """SELECT line_id, line_id || '/' || event_pos AS parent_id, line_id || '/' || event_pos || '/' || change_pos AS row_id, json_extract_string(value, '$.path') AS path, json_extract_string(value, '$.kind') AS kind FROM chx WHERE json_type(value) <> 'NULL'""",
     "p1_turns": "SELECT room_id, seat, turn, COUNT(*) AS n_lines, MIN(line_id) AS first_line_id, MAX(line_no) AS last_line_no FROM (SELECT DISTINCT line_id, room_id, seat, turn, line_no FROM turn_lines) GROUP BY ALL",
     "p1_items": _EVENTS
     + """SELECT line_id, event_pos, json_extract_string(item, '$.id') AS item_id, json_extract_string(item, '$.type') AS item_type, json_extract_string(item, '$.status') AS status,

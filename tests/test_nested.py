@@ -47,7 +47,28 @@ def test_schema_and_flatten_round_trip(spark):
     paths = {r["path"] for r in tables["$[].item.changes[]"].collect()}
     assert paths == {"a", "b", "lone", None}
     hunks = tables["$[].item.changes[].hunks[]"].collect()
-    assert [(r.line_id, r.pos_1, r.pos_2, r.pos_3, r["path"]) for r in hunks] == [(1, 0, 3, 0, "no")]
+    assert [(r.line_id, r.pos_1, r.pos_2, r.pos_3, r["path"], r.row_id, r.parent_id) for r in hunks] == [(1, 0, 3, 0, "no", "1/0/3/0", "1/0/3")]
+    parents = {r.row_id for r in tables["$[].item.changes[]"].collect()}
+    assert {r.parent_id for r in hunks} <= parents
+    assert {r.parent_id for r in tables["$[].item.changes[]"].collect()} <= {r.row_id for r in tables["$[]"].collect()}
+
+
+def test_any_depth(spark):
+    deep = {"v": 1}
+    for _ in range(20):
+        deep = {"a": [deep, None]}
+    tables = N.flatten(frame(spark, [(1, json.dumps(deep))]), "line_id", "line")
+    last = "$" + ".a[]" * 20
+    assert [(r["v"], r.row_id) for r in tables[last].collect()] == [("1", "1" + "/0" * 20)]
+
+
+def test_keys_that_are_data(spark):
+    rows = [(n, json.dumps({"by.id": {f"k{n}": {"x": n, "ys": [n, n]}}, "b": n})) for n in range(40)]
+    tables = N.flatten(frame(spark, rows), "line_id", "line", map_keys=10)
+    assert set(tables) == {"$", "$.by.id{}", "$.by.id{}.ys[]"}
+    assert {(r.line_id, r.key_1, r["x"]) for r in tables["$.by.id{}"].collect()} == {(n, f"k{n}", str(n)) for n in range(40)}
+    assert {(r.row_id, r.parent_id, r["value"]) for r in tables["$.by.id{}.ys[]"].collect()} == {(f"{n}/k{n}/{i}", f"{n}/k{n}", str(n)) for n in range(40) for i in range(2)}
+    assert {r.path for r in N.infer_schema(frame(spark, rows), "line_id", "line", 10).collect()} == {"$", "$.b", "$.by.id", "$.by.id{}", "$.by.id{}.x", "$.by.id{}.ys", "$.by.id{}.ys[]"}
 
 
 def test_brute_force_on_tables(spark, sf):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from colloquy.session import cut
 
 #: Passages: their length and step in tokens (a word, or one character of a script without spaces).
-WINDOW, STEP, ITEM_STEP = 24, 12, 4
+WINDOW, STEP, ITEM_STEP = 24, 12, 8
 RANK, POWER_ROUNDS, SEED = 96, 1, 11
 #: Least cosine of a passage and an item's passage.
 COSINE = 0.5
@@ -45,6 +45,8 @@ LOOKALIKES = str.maketrans(
     "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0501\u051b\u051d\u04bb\u0432\u043a\u043c\u043d\u0442\u03bf\u03b1\u03b5\u03b9\u03ba\u03bd\u03c1\u03c4\u03c5\u03c7\u0131\u0261",
     "aeopcyxijsdqwhbkmhtoaeikvptuxig",
 )
+#: Marks and invisible characters are dropped, look-alikes replaced.
+_PLAIN = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Cf")} | LOOKALIKES
 _ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrtbf])|%([0-9A-Fa-f]{2})(?=%|\b|\w)")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n+")
@@ -57,15 +59,20 @@ def tokens(text: str) -> list[str]:
     if "\\" in text:
         text = _ESCAPES.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).casefold()
         # words that mix scripts, or stand among Latin ones, are Latin in disguise
-        text = text.translate(LOOKALIKES)
-    return _TOKEN.findall(text.casefold())
+        return _TOKEN.findall(unicodedata.normalize("NFKD", text).casefold().translate(_PLAIN))
+    return _TOKEN.findall(text.lower())
 
 
-def hashed(words: Iterable[str]) -> np.ndarray:
-    return np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint32).view(np.int32)
+def hashed(words: list[str], known: dict[str, int] | None = None) -> np.ndarray:
+    """Words as numbers; ``known`` keeps those of words that came before."""
+    known = {} if known is None else known
+    if len(known) > 1 << 20:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = zlib.crc32(w.encode())
+    return np.array([known[w] for w in words], dtype=np.uint32).view(np.int32)
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -217,11 +224,11 @@ def align(parts: np.ndarray, segments: np.ndarray) -> list[Alignment | None]:
     """The densest common subsequence of each pair; None where even the least leak scores more."""
     p, n = parts.shape
     m = segments.shape[1]
-    all_ = np.zeros((m + 1, n + 1, p), dtype=np.int16)
+    all_ = np.zeros((m + 1, p, n + 1), dtype=np.int16)
     for j, h in enumerate(_columns(parts, segments)):
-        all_[j + 1] = h
+        all_[j + 1] = h.T
     out: list[Alignment | None] = []
-    for g, part, segment in zip(np.ascontiguousarray(all_.transpose(2, 0, 1)), parts, segments, strict=True):
+    for g, part, segment in zip(all_.swapaxes(0, 1), parts, segments, strict=True):
         j, i = divmod(int(g.argmax()), n + 1)
         now = int(g[j, i])
         if now < 2 * LEAST_SCORE:
@@ -401,8 +408,9 @@ def _sequences(docs: DataFrame) -> DataFrame:
     """``doc_id, seq``: each text as its words' hashes, read once for all blocks of items; null texts have none."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": [hashed(tokens(x)) for x in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "seq": [hashed(tokens(x), known) for x in pdf["text"]]})
 
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(read, "doc_id bigint, seq array<int>")
 
@@ -491,13 +499,14 @@ def leaks(docs: DataFrame, eval_items: DataFrame, block: int = BLOCK) -> DataFra
         if rows:
             out = out.unionByName(_leaks_of_block(seqs, item_block(rows)))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["doc_id"].iloc[0]
-        each = pdf[["score", "item_id", "token_start", "token_end", "n_words", "answers"]].drop_duplicates().itertuples(index=False, name=None)
-        return pd.DataFrame([(d, *x) for x in best(each)], columns=["doc_id", "item_id", "token_start", "token_end", "n_words"])
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        for pdf in batches:
+            yield pd.DataFrame([(d, *x) for d, each in zip(pdf["doc_id"], pdf["each"], strict=True) for x in best([tuple(e[c] for c in order) for e in each])], columns=names)
 
     # one document's explanations are bounded by its length
-    return out.groupBy("doc_id").applyInPandas(choose, SCHEMA)
+    order = ("score", "item_id", "token_start", "token_end", "n_words", "answers")
+    return out.groupBy("doc_id").agg(F.collect_set(F.struct(*order)).alias("each")).mapInPandas(choose, SCHEMA)
 
 
 def _leaks_of_block(seqs: DataFrame, items: Items) -> DataFrame:

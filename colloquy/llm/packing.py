@@ -1,8 +1,8 @@
 """Problem 7: texts packed into containers of fixed capacity, by vector bin packing with the dot-product heuristic.
 
 An item has three sizes: tokens, segments (one) and loss-bearing tokens (those outside fenced blocks, which are context in
-instruction data). A container takes at each step the item that fits and whose sizes have the largest dot product with what is
-still free in it, so that no dimension runs out before the others.
+instruction data). A container takes at each step the item that fits and whose direction has the largest dot product with what is
+still free in it, dimensions weighing by what all items left still need of them, so that none runs out before the others.
 """
 
 from __future__ import annotations
@@ -22,15 +22,19 @@ from colloquy.session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Items of one packing block: what a task holds, and packs in time proportional to its square.
 BLOCK = 8192
+#: How steeply a dimension gains weight with what is left to pack in it.
+URGENCY = 4
 #: A container filled less than this takes part in the second round.
 FULL = 0.97
 
 
 @dataclass(frozen=True)
 class Limits:
+    """What a container takes at most. The loss-bearing tokens have a limit of their own, so context and answers are mixed in each container."""
+
     tokens: int = 2048
-    segments: int = 64
-    loss_tokens: int = 2048
+    segments: int = 32
+    loss_tokens: int = 2032
 
 
 _FENCED = re.compile(r"(?m)^[ \t]*(```|~~~)[^\n]*\n(?s:.*?)(?:^[ \t]*\1[ \t]*$|\Z)")
@@ -46,6 +50,27 @@ def _encoder(path: str):
     return tiktoken.Encoding("colloquy", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def loss_mask(enc, text: str) -> np.ndarray:
+    """For each token of a text whether it bears loss: it begins outside the fenced blocks."""
+    ids = enc.encode_ordinary(text)
+    out = np.ones(len(ids), dtype=bool)
+    if "```" in text or "~~~" in text:
+        starts = np.array(enc.decode_with_offsets(ids)[1])
+        for m in _FENCED.finditer(text):
+            out[np.searchsorted(starts, m.start()) : np.searchsorted(starts, m.end())] = False
+    return out
+
+
+def pieces(upto: np.ndarray, limits: Limits) -> list[tuple[int, int]]:
+    """Token spans of a text's pieces, given its loss-bearing tokens up to each place: one if it fits a container, else each as long as the limits allow."""
+    n, out, a = len(upto) - 1, [], 0
+    while a < n or not out:
+        b = min(n, a + limits.tokens, int(np.searchsorted(upto, upto[a] + limits.loss_tokens, side="right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def items(docs: DataFrame, limits: Limits = Limits(), tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, chunk_no, token_start, token_end, n_tokens, loss_tokens``: every text, or its pieces where it alone exceeds a container.
 
@@ -57,16 +82,10 @@ def items(docs: DataFrame, limits: Limits = Limits(), tokenizer: str = TOKENIZER
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                n = len(enc.encode_ordinary(text))
-                quoted = sum(len(enc.encode_ordinary(m[0])) for m in _FENCED.finditer(text)) if "```" in text or "~~~" in text else 0
-                loss = max(0, n - quoted)
-                step = min(limits.tokens, limits.loss_tokens)
-                if n <= limits.tokens and loss <= limits.loss_tokens:
-                    rows.append((doc, 0, 0, n, n, loss))
-                    continue
-                for k, a in enumerate(range(0, n, step)):
-                    size = min(step, n - a)
-                    rows.append((doc, k, a, a + size, size, min(size, round(loss * size / n))))
+                loss = loss_mask(enc, text)
+                upto = np.append(0, loss.cumsum())
+                at = pieces(upto, limits)
+                rows += [(doc, k, a, b, b - a, upto[b] - upto[a]) for k, (a, b) in enumerate(at)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "token_start", "token_end", "n_tokens", "loss_tokens"])
 
     known = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
@@ -80,10 +99,13 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     order = np.lexsort((-unit.sum(1), -unit.max(1)))
     left, box, out = unit[order], 0, np.empty(len(sizes), dtype=np.int64)
     index = order
+    length = np.sqrt((left * left).sum(1)) + 1e-9
     while len(index):
         free = np.ones(len(limits))
+        need = left.sum(0)
+        weight = (need / max(need.max(), 1e-9)) ** URGENCY
         taken = np.zeros(len(index), dtype=bool)
-        pool, pool_at = left, np.arange(len(index))
+        pool, pool_at, long = left, np.arange(len(index)), length
         k = 0  # the largest item opens the container
         while True:
             taken[pool_at[k]] = True
@@ -92,11 +114,11 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
             fits[k] = False
             if not fits.any():
                 break
-            pool, pool_at = pool[fits], pool_at[fits]
-            k = int((pool @ free).argmax())
+            pool, pool_at, long = pool[fits], pool_at[fits], long[fits]
+            k = int((pool @ (weight * free) / long).argmax())
         out[index[taken]] = box
         box += 1
-        left, index = left[~taken], index[~taken]
+        left, index, length = left[~taken], index[~taken], length[~taken]
     return out
 
 
@@ -136,6 +158,9 @@ def containers(docs: DataFrame, limits: Limits = Limits(), tokenizer: str = TOKE
 
 
 def summary(docs: DataFrame, limits: Limits = Limits(), tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row: containers, tokens, share of the capacity in use, and the least number of containers that could do."""
-    c = containers(docs, limits, tokenizer).groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
-    return c.agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), F.round(F.sum("t") / (F.count("*") * limits.tokens), 6).alias("used_share"), F.ceil(F.sum("t") / limits.tokens).alias("least_containers"))
+    """One row for each dimension (tokens, segments, loss-bearing tokens): its sum, limit, containers, the share in use, containers that are full in it, and the least number of containers that it allows."""
+    c = containers(docs, limits, tokenizer).groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss_tokens"))
+    caps = {"tokens": limits.tokens, "segments": limits.segments, "loss_tokens": limits.loss_tokens}
+    each = c.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("used"), F.lit(m).cast("bigint").alias("limit")) for d, m in caps.items()))).alias("x")).select("x.*")
+    n, used = F.count("*"), F.sum("used")
+    return each.groupBy("dimension", "limit").agg(used.alias("total"), n.alias("n_containers"), F.round(used / (n * F.col("limit")), 6).alias("used_share"), F.count_if(F.col("used") == F.col("limit")).alias("full"), F.ceil(used / F.col("limit")).alias("least_containers"))

@@ -145,6 +145,43 @@ def test_pack_limits():
     assert box.max() + 1 <= len(bins)
 
 
+def test_all_dimensions_bind():
+    rng = np.random.default_rng(3)
+    # half the items are context, a third are tiny: each limit would do for about as many containers
+    sizes = np.concatenate([np.column_stack([x := rng.integers(10, 40, 300), np.ones(300), x * rng.integers(0, 2, 300)]), np.column_stack([x := rng.integers(1, 4, 200), np.ones(200), x])]).astype(float)
+    limits = np.array([sizes[:, 0].sum() / 80, 500 / 80, sizes[:, 2].sum() / 80]).round()
+    box = packing.pack(sizes, limits)
+    used = np.zeros((box.max() + 1, 3))
+    np.add.at(used, box, sizes)
+    assert (used <= limits).all()
+    least = np.ceil(sizes.sum(0) / limits).max()
+    assert len(used) <= 1.15 * least and all((used[:, d] == limits[d]).any() for d in range(3))
+
+
+def test_pieces_keep_both_limits():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        loss = rng.random(rng.integers(0, 300)) < rng.random()
+        upto = np.append(0, loss.cumsum())
+        limits = packing.Limits(40, 8, 25)
+        at = packing.pieces(upto, limits)
+        assert at[0][0] == 0 and at[-1][1] == len(loss) and all(x[1] == y[0] for x, y in zip(at, at[1:], strict=False))
+        assert all(b - a <= 40 and upto[b] - upto[a] <= 25 for a, b in at)
+        # none could be longer
+        assert all(b - a == 40 or upto[min(b + 1, len(loss))] - upto[a] > 25 for a, b in at[:-1])
+
+
+@pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no tokenizer here")
+def test_loss_is_counted_by_token():
+    enc = packing._encoder(packing.TOKENIZER)
+    text = "Say it.\n```\ncode = 1\n```\nThat was it, 你好."
+    mask = packing.loss_mask(enc, text)
+    at = enc.decode_with_offsets(enc.encode_ordinary(text))[1]
+    fence = (text.index("```"), text.rindex("```") + 3)
+    assert [bool(m) for m in mask] == [not fence[0] <= x < fence[1] for x in at]
+    assert packing.loss_mask(enc, "plain words").all()
+
+
 @pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no tokenizer here")
 def test_containers(spark):
     texts = ["word " * 40, "", None, "x y " * 3000, "# T\n```\ncode code\n```\n", "word " * 40] + [f"text {n} " * (n % 90) for n in range(300)]
@@ -167,6 +204,8 @@ def test_containers(spark):
     total = sum(r.n_tokens for r in c)
     assert len(by) <= 1.03 * total / 500 + 4
     assert packing.containers(docs.limit(0)).count() == 0
+    total = {r.dimension: r for r in packing.summary(docs, limits).collect()}
+    assert set(total) == {"tokens", "segments", "loss_tokens"} and all(r.least_containers <= r.n_containers and r.used_share <= 1 for r in total.values())
 
 
 # ---- problem 8

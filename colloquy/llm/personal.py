@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex as re
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.session import cut
@@ -36,32 +36,35 @@ SURNAMES = (
     "瞿桂全佟应臧闵苟邬边卞姬师和仇栾隋商刁沙荣巫寇桑郎甄丛仲虞敖巩明佘池查麻苑迟邝闻蔺阙谈穆"
 )
 SURNAMES_2 = ("欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "端木", "南宫", "司徒", "夏侯")
+#: A letter, digit or underscore of a script that writes blanks between words: in others a value begins right after a word.
+_L = r"\p{Latin}\p{Greek}\p{Cyrillic}\p{N}_"
+_A = r"\p{Latin}\p{Greek}\p{Cyrillic}"
 _DOT = r"(?:\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s|\.)"
-_EMAIL = re.compile(
-    r"(?<![\w.+%/:@-])(?P<local>\w[\w.+'-]*)(?:[@＠]|%40)(?P<host>(?:[\w-]+\.)+[A-Za-z]{2,})(?![\w@])(?!:[\w/~])"
-    rf"|(?<![\w.+-])\w[\w.+-]*\s?[\[({{]\s?at\s?[\])}}]\s?[\w-]+(?:{_DOT}[\w-]+)+"
-    r"|(?<![\w.+-])\w[\w.+-]* at [\w-]+(?: dot [\w-]+)+",
-    re.I,
-)
+_EMAIL = re.compile(rf"(?<![{_L}.+%/:@-])(?P<local>[{_L}][{_L}.+'-]*)(?:[@＠]|%40)(?P<host>(?:[{_L}-]+\.)+[A-Za-z]{{2,}})(?![{_L}@])(?!:[{_L}/~])", re.I)
+_EMAIL_IN_MARKS = re.compile(rf"(?<![{_L}.+-])[{_L}][{_L}.+-]*\s?[\[({{]\s?at\s?[\])}}]\s?[{_L}-]+(?:{_DOT}[{_L}-]+)+", re.I)
+_EMAIL_IN_WORDS = re.compile(rf"(?<![{_L}.+-])[{_L}][{_L}.+-]* at [{_L}-]+(?: dot [{_L}-]+)+", re.I)
+_AT_IN_MARKS = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
 _PHONE = re.compile(
-    r"(?<![\w.+/-])(?:(?:tel:)?\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}|00\d{1,3}(?:[ .-]\d{2,5}){2,4}|\(0?\d{2,4}\) ?\d{3,4}[ .-]?\d{4}|\d{3}([.-])\d{3}\1\d{4}"
-    r"|0\d(?:[ .]\d\d){4}|0\d{3,4} \d{3} ?\d{3,4}|0\d{2,3}-\d{7,8}|1[3-9]\d(?:[ -]?\d{4}){2})(?![\w-]|\.\d)"
+    rf"(?<![{_L}.+/-])"
+    r"(?:(?:tel:)?\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,5}|00\d{1,3}(?:[ .-]\d{2,5}){2,4}|\(0?\d{2,4}\) ?\d{3,4}[ .-]?\d{4}|\d{3}([.-])\d{3}\1\d{4}"
+    r"|0\d(?:[ .]\d\d){4}|0\d{3,4} \d{3} ?\d{3,4}|0\d{2,3}-\d{7,8}|1[3-9]\d(?:[ -]?\d{4}){2})"
+    rf"(?![{_L}-]|\.\d)"
 )
-_IDENTITY = re.compile(r"(?<![\w-])(?:\d{3}([ -])\d\d\1\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{8}-?[A-Z]|\d{17}[\dXx]|[A-Z]\d{8})(?![\w-])")
+_IDENTITY = re.compile(rf"(?<![{_L}-])" r"(?:\d{3}([ -])\d\d\1\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{8}-?[A-Z]|\d{17}[\dXx]|[A-Z]\d{8})" rf"(?![{_L}-])")
 _CITY = r"(?:(?:,\s?|\n)\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?: \d{5})?)?(?:,? ?(?:Apt|Flat|Unit)\.? \d+)?"
 _ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt|Unit|Suite)\.? \d+, )?(?<![\w.])\d{{1,5}}[a-zA-Z]? (?:\p{{Lu}}[\p{{L}}'’-]+\s){{1,3}}(?i:{STREET})\b\.?{_CITY}"
-    rf"|(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Unter den|Alte[rs]?|Neue[rs]?|Große|Kleine) )?\p{{Lu}}[\p{{L}}-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm) \d{{1,4}}[a-z]?\b(?:, \d{{5}} \p{{Lu}}\p{{Ll}}+)?"
+    rf"(?:(?:Flat|Apt|Unit|Suite)\.? \d+, )?(?<![{_L}.])\d{{1,5}}[a-zA-Z]? (?:\p{{Lu}}[{_A}'’-]+\s){{1,3}}(?i:{STREET})\b\.?{_CITY}"
+    rf"|(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Unter den|Alte[rs]?|Neue[rs]?|Große|Kleine) )?\p{{Lu}}[{_A}-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm) \d{{1,4}}[a-z]?\b(?:, \d{{5}} \p{{Lu}}\p{{Ll}}+)?"
     r"|(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte[rs]?|Neue[rs]?) )?\p{Lu}\p{Ll}+ \d{1,4}[a-z]?, \d{5} \p{Lu}\p{Ll}+"
-    r"|\b(?:Calle|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carrera|Rua|Via|Viale|Piazza)\s(?:(?:de|del|la|las|los|el|da|do|di)\s)*\p{Lu}[\p{L}'’]+(?: \p{L}+){0,3},? (?:n\.?º ?)?\d{1,4}(?:, \d{1,2}º(?: ?[A-Z])?)?"
-    r"|(?<![\w.])\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) (?:(?:de|du|des|la|le|les) |[ld]['’])*\p{Lu}[\p{L}'’-]+"
+    r"|\b(?:Calle|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carrera|Rua|Via|Viale|Piazza)\s(?:(?:de|del|la|las|los|el|da|do|di)\s)*\p{Lu}['’\p{Latin}]+(?: \p{Latin}+){0,3},? (?:n\.?º ?)?\d{1,4}(?:, \d{1,2}º(?: ?[A-Z])?)?"
+    rf"|(?<![{_L}.])" r"\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) (?:(?:de|du|des|la|le|les) |[ld]['’])*\p{Lu}['’\p{Latin}-]+"
     r"|[\p{Han}]{2,12}?(?:路|街|巷|道|胡同|弄)\d{1,5}号(?:\d+(?:单元|楼|栋|室|层))*"
 )
 _CAP = r"\p{Lu}[\p{Ll}'’]*\p{Ll}(?:-\p{Lu}\p{Ll}+)*"
 _CAPS = r"\p{Lu}[\p{Lu}'’]+\p{Lu}(?:-\p{Lu}{2,})*"
-_TITLED = re.compile(rf"(?<!\w)(?:{TITLES})\.? (?:(?:{TITLES})\.? |\p{{Lu}}\. )*(?:{_CAP})(?: {_CAP})?|[\p{{Han}}]{{1,3}}(?:先生|女士|小姐|老师|博士|教授)")
-_INITIAL = re.compile(rf"(?<![\w.])\p{{Lu}}\. (?:\p{{Lu}}\. )*(?:{_CAP})(?!\w)")
-_RUN = re.compile(rf"(?<![\w`/.-])(?<!\w['’])(?:{_CAP}(?:(?:,? | \p{{Lu}}\.? ){_CAP})+|{_CAPS}(?:,? | \p{{Lu}}\.? ){_CAPS}(?! ?{_CAPS})|(?<![\p{{Han}}])[\p{{Han}}]{{2,4}}(?![\p{{Han}}]))(?![\w`])")
+_TITLED = re.compile(rf"(?<![{_L}])(?:{TITLES})\.? (?:(?:{TITLES})\.? |\p{{Lu}}\. )*(?:{_CAP})(?: {_CAP})?|[\p{{Han}}]{{1,3}}(?:先生|女士|小姐|老师|博士|教授)")
+_INITIAL = re.compile(rf"(?<![{_L}.])\p{{Lu}}\. (?:\p{{Lu}}\. )*(?:{_CAP})(?![{_L}])")
+_RUN = re.compile(rf"(?<![{_L}`/.-])(?<!\w['’])(?:{_CAP}(?:(?:,? | \p{{Lu}}\.? ){_CAP})+|{_CAPS}(?:,? | \p{{Lu}}\.? ){_CAPS}(?! ?{_CAPS})|(?<![\p{{Han}}])[\p{{Han}}]{{2,4}}(?![\p{{Han}}]))(?![{_L}`])")
 _PART = re.compile(rf"{_CAP}|{_CAPS}|[\p{{Han}}]+")
 _LEFT, _RIGHT = re.compile(r"(?:\S{1,12}|\S{0,12}\n)\s?$"), re.compile(r"^\s?(?:'s\b|[^\w\s]{1,2}|\w{1,10})|^$")
 _MASK = re.compile(r"\d+")
@@ -89,8 +92,16 @@ def formed(t: str) -> list[tuple[str, int, int]]:
         if not any(a < m.end() and m.start() < b for _, a, b in out):
             out.append((kind, *m.span()))
 
-    for m in _EMAIL.finditer(t):
-        if (m["local"] or "").lower() != "git" and not (m["host"] or "x").split(".")[0].isdigit():
+    # each pattern is tried where the text holds the mark that it can't do without
+    if "@" in t or "＠" in t or "%40" in t:
+        for m in _EMAIL.finditer(t):
+            if m["local"].lower() != "git" and not m["host"].split(".")[0].isdigit():
+                add("email", m)
+    if ("[" in t or "(" in t or "{" in t) and _AT_IN_MARKS.search(t):
+        for m in _EMAIL_IN_MARKS.finditer(t):
+            add("email", m)
+    if " dot " in t.lower():
+        for m in _EMAIL_IN_WORDS.finditer(t):
             add("email", m)
     if any(c.isdigit() for c in t):
         for m in _IDENTITY.finditer(t):
@@ -185,18 +196,6 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names).astype({"part": "int32", "a": "int32", "b": "int32"})
 
 
-#: What a text must hold to be scanned at all, in Java's notation: every alternative of the patterns above holds one of these, also where its blanks are escapes of JSON.
-_BLANKS = r"(?:\s|\\[nrt])?"
-_HINT = (
-    rf"[@＠]\S|%40|[\[({{]{_BLANKS}(?i:at){_BLANKS}[\])}}]|(?i: at )\S+(?i: dot )"
-    r"|\p{Nd}(?:[ .()\-]{0,3}\p{Nd}){5}"
-    r"|\p{Nd}[a-zA-Z]? \p{Lu}|\p{Lu}\p{Ll}+ \p{Nd}|(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm) \p{Nd}|号"
-    r"|Calle|Avenida|Avda|Av\.|Plaza|Paseo|Camino|Carrera|Rua|Via|Piazza|\p{Nd}(?: ?bis| ?ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) "
-    rf"|(?:{TITLES})\.? \p{{Lu}}|先生|女士|小姐|老师|博士|教授|\p{{Lu}}\. \p{{Lu}}"
-    r"|\p{Lu}[\p{L}'’\-]+,? (?:\p{Lu}\.? )?\p{Lu}[\p{L}'’]|(?<!\p{IsHan})\p{IsHan}{2,4}(?!\p{IsHan})"
-)
-
-
 def texts(room: DataFrame, turn_lines: DataFrame) -> DataFrame:
     """``source_table, record_key, body``: each post's content and each raw line with a command or an output."""
     posts = room.where("id is not null and content is not null").select(F.lit("room").alias("source_table"), F.col("id").alias("record_key"), F.col("content").alias("body"))
@@ -204,14 +203,10 @@ def texts(room: DataFrame, turn_lines: DataFrame) -> DataFrame:
     return posts.unionByName(lines.select(F.lit("turn_lines").alias("source_table"), F.col("line_id").cast("string").alias("record_key"), F.col("line").alias("body")))
 
 
-def _may_hold(body: Column) -> Column:
-    return body.rlike(_HINT) | body.contains("\\u")
-
-
 def scan(room: DataFrame, turn_lines: DataFrame) -> DataFrame:
     """All values with a form and all terms that may be names, with their spans; repeated rows count once."""
     t = texts(room, turn_lines)
-    return t.where(_may_hold(F.col("body"))).mapInPandas(_scan, SCAN).dropDuplicates(["source_table", "record_key", "field_name", "part", "kind", "a", "b"])
+    return t.mapInPandas(_scan, SCAN).dropDuplicates(["source_table", "record_key", "field_name", "part", "kind", "a", "b"])
 
 
 def names(found: DataFrame) -> DataFrame:

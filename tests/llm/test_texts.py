@@ -56,8 +56,22 @@ def test_names_by_disclosure(spark):
     assert "none" not in text
 
 
+BESIDE_HAN = [("地址写的是249 Quarry Bank Blvd, Easthollow，和", "249 Quarry Bank Blvd, Easthollow"), ("邮箱是a.b@mail.example。", "a.b@mail.example"), ("电话是303.555.0177，", "303.555.0177"), ("编号是953-76-4766吗", "953-76-4766"), ("是12 rue de Rivoli吗", "12 rue de Rivoli")]
+
+
+@pytest.mark.parametrize("text,value", BESIDE_HAN)
+def test_values_beside_scripts_without_blanks(text, value):
+    assert [text[a:b] for _, a, b in personal.formed(text)] == [value]
+
+
+@pytest.mark.parametrize("text", ["livrez au 12 rue de la Paix avant midi", "il habite 4 bis, rue du Bac", "my number is AB123456C thanks", "joe AT site DOT com please"])
+def test_forms_in_plain_sentences(spark, text):
+    room = spark.createDataFrame([("a", text)], ROOM)
+    assert personal.found(room, spark.createDataFrame([], LINES)).count() == 1
+
+
 @pytest.mark.parametrize("in_line", [False, True])
-def test_every_form_passes_the_hint(spark, in_line):
+def test_every_form_is_found_in_tables(spark, in_line):
     texts = {
         "email": ["x jane.doe@example.com", "x jane.doe＠example.com", "x jane.doe%40example.com", "x jane.doe [AT] example [DOT] com", "x jane.doe (at) example.com", "x jane.doe {at} example dot com", "x jane AT example DOT com", "x jane.doe (\nat) example.com"],
         "identity_number": ["x 123-45-6789", "x AB123456C", "x AB 12 34 56 C", "x 12345678Z", "x A12345678", "x 11010519491231002X"],

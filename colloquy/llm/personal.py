@@ -22,6 +22,8 @@ from colloquy.sources.tables import is_blank
 KINDS = ["email", "phone", "identity_number", "street_address", "person_name"]
 #: Bits above which a term is taken to disclose a person.
 THRESHOLD = 0.0
+#: A character is taken for a family name if so many different terms that begin with it stand beside protected values: a label stands there alone.
+FAMILY_TERMS = 2
 
 # Titles before a name, street words, and check characters of identity numbers.
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Sir|Madam|Señora|Señor|Señorita|Sra|Sr|Srta|Don|Doña|Herr|Frau|Mme|Mlle|Madame|Monsieur|Signor|Signora"
@@ -29,13 +31,6 @@ STREET = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Close|Drive|Boulevard|Bl
 SPANISH_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 CHINESE_WEIGHTS, CHINESE_LETTERS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2), "10X98765432"
 
-#: Family names written with one character, and a few with two.
-SURNAMES = (
-    "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
-    "温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁蒲房滕屈饶解牟艾尤阳穆农司卓古吉缪简车项连芦麦褚娄窦戚岑景党宫费卜冷晏席卫米柏宗"
-    "瞿桂全佟应臧闵苟邬边卞姬师和仇栾隋商刁沙荣巫寇桑郎甄丛仲虞敖巩明佘池查麻苑迟邝闻蔺阙谈穆"
-)
-SURNAMES_2 = ("欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "端木", "南宫", "司徒", "夏侯")
 #: A letter, digit or underscore of a script that writes blanks between words: in others a value begins right after a word.
 _L = r"\p{Latin}\p{Greek}\p{Cyrillic}\p{N}_"
 _A = r"\p{Latin}\p{Greek}\p{Cyrillic}"
@@ -132,8 +127,7 @@ def terms(t: str, values: list[tuple[str, int, int]]) -> Iterator[tuple[int, int
         parts = list(_PART.finditer(t, m.start(), m.end()))
         if len(parts) == 1:  # a run of Han characters
             a, b = m.span()
-            named = (t[a] in SURNAMES and b - a <= 3) or t[a : a + 2] in SURNAMES_2
-            if named and not inside(a, b) and not any(x < b and a < y for x, y in taken):
+            if not inside(a, b) and not any(x < b and a < y for x, y in taken):
                 yield a, b, [t[a], t[a:b]], _slot(t, a, b), _beside(t, a, b, values)
             continue
         # of a longer run every two neighbours may be the name, save the word that begins a sentence before a comma pair
@@ -216,6 +210,10 @@ def names(found: DataFrame) -> DataFrame:
     bits: the odds that its terms hold such words. Words never seen elsewhere count next to nothing, so the slot decides.
     """
     t = found.where("kind = 'person_name'")
+    # a name in Han characters begins with a family name, which the corpus shows by its company: as many characters as the script has, not as rows
+    han = (F.size("words") == 2) & (F.length(F.get("words", F.lit(0))) == 1)
+    heads = t.where(han & F.col("certain")).groupBy(F.get("words", F.lit(0)).alias("head")).agg(F.count_distinct(F.get("words", F.lit(1))).alias("n")).where(F.col("n") >= FAMILY_TERMS).select("head")
+    t = t.where(~han).unionByName(t.where(han).join(heads, F.get("words", F.lit(0)) == F.col("head"), "left_semi"))
     sure = t.where("certain")
     open_ = t.where("not certain")
     said = found.where("kind = 'mailbox'").select("words", F.lit(True).alias("certain")).unionByName(t.select("words", "certain"))

@@ -70,6 +70,14 @@ def test_forms_in_plain_sentences(spark, text):
     assert personal.found(room, spark.createDataFrame([], LINES)).count() == 1
 
 
+def test_family_names_by_company(spark):
+    names = [f + g for f in "岑蔺骆" for g in ("知砚", "若澜", "云岫")]
+    rows = [(f"a{n}", f"{x}：303.555.01{n:02d}") for n, x in enumerate(names)] + [(f"b{n}", f"请问，{x}，在吗") for n, x in enumerate(names)]
+    rows += [(f"c{n}", f"电话：303.555.02{n:02d}") for n in range(30)] + [(f"d{n}", "请问，没有变化，在吗") for n in range(9)]
+    got = {r.record_key for r in personal.found(spark.createDataFrame(rows, ROOM), spark.createDataFrame([], LINES)).where("kind = 'person_name'").collect()}
+    assert got == {f"{x}{n}" for x in "ab" for n in range(9)}
+
+
 @pytest.mark.parametrize("in_line", [False, True])
 def test_every_form_is_found_in_tables(spark, in_line):
     texts = {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.times import epoch_ms
+from colloquy.session import cut
 
 #: White space, and characters that show nothing: format and control characters, fillers, blank braille.
 INVISIBLE = r"[\s\p{Z}\p{Cf}\p{Cc}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{034F}\x{FE00}-\x{FE0F}]"
@@ -40,14 +41,14 @@ def posts(room: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kept = [c for c in room.columns if c != "id" and (keep is None or c in keep)]
     cols = kept + [c for c in ("room_id", "sender_instance_id") if c not in kept]
     one = r.groupBy("id").agg(F.min_by(F.struct(*cols), order).alias("_r"), F.min_by("_ms", F.when(F.col("_ms").isNotNull(), order)).alias("at_ms"), F.max("_seat").alias("_seat"))
-    one = one.select("id", *(F.col("_r")[c].alias(c) for c in cols), "at_ms", "_seat")
+    # kept, as it is read for the names and for the posts
+    one = cut(one.select("id", *(F.col("_r")[c].alias(c) for c in cols), "at_ms", "_seat"))
     # names seen per instance: two counts, so a busy instance is pre-aggregated before the shuffle
     named = one.where("_seat is not null and sender_instance_id is not null").groupBy("room_id", "sender_instance_id", "_seat").agg(F.count("*").alias("n"))
     named = named.groupBy("room_id", "sender_instance_id").agg(F.max_by("_seat", F.struct("n", "_seat")).alias("_name"))
     missing = one.where("_seat is null").join(named, ["room_id", "sender_instance_id"], "left").withColumn("_seat", F.col("_name"))
-    names = missing.select("id", F.col("_seat").alias("_found"))
-    out = one.join(names, "id", "left").select("*", F.coalesce("_seat", "_found").alias("seat"))
-    return out.select("id", *kept, "seat", "at_ms")
+    out = one.where("_seat is not null").unionByName(missing.select(one.columns))
+    return out.select("id", *kept, F.col("_seat").alias("seat"), "at_ms")
 
 
 def posts_numbers(room: DataFrame) -> DataFrame:

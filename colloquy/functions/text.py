@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from colloquy.functions.json_values import once, strict_json
-from colloquy.functions.patterns import found, has, java, python
+from colloquy.functions.patterns import PROGRAMS, found, has_board, java, python
 
 _SPACE = r"(?dU)\s+"
 
@@ -78,16 +78,16 @@ def clock(at: Column) -> Column:
     return F.when(F.coalesce(at, F.lit("")) == "", "?").otherwise(F.substring(at, 12, 12))
 
 
-def read_max(command: Column, output: Column) -> Column:
+def read_max(command: Column, output: Column, programs: tuple[str, ...] = PROGRAMS) -> Column:
     """The highest post number that a read of the board printed, null for other commands."""
     seqs = F.transform(found(output, "read_sequence", 1), lambda x: x.try_cast("bigint"))
-    return F.when(has(command, "board_read"), F.array_max(seqs))
+    return F.when(has_board(command, "board_read", programs), F.array_max(seqs))
 
 
-def posted_id(command: Column, output: Column) -> Column:
+def posted_id(command: Column, output: Column, programs: tuple[str, ...] = PROGRAMS) -> Column:
     """The id of the message that a say command posted, from its printed answer."""
     m = F.regexp_extract(_plain(output), java("posted"), 1)
-    return F.when(has(command, "board_say") & (m != ""), m)
+    return F.when(has_board(command, "board_say", programs) & (m != ""), m)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.json_values import as_text, decoded, entries, field, strict_json, whole_number
-from colloquy.functions.patterns import has
+from colloquy.functions.patterns import PROGRAMS, has_board
 from colloquy.functions.text import posted_id, read_max
 from colloquy.functions.times import epoch_ms
 from colloquy.operators import nested
@@ -30,7 +30,7 @@ EMPTY = {
 
 @dataclass(frozen=True)
 class Board:
-    """The relations of a source, lazily; the columns are those of :data:`EMPTY`."""
+    """The relations of a source, lazily; the columns are those of :data:`EMPTY`. ``programs``: the names of the board's command line."""
 
     rooms: DataFrame
     seats: DataFrame
@@ -39,6 +39,7 @@ class Board:
     ops: DataFrame
     checks: DataFrame
     wakes: DataFrame
+    programs: tuple[str, ...] = PROGRAMS
 
 
 def empty(spark, name: str) -> DataFrame:
@@ -142,7 +143,19 @@ def _content_op(c: Column) -> Column:
     )
 
 
-def actions(turn_lines: DataFrame) -> DataFrame:
+def board_programs(turn_lines: DataFrame, least: float = 0.01) -> tuple[str, ...]:
+    """The names that the board's command line goes by in these logs: of the programs that are told to say something, those whose answer is a posted message.
+
+    Names of fewer than the share ``least`` of these answers are taken for words in a message. One pass over the text, whose few names are collected.
+    """
+    said = turn_lines.where(F.col("line").rlike(r'message\\?"\s*:\s*\{') & F.col("line").rlike(r'id\\?"\s*:\s*\\?"msg_'))
+    name = F.regexp_extract("line", r"""(?:[\s'"/;&|(])([A-Za-z][A-Za-z0-9_-]*)\s+(?:say|post)\b""", 1).alias("name")
+    names = said.select(name).where("name <> ''").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(16).collect()
+    total = sum(r.n for r in names)
+    return tuple(sorted({*PROGRAMS, *(r.name for r in names if r.n >= least * total)}))
+
+
+def actions(turn_lines: DataFrame, programs: tuple[str, ...] = PROGRAMS) -> DataFrame:
     """What each seat did, of both harness dialects: ``room, who, turn, i`` and the action, ``i`` counting from 0 within the turn.
 
     Lines that are no JSON and events of no known kind are skipped. A result's error flag is the exit code of the command it answers; the
@@ -167,7 +180,7 @@ def actions(turn_lines: DataFrame) -> DataFrame:
         "room", "who", "turn", "i", "kind", "command",
         F.when(F.col("tool_id").isNotNull(), F.col("result")).otherwise(F.col("exit_code")).alias("exit_code"),
         F.substring("output", F.greatest(F.length("output") - 499, F.lit(1)), F.lit(500)).alias("output"),
-        posted_id(F.col("command"), F.col("output")).alias("posted_id"), read_max(F.col("command"), F.col("output")).alias("read_max"), "paths", "query", "name", "text",
+        posted_id(F.col("command"), F.col("output"), programs).alias("posted_id"), read_max(F.col("command"), F.col("output"), programs).alias("read_max"), "paths", "query", "name", "text",
     )
 
 
@@ -179,8 +192,12 @@ def link_posts(ops: DataFrame, posts: DataFrame) -> DataFrame:
     return shaped(said.unionByName(ops.where("posted_id is null"), allowMissingColumns=True), "ops")
 
 
-def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame, checks: DataFrame, wakes: DataFrame) -> Board:
-    """A board of raw relations in the shape of the tables; where a room lists no seats, its senders are its seats."""
+def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame, checks: DataFrame, wakes: DataFrame, programs: tuple[str, ...] | None = None) -> Board:
+    """A board of raw relations in the shape of the tables; where a room lists no seats, its senders are its seats.
+
+    ``programs`` are the names of the board's command line; without any they are taken from the logs.
+    """
+    programs = board_programs(turn_lines) if programs is None else programs
     nested.allow_repeated_keys(turn_lines)
     p = posts(room, episodes)
     return Board(
@@ -188,9 +205,10 @@ def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame,
         seats=all_seats(room, episodes, p),
         posts=p,
         artifacts=empty(room.sparkSession, "artifacts"),
-        ops=link_posts(actions(turn_lines), p),
+        ops=link_posts(actions(turn_lines, programs), p),
         checks=shaped(tables.checks(checks).withColumnRenamed("room_id", "room"), "checks"),
         wakes=shaped(tables.wakes(wakes).withColumnRenamed("room_id", "room").withColumnRenamed("seat", "who"), "wakes"),
+        programs=programs,
     )
 
 
@@ -238,9 +256,9 @@ def commands(ops: DataFrame) -> DataFrame:
     return ops.where("kind = 'command'")
 
 
-def is_work(kind: Column, command: Column) -> Column:
+def is_work(kind: Column, command: Column, programs: tuple[str, ...] = PROGRAMS) -> Column:
     """A command that is not talk on the board."""
-    return (kind == "command") & ~has(command, "board_talk")
+    return (kind == "command") & ~has_board(command, "board_talk", programs)
 
 
 def post_ops(ops: DataFrame) -> DataFrame:

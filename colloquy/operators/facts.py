@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.patterns import has
+from colloquy.functions.patterns import has, has_board
 from colloquy.functions.text import files, redact, success
 from colloquy.operators.board import Board, agent_posts, is_work, post_ops
-from colloquy.operators.ordered import running_max
+from colloquy.operators.ordered import running_max, running_maxima
 from colloquy.session import cut
 
 # Each fact and the pattern it is evidence of, in the order of a report.
@@ -25,12 +25,6 @@ FACTS = {
     "private_contradiction": "D1",
     "check_failed_after_done": "D1",
 }
-#: An action's place in its seat's stream: turn first, then place in the turn. Turns of more actions than this would overlap.
-TURN_WIDTH = 1_000_000
-
-
-def place(turn: str = "turn", i: str = "i") -> Column:
-    return F.col(turn) * TURN_WIDTH + F.col(i)
 
 
 def speech(posts: DataFrame) -> DataFrame:
@@ -40,20 +34,21 @@ def speech(posts: DataFrame) -> DataFrame:
     return p.select("room", "seq", "who", "text", "reply_to", files(t).alias("files"), has(t, "fact_claim").alias("claims"), (has(t, "fact_review") & ~has(t, "future_review")).alias("reviews"), success(t).alias("success"), has(t, "handover").alias("hands_over"))
 
 
-def before_posts(ops: DataFrame, links: DataFrame) -> DataFrame:
+def before_posts(ops: DataFrame, links: DataFrame, programs: tuple[str, ...]) -> DataFrame:
     """For each linked post, what its seat had done before the posting command: ``looks, runs, last_work`` (code and command).
 
-    Running maxima over the seat's stream of actions: the last look (a file change, or work that exited 0), the last run of a test or a
+    Running maxima over the seat's stream of actions, turn by turn: whether it had looked (a file change, or work that exited 0), whether it had run a test or a
     program, the last work command; false or null where there was none.
     """
     command = F.coalesce("command", F.lit(""))
-    work = is_work(F.col("kind"), command)
-    o = ops.select("room", "who", "turn", "i", place().alias("at"), F.when((F.col("kind") == "file_change") | (work & (F.col("exit_code") == 0)), place()).alias("look"), F.when(work & (has(command, "test") | has(command, "run")), place()).alias("run"), F.when(work, F.struct(place().alias("at"), F.coalesce("exit_code", F.lit(0)).alias("code"), command.alias("command"))).alias("work"))
-    key = ["room", "who"]
-    o = running_max(o, key, "at", F.struct(F.coalesce("look", F.lit(-1)).alias("look")), "l", width=TURN_WIDTH)
-    o = running_max(o, key, "at", F.struct(F.coalesce("run", F.lit(-1)).alias("run")), "r", width=TURN_WIDTH)
-    o = running_max(o, key, "at", F.col("work"), "w", width=TURN_WIDTH)
-    o = o.select("room", "who", "turn", "i", F.coalesce(F.col("l.look") >= 0, F.lit(False)).alias("looks"), F.coalesce(F.col("r.run") >= 0, F.lit(False)).alias("runs"), F.col("w.code").alias("last_code"), F.col("w.command").alias("last_command"))
+    work = is_work(F.col("kind"), command, programs)
+    values = {
+        "l": (F.col("kind") == "file_change") | (work & F.coalesce(F.col("exit_code") == 0, F.lit(False))),
+        "r": work & (has(command, "test") | has(command, "run")),
+        "w": F.when(work, F.struct("turn", "i", F.coalesce("exit_code", F.lit(0)).alias("code"), command.alias("command"))),
+    }
+    o = running_maxima(ops.select("room", "who", "turn", "i", "kind", "command", "exit_code"), ["room", "who"], "i", values, ranges="turn")
+    o = o.select("room", "who", "turn", "i", F.coalesce("l", F.lit(False)).alias("looks"), F.coalesce("r", F.lit(False)).alias("runs"), F.col("w.code").alias("last_code"), F.col("w.command").alias("last_command"))
     return links.join(o, ["room", "who", "turn", "i"])
 
 
@@ -71,21 +66,30 @@ def overlapping_claims(said: DataFrame) -> DataFrame:
     c = claims(said)
     first = c.groupBy("room", "file").agg(F.min(F.struct("seq", "who")).alias("f")).select("room", "file", F.col("f.seq").alias("first_seq"), F.col("f.who").alias("first_who"))
     over = c.join(first, ["room", "file"]).where((F.col("seq") > F.col("first_seq")) & (F.col("who") != F.col("first_who")) & ~F.coalesce(F.col("reply_to") == F.col("first_seq"), F.lit(False)))
-    # the first hand-over after the first claim decides for all later claims
-    gave = said.where("hands_over").select("room", F.col("who").alias("first_who"), F.col("seq").alias("gave_seq"))
-    given = first.join(gave, ["room", "first_who"]).where("gave_seq > first_seq").groupBy("room", "file").agg(F.min("gave_seq").alias("gave_seq"))
+    # the first hand-over after the first claim decides for all later claims: the running maximum, from the board's end, of its number's negative
+    gave = said.where("hands_over").select("room", "who", F.lit(None).cast("string").alias("file"), F.col("seq").alias("gave_seq"), (-F.col("seq")).alias("at"))
+    asked = first.select("room", F.col("first_who").alias("who"), "file", F.lit(None).cast("bigint").alias("gave_seq"), (-F.col("first_seq")).alias("at"))
+    given = running_max(asked.unionByName(gave), ["room", "who"], "at", -F.col("gave_seq"), "next").where("file is not null and next is not null").select("room", "file", (-F.col("next")).alias("gave_seq"))
     return over.join(given, ["room", "file"], "left").where("gave_seq is null or gave_seq >= seq")
 
 
-def claims_without_action(said: DataFrame, ops: DataFrame) -> DataFrame:
+def _around_dots(text: Column) -> Column:
+    """What stands right around each dot: a letter, the dot, a letter; and the dot with what follows alone."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.\..))"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?s)(?=(\..))"), F.lit(1))))
+
+
+def claims_without_action(said: DataFrame, ops: DataFrame, programs: tuple[str, ...]) -> DataFrame:
     """Claims of a file that no action in the seat's whole log changes: no file change, no writing command that names it."""
     c = claims(said)
     open_ = c.join(changed_files(ops), ["room", "who", "file"], "left_anti")
     command = F.coalesce("command", F.lit(""))
-    writes = ops.where((F.col("kind") == "command") & ~has(command, "board_command") & has(command, "write")).select("room", "who", "command")
-    # a seat's writing commands against its open claims, by distinct file
+    writes = ops.where((F.col("kind") == "command") & ~has_board(command, "board_command", programs) & has(command, "write")).select("room", "who", "command").distinct()
+    # a command that names a file holds what stands around the name's last dot: only those meet
     wanted = open_.select("room", "who", "file").distinct()
-    named = writes.distinct().join(wanted, ["room", "who"]).where(F.col("command").contains(F.col("file"))).select("room", "who", "file").distinct()
+    around = F.regexp_extract("file", r"(?s)(.\..)[^.]*$", 1)
+    wanted = wanted.withColumn("key", F.when(around != "", around).otherwise(F.regexp_extract("file", r"(?s)(\..)[^.]*$", 1)))
+    met = writes.select("room", "who", "command", F.explode(_around_dots(F.col("command"))).alias("key")).join(wanted, ["room", "who", "key"])
+    named = met.where(F.col("command").contains(F.col("file"))).select("room", "who", "file").distinct()
     return open_.join(named, ["room", "who", "file"], "left_anti")
 
 
@@ -98,14 +102,14 @@ def findings(board: Board) -> DataFrame:
     seen = ops.select("room").distinct()
     said = cut(speech(board.posts).join(seen, "room", "left_semi"))
     links = cut(post_ops(ops))
-    b = cut(said.join(before_posts(ops, links).drop("who"), ["room", "seq"]))
+    b = cut(said.join(before_posts(ops, links, board.programs).drop("who"), ["room", "seq"]))
     row = lambda df, fact, why: df.select("room", F.lit(fact).alias("fact"), "seq", "who", redact(F.col("text")).alias("excerpt"), why.alias("why"))
     messages = ops.where(F.col("kind") == "message").where(has(F.col("text"), "failure")).groupBy("room", "who", "turn").agg(F.max_by("text", "i").alias("said"))
     broken = board.checks.where("cause = 'claim' and passed = false and sequence is not null").withColumnRenamed("sequence", "seq")
     checked = broken.select("room", "seq", F.col("command").alias("c"), F.col("exit_code").alias("x"), F.col("output").alias("o")).join(said, ["room", "seq"])
     out = [
         row(overlapping_claims(said), "overlapping_claim", F.format_string("claims %s, which %s claimed at #%d; no hand-over in between", "file", "first_who", "first_seq")),
-        row(claims_without_action(said, ops), "claim_without_action", F.format_string("claims %s; this seat's log shows no change to it in the whole run", "file")),
+        row(claims_without_action(said, ops, board.programs), "claim_without_action", F.format_string("claims %s; this seat's log shows no change to it in the whole run", "file")),
         row(b.where("reviews and not looks"), "review_without_reading", F.concat(F.lit("reviews before this seat opened, ran or changed any file"), F.when(F.col("last_command").isNotNull(), F.format_string("; its last attempt, `%s`, exited %d", redact(F.col("last_command"), 80), F.col("last_code"))).otherwise(""))),
         row(b.where("success and not runs"), "success_without_run", F.lit("claims success; this seat had run no test and no program before it")),
         row(b.where("success and last_code <> 0"), "success_after_failure", F.format_string("claims success right after its last work command, `%s`, exited %d", redact(F.col("last_command"), 80), F.col("last_code"))),

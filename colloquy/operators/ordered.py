@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 RANGE = 4096
 
 
-def _cut(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+def _cut(df: DataFrame, keys: list[str], order: str, width: int, ranges: str | None = None) -> DataFrame:
     """``df`` with ``_part``, the row's group and range in one value: all steps share one partitioning, and null keys are equal."""
-    return df.withColumn("_part", F.struct(*keys, F.floor(F.col(order) / width).cast("bigint").alias("_range")))
+    at = F.col(ranges) if ranges else F.floor(F.col(order) / width)
+    return df.withColumn("_part", F.struct(*keys, at.cast("bigint").alias("_range")))
 
 
 def _before(keys: list[str]):
@@ -51,13 +52,19 @@ def previous(df: DataFrame, keys: list[str], order: str, value: list[str], prefi
     return joined.select(*df.columns, *(F.col("_p")[v].alias(prefix + v) for v in value))
 
 
-def running_max(df: DataFrame, keys: list[str], order: str, value: Column, out: str, inclusive: bool = False, width: int = RANGE) -> DataFrame:
-    """``df`` with the greatest ``value`` of the rows before in its group (and of its own row, if inclusive); nulls are passed over.
+def running_maxima(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], inclusive: bool = False, width: int = RANGE, ranges: str | None = None) -> DataFrame:
+    """``df`` with, by name, the greatest of each of the ``values`` in the rows before in its group (and in its own row, if inclusive); nulls are passed over.
 
-    With a struct that starts with the order column this is the last value. Ranges of the order column carry their greatest value on.
+    With a struct that starts with the order column this is the last value. Ranges of the order column carry their greatest values on; a column
+    ``ranges`` that comes before ``order`` in the order of rows (a turn, of which ``order`` is the place) may be the range itself. One window and one join serve all values.
     """
-    cut = _cut(df, keys, order, width).withColumn("_v", value)
-    carried = cut.groupBy("_part").agg(F.max("_v").alias("_m")).select("_part", F.max("_m").over(_before(keys)).alias("_carried"))
+    cut = _cut(df, keys, order, width, ranges).withColumns({f"_v_{n}": v for n, v in values.items()})
+    carried = cut.groupBy("_part").agg(*(F.max(f"_v_{n}").alias(f"_m_{n}") for n in values)).select("_part", *(F.max(f"_m_{n}").over(_before(keys)).alias(f"_c_{n}") for n in values))
     within = Window.partitionBy("_part").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    rows = cut.withColumn("_w", F.max("_v").over(within))
-    return rows.join(carried, "_part").select(*df.columns, F.greatest("_w", "_carried").alias(out))
+    rows = cut.withColumns({f"_w_{n}": F.max(f"_v_{n}").over(within) for n in values})
+    return rows.join(carried, "_part").select(*df.columns, *(F.greatest(f"_w_{n}", f"_c_{n}").alias(n) for n in values))
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, value: Column, out: str, inclusive: bool = False, width: int = RANGE) -> DataFrame:
+    """``df`` with the greatest ``value`` of the rows before, as :func:`running_maxima`."""
+    return running_maxima(df, keys, order, {out: value}, inclusive, width)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.functions.patterns import CASELESS, has
+from colloquy.functions.patterns import CASED, CASELESS, has
 from colloquy.operators import board as B
 from colloquy.operators import facts, modes, taxonomy
-from colloquy.plans.sql import EVENTS, MESSAGES, POSTS, WAKES, ms, seat
+from colloquy.plans.sql import EVENTS, MESSAGES, POSTS, PROG, WAKES, has_board, ms, seat
 from colloquy.plans.sql import has as sql_has
 from colloquy.sources import tables
 
@@ -76,12 +76,12 @@ QUERIES = {
     "checks_failed_after_claim": _board(lambda b: facts.findings(b).where("fact = 'check_failed_after_done'").select("room", "seq", "who").distinct()),
     "files_changed": _board(lambda b: facts.changed_files(b.ops)),
     "success_claims": _of_posts(lambda p: B.agent_posts(p).where(T.success(F.col("text"))).select("room", "seq", "who")),
-    "work_commands": _board(lambda b: B.commands(b.ops).groupBy("room", "who").agg(F.count_if(B.is_work(F.col("kind"), F.col("command"))).alias("work"), F.count_if(has(F.col("command"), "test")).alias("tests"), F.count_if(has(F.col("command"), "write")).alias("writes"), F.count("*").alias("n"))),
+    "work_commands": _board(lambda b: B.commands(b.ops).groupBy("room", "who").agg(F.count_if(B.is_work(F.col("kind"), F.col("command"), b.programs)).alias("work"), F.count_if(has(F.col("command"), "test")).alias("tests"), F.count_if(has(F.col("command"), "write")).alias("writes"), F.count("*").alias("n"))),
 }
 
 _FLAGS = ", ".join(f"{sql_has('substr(text, 1, 220)' if a == 'heartbeat' else 'text', 'role' if a == 'role_claim' else a)} AS {a}" for a in _ACTS)
 FLAGGED = MESSAGES + f", flagged AS (SELECT *, {_FLAGS} FROM msgs)"
-_ITEM = r"`([^`\n]{2,60})`|\b([\w./-]+\.(?:py|ts|tsx|js|mjs|md|json|yaml|yml|sql|sh|go|rs|java|c|h|css|html|tex|bib|tgz|zip|csv))\b|\b([WT]\d{1,3}[a-z]?)\b|\b(art_[A-Za-z0-9]{10})\b"
+_ITEM = CASELESS["item"]
 ITEMS = FLAGGED + f""", items AS (SELECT DISTINCT room, seq, who, item, accept AS claims, done, hedge, review, upload OR pay OR push AS delivers FROM
   (SELECT *, lower(trim(replace(unnest(regexp_extract_all(text, '(?i){_ITEM}')), '`', ''))) AS item FROM flagged) WHERE length(item) >= 2)"""
 _ANSWERED = """answered AS (SELECT room, CAST(unnest(regexp_extract_all(text, '#(\\d{1,4})\\b', 1)) AS BIGINT) AS seq FROM flagged UNION SELECT room, reply_to FROM flagged WHERE reply_to <> 0)"""
@@ -128,7 +128,7 @@ ORACLE["kickstart_groups"] = f'SELECT room, "group", count(*) AS n FROM ({ORACLE
 # ---- actions, metrics and severities
 
 _kind = "json_extract_string(item, '$.type')"
-OPS = EVENTS + f""",
+OPS = PROG + "," + EVENTS + f""",
 con AS (SELECT line_id, room_id, seat, turn, line_no, event_pos, event_type, CAST(u.pos - 1 AS BIGINT) AS content_pos, u.value AS c FROM (SELECT *, json_extract(value, '$.message.content[*]') AS cs FROM it WHERE event_type IN ('assistant', 'user')), UNNEST(cs) WITH ORDINALITY AS u(value, pos)),
 op0 AS (
   SELECT room_id, seat, turn, line_no, line_id, event_pos, 0 AS content_pos,
@@ -142,11 +142,11 @@ op0 AS (
 res AS (SELECT room_id, {seat("seat")} AS who, turn, json_extract_string(c, '$.tool_use_id') AS tool_id, arg_max(CASE WHEN json_extract_string(c, '$.is_error') = 'true' THEN 1 ELSE 0 END, (line_no, event_pos, content_pos)) AS result FROM con WHERE event_type = 'user' AND json_extract_string(c, '$.type') = 'tool_result' GROUP BY ALL),
 op1 AS (SELECT room_id AS room, {seat("seat")} AS who, turn, line_no, line_id, event_pos, content_pos, kind, command, code, output, tool_id FROM op0 WHERE kind IS NOT NULL),
 ops AS (SELECT o.room, o.who, o.turn, CAST(row_number() OVER (PARTITION BY o.room, o.who, o.turn ORDER BY line_no, line_id, event_pos, content_pos) - 1 AS INT) AS i, kind, command, CASE WHEN o.tool_id IS NOT NULL THEN res.result ELSE code END AS exit_code,
-  CASE WHEN {sql_has("coalesce(command, '')", "board_say")} THEN nullif(regexp_extract(coalesce(output, ''), '"message"\\s*:\\s*\\{{\\s*"id"\\s*:\\s*"(msg_[A-Za-z0-9_-]+)"', 1), '') END AS posted_id
+  CASE WHEN {has_board("coalesce(command, '')", "board_say")} THEN nullif(regexp_extract(coalesce(output, ''), '"message"\\s*:\\s*\\{{\\s*"id"\\s*:\\s*"(msg_[A-Za-z0-9_-]+)"', 1), '') END AS posted_id
   FROM op1 o LEFT JOIN res ON res.room_id = o.room AND res.who = o.who AND res.turn = o.turn AND res.tool_id = o.tool_id)
 """
 LINKED = POSTS + "," + OPS + ", linked AS (SELECT o.*, p.seq AS posted FROM ops o LEFT JOIN posts p ON p.room = o.room AND p.id = o.posted_id)"
-_TALK = sql_has("coalesce(command, '')", "board_talk")
+_TALK = has_board("coalesce(command, '')", "board_talk")
 
 ORACLE |= {
     "board_actions": f"WITH {OPS} SELECT room, who, turn, kind, count(*) AS n FROM ops GROUP BY ALL",
@@ -186,7 +186,7 @@ ORACLE |= {
 }
 
 _UNI = r"[\p{L}\p{M}\p{N}_"
-_SECRET = r"\b(?:snk|sni|rit|rmt|clp|shr|afk)_[A-Za-z0-9_-]{10,}\b"
+_SECRET = CASED["secret"]
 _MAIL = _UNI + r".+-]+@" + _UNI + r"-]+\." + _UNI + r".]+"
 _ONE_LINE = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '<url>', 'g'), '{_MAIL}', '<email>', 'g'), '{_SECRET}', '<token>', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 ORACLE |= {

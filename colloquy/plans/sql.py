@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.functions.patterns import CASED, CASELESS
+from colloquy.functions.patterns import BOARD_VERBS, CASED, CASELESS, PROGRAMS
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -20,6 +20,16 @@ def has(text: str, name: str) -> str:
     return f"regexp_matches({text}, '{flags}{p}')"
 
 
+#: The names of the board's program, as one alternative: a program that is told to say something and answers with a posted message.
+PROG = rf"""prog AS (SELECT string_agg(name, '|') AS p FROM (SELECT name FROM (SELECT regexp_extract(line, '[\s''"/;&|(]([A-Za-z][A-Za-z0-9_-]*)\s+(?:say|post)\b', 1) AS name, count(*) AS n FROM turn_lines
+  WHERE regexp_matches(line, 'message\\?"\s*:\s*\{{') AND regexp_matches(line, 'id\\?"\s*:\s*\\?"msg_') GROUP BY ALL) WHERE name <> '' QUALIFY n >= 0.01 * sum(n) OVER () UNION SELECT unnest({list(PROGRAMS)})))"""
+
+
+def has_board(text: str, name: str) -> str:
+    """Needs :data:`PROG`."""
+    return rf"""regexp_matches({text}, '(?:^|[\s''"/;&|(])(?:' || (SELECT p FROM prog) || ')\s+{BOARD_VERBS[name]}')"""
+
+
 _TRIM = r"'^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$'"
 
 

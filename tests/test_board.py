@@ -50,7 +50,7 @@ def test_actions_of_both_dialects(spark):
         {"type": "turn.failed", "error": {"message": "limit"}},
     )
     room, _, raw, _, _ = boards.relations(spark, [boards.message(2, "A-1", "hi", mid="msg_2")], lines=ev)
-    ops = B.link_posts(B.actions(raw), B.posts(room, boards.relations(spark)[1])).orderBy("i").collect()
+    ops = B.link_posts(B.actions(raw, B.board_programs(raw)), B.posts(room, boards.relations(spark)[1])).orderBy("i").collect()
     assert [(o.i, o.kind) for o in ops] == [(0, "command"), (1, "command"), (2, "file_change"), (3, "message"), (4, "command"), (5, "file_change"), (6, "error")]
     assert ops[0].posted == 2 and ops[0].exit_code == 0
     assert ops[1].read_max == 41 and len(ops[1].output) == 500

@@ -75,10 +75,10 @@ def test_facts(spark):
     ops = [
         boards.op("a", 1, 0, "file_change", paths=["src/a.py"]),
         boards.op("a", 1, 1, "command", "pytest -q", 1),
-        boards.op("a", 1, 2, "command", "boardnet say x", 0, posted=4),
+        boards.op("a", 1, 2, "command", "sn say x", 0, posted=4),
         boards.op("a", 1, 3, "message", text="two tests failed"),
-        boards.op("b", 1, 0, "command", "boardnet say y", 0, posted=3),
-        boards.op("b", 1, 1, "command", "boardnet say z", 0, posted=5),
+        boards.op("b", 1, 0, "command", "sn say y", 0, posted=3),
+        boards.op("b", 1, 1, "command", "sn say z", 0, posted=5),
     ]
     checks = [("r1", None, None, "t", "check.sh", "claim", 1, False, 6, "bad")]
     b = boards.board(spark, rows, ops, checks, seats=[("r1", "a", 0, None, None, None, None, None, None)])
@@ -90,6 +90,41 @@ def test_facts(spark):
     assert {r.fact: r.n for r in facts.counts(f, b.rooms).collect()}["claim_without_action"] == 2
 
 
+def test_programs_that_only_sound_like_the_board(spark):
+    rows = [(1, "a", "I'll write `a.py`"), (2, "a", "I'll write `b.py`"), (3, "a", "I'll write `.c`"), (4, "a", "all tests pass")]
+    ops = [
+        boards.op("a", 1, 0, "command", "dotnet build > a.py", 0),
+        boards.op("a", 1, 1, "command", "telnet read host; kubenet join", 0),
+        boards.op("a", 1, 2, "command", "sn say x > b.py", 0),
+        boards.op("a", 1, 3, "command", "cp x.c y", 0, posted=4),
+    ]
+    b = boards.board(spark, rows, ops)
+    assert {(r.seq, r.fact) for r in facts.findings(b).where("fact like 'claim%'").collect()} == {(2, "claim_without_action")}
+    assert [r.i for r in b.ops.where(B.is_work(b.ops.kind, b.ops.command, b.programs)).orderBy("i").collect()] == [0, 1, 3]
+
+
+def test_board_programs_of_the_logs(spark):
+    answer = '{\\n \\"message\\": {\\n  \\"id\\": \\"msg_0001\\"}}'
+    line = lambda c, out: '{"type":"item.completed","item":{"type":"command_execution","command":"' + c + '","aggregated_output":"' + out + '"}}'
+    lines = [(1, "r", "a", 1, 1, line("roomctl say hello", answer)), (2, "r", "a", 1, 2, line("dotnet post build", "ok")), (3, "r", "a", 1, 3, None)]
+    df = spark.createDataFrame(lines, boards.LINES)
+    assert B.board_programs(df) == ("roomctl", "sn")
+    assert B.board_programs(df.limit(0)) == ("sn",)
+
+
+def test_hand_overs(spark):
+    rows = [(1, "a", "all yours"), (2, "a", "I'll write `a.py`"), (3, "b", "I'll write `a.py`"), (4, "a", "take it"), (5, "b", "I'll write `a.py`"), (6, "a", "go ahead"), (7, "c", "I'll write `a.py`")]
+    said = facts.speech(boards.posts(spark, *rows))
+    assert sorted(r.seq for r in facts.overlapping_claims(said).collect()) == [3]
+
+
+def test_long_turns_keep_their_order(spark):
+    ops = [boards.op("a", 1, 0, "command", "pytest", 1), boards.op("a", 1, 2_000_000, "command", "pytest -x", 0), boards.op("a", 2, 0, "command", "sn say x", 0, posted=1)]
+    b = boards.board(spark, [(1, "a", "all tests pass")], ops)
+    got = facts.before_posts(b.ops, B.post_ops(b.ops), b.programs).first()
+    assert (got.looks, got.runs, got.last_command) == (True, True, "pytest -x")
+
+
 def test_no_actions_no_facts(spark):
     assert facts.findings(boards.board(spark, ROOM)).count() == 0
 

@@ -92,7 +92,7 @@ def test_greedy_against_loop(spark):
 def test_seen_and_problems(spark):
     from colloquy.operators import board as B
 
-    ops = [boards.op("a", 1, 0, "command", "boardnet read", 0), boards.op("a", 1, 1, "command", "boardnet say", 0, posted=4)]
+    ops = [boards.op("a", 1, 0, "command", "sn read", 0), boards.op("a", 1, 1, "command", "boardnet say", 0, posted=4)]
     ops[0] = (*ops[0][:-1], 3)
     b = boards.board(spark, [(1, "b", "x"), (2, "b", "y"), (3, "b", "z"), (4, "a", "w"), (5, "b", "v")], ops)
     t = 1777629600000

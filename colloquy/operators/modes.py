@@ -6,6 +6,8 @@ before, what was delivered up to and including a post); what depends on the whol
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,22 @@ BUCKETS = ["1-20", "21-40", "41-60", "61+"]
 #: Posts an earlier near-duplicate may lie back, the likeness, and the least shingles for a post to be compared.
 WINDOW, LIKENESS, LEAST_SHINGLES = 80, 0.6, 8
 FRESH_MS = 6 * 3600 * 1000
-#: Evidence rows given out per mode; caps that also limit the count are part of the mode.
+#: Evidence rows given out per mode; the caps on B1, D1 (without a record) and REP limit the mode's count too. Each may be None: then there is no cap.
 ROWS, D1_ROWS, REP_ROWS, B1_ROWS = 25, 10, 40, 40
 
 
+@dataclass(frozen=True)
+class Caps:
+    rows: int | None = ROWS
+    d1: int | None = D1_ROWS
+    rep: int | None = REP_ROWS
+    b1: int | None = B1_ROWS
+
+
+def _least(n: Column, cap: int | None) -> Column:
+    return n if cap is None else F.least(n, F.lit(cap))
+
+
 def flags(posts: DataFrame) -> DataFrame:
     """Messages between seats with a boolean per speech act, ``heartbeat`` (of the first 220 characters), ``bucket`` and ``items``."""
     p = message_posts(posts)
@@ -105,16 +119,24 @@ def near_duplicates(flagged: DataFrame) -> DataFrame:
 
 
 def role_conflicts(flagged: DataFrame) -> DataFrame:
-    """Roles that two or more seats claim; ``authorized`` counts as a role."""
-    said = flagged.where("role_claim").select("room", F.lower(F.regexp_extract("text", java("role"), 1)).alias("role_word"), "who")
-    said = said.unionByName(flagged.where("authorized").select("room", F.lit("authorized").alias("role_word"), "who")).distinct()
-    return said.groupBy("room", "role_word").agg(F.array_join(F.array_sort(F.collect_list("who")), ", ").alias("who"), F.count("*").alias("n")).where("n >= 2").drop("n")
+    """Roles that two or more seats claim, with the first post that claims each; ``authorized`` counts as a role."""
+    said = flagged.where("role_claim").select("room", F.lower(F.regexp_extract("text", java("role"), 1)).alias("role_word"), "who", "seq")
+    said = said.unionByName(flagged.where("authorized").select("room", F.lit("authorized").alias("role_word"), "who", "seq")).groupBy("room", "role_word", "who").agg(F.min("seq").alias("seq"))
+    return said.groupBy("room", "role_word").agg(F.array_join(F.array_sort(F.collect_list("who")), ", ").alias("who"), F.min("seq").alias("first_seq"), F.count("*").alias("n")).where("n >= 2").drop("n")
+
+
+def item_log(events: DataFrame) -> DataFrame:
+    """What each post says of each item: ``room, item, log, seq, who, firm``; ``log`` is claims, done, reviews or uploads, ``firm`` of claims alone."""
+    kinds = {"claims": F.col("claims"), "done": F.col("done"), "reviews": F.col("review"), "uploads": F.col("delivers")}
+    each = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())), lambda x: x.isNotNull())
+    log = events.select("room", "item", F.explode(each).alias("log"), "seq", "who", "hedge")
+    return log.withColumn("firm", F.when(F.col("log") == "claims", ~F.col("hedge"))).drop("hedge")
 
 
 def item_states(events: DataFrame) -> DataFrame:
     """Per room and item: first mention, counts, and the state at the end (reviewed, done, claimed, mentioned)."""
     e = events.groupBy("room", "item").agg(
-        F.min("seq").alias("first_mention"), F.count_if("claims").alias("claims"), F.count_if("done").alias("dones"), F.count_if("review").alias("reviews"), F.count_if("delivers").alias("uploads"),
+        F.min("seq").alias("first_mention"), F.min(F.struct("seq", "item_pos")).alias("first_place"), F.count_if("claims").alias("claims"), F.count_if("done").alias("dones"), F.count_if("review").alias("reviews"), F.count_if("delivers").alias("uploads"),
         F.count_if(F.col("claims") & ~F.col("hedge")).alias("firm_claims"), F.min(F.when(F.col("claims"), F.struct("seq", "who"))).alias("first_claim"),
     )
     status = F.when((F.col("reviews") > 0) & (F.col("dones") > 0), "reviewed").when(F.col("dones") > 0, "done").when(F.col("firm_claims") > 0, "claimed").otherwise("mentioned")
@@ -129,8 +151,8 @@ def severity(rate: Column, mode: str) -> Column:
 class Modes:
     """The detector over a board; its parts are DataFrames and are computed once, on the flagged posts."""
 
-    def __init__(self, board: Board) -> None:
-        self.board = board
+    def __init__(self, board: Board, caps: Caps = Caps()) -> None:
+        self.board, self.caps = board, caps
         self.flagged = cut(flags(board.posts))
         ends = self.flagged.groupBy("room").agg(F.min_by("at_ms", "seq").alias("first_ms"), F.max_by(F.struct("seq", "text", "at_ms"), "seq").alias("l"))
         self.ends = ends.select("room", "first_ms", F.col("l.seq").alias("last_seq"), F.col("l.text").alias("last_text"), F.col("l.at_ms").alias("last_ms"))
@@ -180,15 +202,25 @@ class Modes:
         span = F.when((F.col("posts") > 1), F.bround((F.col("last_ms") - F.col("first_ms")) / 3600000, 1))
         return m.withColumn("last_post_kind", kind).withColumn("span_hours", span).withColumn("heartbeat_share", F.bround(F.col("heartbeat_posts") / F.col("posts"), 3)).drop("last_ms", "first_ms")
 
+    def _measured(self) -> DataFrame:
+        """The metrics, written once."""
+        if not hasattr(self, "_m"):
+            self._m = cut(self.metrics().withColumn("has_record", F.coalesce("has_record", F.lit(False))))
+        return self._m
+
+    @staticmethod
+    def _ends_open() -> Column:
+        return (F.col("open_items_at_end") > 0) | F.col("last_post_kind").isin("ask", "heartbeat", "pause") | (F.col("wait_signals") >= F.greatest(F.lit(3), F.floor(F.col("posts") / 20)))
+
     def modes(self) -> DataFrame:
         """``room, mode, present, severity, count, confidence`` for all ten modes of every room."""
-        m = self.metrics().withColumn("has_record", F.coalesce("has_record", F.lit(False)))
+        m = self._measured()
         ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
         n, hb = F.col("posts"), F.col("heartbeat_posts") / F.col("posts")
-        d3 = (F.col("open_items_at_end") > 0) | F.col("last_post_kind").isin("ask", "heartbeat", "pause") | (F.col("wait_signals") >= F.greatest(F.lit(3), F.floor(n / 20)))
+        d3 = self._ends_open()
         d3_high = ((hb >= 0.15) | F.col("last_post_kind").isin("pause", "ask")) & ((F.col("open_items_at_end") > 0) | (F.col("wait_signals") >= 3))
-        d1 = F.when(F.col("has_record"), F.col("action_claims_unverifiable")).otherwise(F.least("action_claims_unverifiable", F.lit(D1_ROWS)))
-        b1 = F.least("asks_unanswered", F.lit(B1_ROWS)) + F.col("hedged_items")
+        d1 = F.when(F.col("has_record"), F.col("action_claims_unverifiable")).otherwise(_least(F.col("action_claims_unverifiable"), self.caps.d1))
+        b1 = _least(F.col("asks_unanswered"), self.caps.b1) + F.col("hedged_items")
         b2 = F.col("identity_posts") + F.col("role_conflicts")
         rows = {
             "R1": (F.col("ev_R1"), severity(ratio("ev_R1", "claims"), "R1")),
@@ -199,7 +231,7 @@ class Modes:
             "D2": (F.col("ev_D2"), severity(ratio("ev_D2", "reviews"), "D2")),
             "D3": (d3.cast("long"), F.when(d3_high, "high").when(d3, "medium").otherwise("none")),
             "D4": (F.col("ev_D4"), severity(ratio("ev_D4", "asks"), "D4")),
-            "REP": (F.least("duplicate_posts", F.lit(REP_ROWS)), severity(F.col("duplicate_posts") / n, "REP")),
+            "REP": (_least(F.col("duplicate_posts"), self.caps.rep), severity(F.col("duplicate_posts") / n, "REP")),
             "HB": (F.col("heartbeat_posts"), severity(hb, "HB")),
         }
         conf = lambda k: F.when(F.col("has_record"), CONFIDENCE_D1_WITH_RECORD).otherwise(CONFIDENCE[k]) if k == "D1" else F.lit(CONFIDENCE[k])
@@ -207,26 +239,44 @@ class Modes:
         return m.select("room", F.explode(all_).alias("x")).select("room", "x.*")
 
     def evidence(self) -> DataFrame:
-        """``room, mode, n, seq, who, excerpt, why``: the rows to read, at most 25 a mode, by post, then place of the item."""
-        p = self.parts()
-        row = lambda df, mode, why, pos=None, seq="seq", who="who", text="text": df.select("room", (F.lit(mode) if isinstance(mode, str) else mode).alias("mode"), F.col(seq).cast("long").alias("seq"), (pos if pos is not None else F.lit(0)).cast("int").alias("pos"), F.col(who).alias("who"), redact(F.col(text)).alias("excerpt"), (F.lit(why) if isinstance(why, str) else why).alias("why"))
-        again = F.when(F.col("own"), F.format_string("re-claims '%s' that it reported done itself at #%d", "item", "done_seq")).otherwise(F.format_string("claims '%s', reported done by %s at #%d", "item", "other_who", "done_seq"))
-        first = Window.partitionBy("room").orderBy("seq")  # a top-k: Spark keeps only the first rows of each room before the shuffle
-        none = p["items"].where("claims > 0 and firm_claims = 0 and dones = 0").select("room", F.col("first_claim.seq").alias("seq"), F.col("first_claim.who").alias("who"), F.format_string("hedged claim on '%s'", "item").alias("text"))
-        unver = p["checked"].where("not verifiable")
+        """``room, mode, n, seq, who, excerpt, why``: the rows to read, at most ``caps.rows`` a mode.
+
+        Rows come by post, then place of the item. Of B1 the unanswered asks come before the hedged items (by first mention), of B2 the posts before the roles
+        (by first claim); what a cap limits is its first rows.
+        """
+        p, caps = self.parts(), self.caps
+
+        def row(df, mode, why, place=("seq",), seq="seq", who="who", text="text", group=0):
+            # the place orders rows inside the group
+            at = F.struct(F.lit(group).alias("g"), *((F.col(c) if isinstance(c, str) else c).cast("long").alias(f"p{i}") for i, c in enumerate((*place, F.lit(0))[:2])))
+            lit = lambda x: F.lit(x) if isinstance(x, str) else x
+            return df.select("room", lit(mode).alias("mode"), at.alias("at"), F.col(seq).cast("long").alias("seq"), F.col(who).alias("who"), redact(F.col(text)).alias("excerpt"), lit(why).alias("why"))
+
+        def first(df, cap, keep=None):
+            # a top-k: Spark keeps only the first rows of each room before the shuffle
+            if cap is None:
+                return df
+            k = F.row_number().over(Window.partitionBy("room").orderBy("seq"))
+            return df.withColumn("k", k).where((F.col("k") <= cap) | (keep if keep is not None else F.lit(False))).drop("k")
+
+        fresh = F.when(F.col("mode") == "R2", " (first hours after joining)").otherwise("")
+        again = F.when(F.col("own"), F.format_string("re-claims '%s' that it reported done itself at #%d", "item", "done_seq")).otherwise(F.concat(F.format_string("claims '%s', reported done by %s at #%d", "item", "other_who", "done_seq"), fresh))
+        none = p["items"].where("claims > 0 and firm_claims = 0 and dones = 0").select("room", "first_place", F.col("first_claim.seq").alias("seq"), F.col("first_claim.who").alias("who"), F.format_string("hedged claim on '%s'", "item").alias("text"))
+        ends = self._measured().where(self._ends_open()).select("room", F.col("last_seq").alias("seq"), F.lit("").alias("who"), F.col("last_text").alias("text"), F.format_string("ends with a %s; %d claimed item(s) never reported done; %d waiting/blocked signals", "last_post_kind", "open_items_at_end", "wait_signals").alias("why"))
         out = [
-            row(p["reclaims"], F.col("mode"), again, F.col("item_pos")),
-            row(p["unanswered"].withColumn("k", F.row_number().over(first)).where(F.col("k") <= B1_ROWS), "B1", "no later post replies to or cites this ask"),
-            row(none, "B1", "never firmed up or delivered", F.lit(1)),
+            row(p["reclaims"], F.col("mode"), again, ("seq", "item_pos")),
+            row(first(p["unanswered"], caps.b1), "B1", "no later post replies to or cites this ask"),
+            row(none, "B1", "never firmed up or delivered", ("first_place.seq", "first_place.item_pos"), group=1),
             row(self.flagged.where("identity"), "B2", "identity or seat ambiguity being negotiated on the board"),
-            row(p["roles"].withColumn("seq", F.lit(0)).withColumn("text", F.lit("")), "B2", F.format_string("two or more seats claim the role '%s'", "role_word")),
-            row(unver, "D1", F.when(F.col("has_record"), "action claimed with no matching artifact row by this seat").otherwise("action claimed; this source has no artifact rows to check it against")),
+            row(p["roles"].withColumn("seq", F.lit(0)).withColumn("text", F.lit("")), "B2", F.format_string("two or more seats claim the role '%s'", "role_word"), ("first_seq", F.when(F.col("role_word") == "authorized", 1).otherwise(0)), group=1),
+            row(first(p["checked"].where("not verifiable"), caps.d1, F.col("has_record")), "D1", F.when(F.col("has_record"), "action claimed with no matching artifact row by this seat").otherwise("action claimed; this source has no artifact rows to check it against")),
             row(p["nothing"], "D2", F.col("why")),
+            row(ends, "D3", F.col("why")),
             row(self.flagged.where("ask and proxy"), "D4", "asks the holder to act instead of taking the item over"),
-            row(p["near"], "REP", F.format_string("near-duplicate of #%d by %s", "of_seq", "of_who")),
+            row(first(p["near"], caps.rep), "REP", F.format_string("near-duplicate of #%d by %s", "of_seq", "of_who")),
         ]
         rows = out[0]
         for o in out[1:]:
             rows = rows.unionByName(o)
-        n = F.row_number().over(Window.partitionBy("room", "mode").orderBy("seq", "pos", "who", "why"))
-        return rows.withColumn("n", n).where(F.col("n") <= ROWS).drop("pos")
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("room", "mode").orderBy("at", "who", "why"))).drop("at")
+        return rows if caps.rows is None else rows.where(F.col("n") <= caps.rows)

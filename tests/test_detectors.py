@@ -35,6 +35,42 @@ def test_ten_modes(spark):
     assert [r.seq for r in m.evidence().where("mode = 'REP'").collect()] == [13]
 
 
+def test_evidence_rows(spark):
+    m = modes.Modes(boards.board(spark, ROOM, kind="share-file"))
+    n = {r["mode"]: r["count"] for r in m.modes().collect()}
+    rows = m.evidence().collect()
+    got = {k: [(r.seq, r.who) for r in sorted(rows, key=lambda r: r.n) if r["mode"] == k] for k in n}
+    assert all(len(v) == min(n[k], 25) for k, v in got.items() if k != "HB") and got["HB"] == []
+    assert got["B1"] == [(7, "a"), (5, "c")] and got["B2"] == [(9, "c"), (0, "a, b")] and got["D3"] == [(15, "")]
+    assert next(r.why for r in rows if r["mode"] == "D3") == "ends with a pause; 0 claimed item(s) never reported done; 1 waiting/blocked signals"
+
+
+def test_caps_and_no_caps(spark):
+    rows = [(n, "a", f"uploaded `x{n}.py`, can you check it?") for n in range(1, 61)] + [(61, "b", "fine"), (62, "b", "fine"), (63, "b", "fine")]
+    caps = lambda **k: modes.Modes(boards.board(spark, rows), modes.Caps(**k))
+    some, all_ = caps(), caps(rows=None, d1=None, rep=None, b1=None)
+    count = lambda m: {r["mode"]: r["count"] for r in m.modes().collect()}
+    assert (count(some)["D1"], count(some)["B1"]) == (10, 40) and (count(all_)["D1"], count(all_)["B1"]) == (60, 60)
+    by = lambda m: {r["mode"]: r.n for r in m.evidence().groupBy("mode").agg(modes.F.count("*").alias("n")).collect()}
+    assert (by(some)["D1"], by(some)["B1"]) == (10, 25) and (by(all_)["D1"], by(all_)["B1"]) == (60, 60)
+    recorded = boards.board(spark, rows, kind="episode")
+    assert {r["mode"]: r["count"] for r in modes.Modes(recorded).modes().collect()}["D1"] == 60
+    assert modes.Modes(recorded).evidence().where("mode = 'D1'").count() == 25
+
+
+def test_item_log(spark):
+    got = {(r.item, r.log, r.seq, r.who, r.firm) for r in modes.item_log(modes.item_events(modes.flags(boards.posts(spark, *ROOM[:6])))).collect()}
+    assert got == {("parser.py", "claims", 1, "a", True), ("parser.py", "done", 2, "b", None), ("parser.py", "uploads", 2, "b", None), ("parser.py", "claims", 3, "a", True), ("parser.py", "claims", 4, "b", True), ("lexer.py", "claims", 5, "c", False), ("other.md", "reviews", 6, "c", None)}
+
+
+def test_rare_modes(spark):
+    """R2, B2, D2 and D4, of which the tables hold none."""
+    seats = [("r1", "b", 1, None, None, None, "2026-05-01T10:01:30Z", "p2", None)]
+    rows = [(1, "a", "`x.py` is done"), (2, "b", "I'll take `x.py`"), (3, "c", "LGTM on `y.py`"), (4, "c", "can you run it for me"), (5, "a", "which seat is it"), (6, "a", "i am the lead"), (7, "b", "I'm the lead"), (8, "b", "ok"), (9, "b", "ok")]
+    got = {r["mode"]: (r["count"], r.severity) for r in modes.Modes(boards.board(spark, rows, seats=seats)).modes().collect()}
+    assert (got["R2"], got["B2"], got["D2"], got["D4"]) == ((1, "high"), (2, "high"), (1, "high"), (1, "high"))
+
+
 def test_reclaim_names_the_last_other(spark):
     rows = [(1, "b", "`x.py` is done"), (2, "a", "`x.py` is done"), (3, "a", "`x.py` is done"), (4, "a", "I'll take `x.py`")]
     r = modes.Modes(boards.board(spark, rows)).parts()["reclaims"].first()

@@ -21,35 +21,37 @@ def canonical(*columns: str) -> Column:
 
 
 def digest(*columns: str) -> Column:
-    return F.sha2(canonical(*columns), 256)
+    return F.concat(F.lit("sha256:"), F.sha2(canonical(*columns), 256))
 
 
 def trace_digests(posts: DataFrame) -> DataFrame:
-    """``room, trace_digest``: one digest per board over its posts in order.
+    """``room, trace_digest``: one digest per board over its posts in order, the same whatever the source.
 
-    Posts are hashed first, then the hashes of each stretch of 1,024 numbers, then those of the stretches: no task holds a board's text.
+    A digest of a whole board's text in one go would put the board into one task. Posts are hashed first, then the hashes of each stretch of 1,024 numbers, then those of the stretches: no task holds a board's text.
     """
     h = posts.select("room", "seq", F.floor(F.col("seq") / 1024).alias("part"), F.sha2(F.to_json(F.array(F.col("seq").cast("string"), F.col("who"), F.col("text"))), 256).alias("h"))
     join = lambda by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: x["h"]), ""), 256).alias("h")
-    return h.groupBy("room", "part").agg(join("seq")).groupBy("room").agg(join("part")).withColumnRenamed("h", "trace_digest")
+    return h.groupBy("room", "part").agg(join("seq")).groupBy("room").agg(join("part")).select("room", F.concat(F.lit("sha256:"), "h").alias("trace_digest"))
 
 
-def export(posts: DataFrame, choices: list[str], salt: str, context: int = 8, codebook: str = "ten_modes") -> DataFrame:
+def export(posts: DataFrame, choices: list[str], salt: str, context: int | None = 8, codebook: str = "ten_modes") -> DataFrame:
     """Blind rows of all agent posts in an order that the salt decides, with the key columns beside them.
 
-    ``context_before`` holds the ``context`` posts of any role before each, scrubbed; it comes from a join on places, so a board is not
+    ``context_before`` holds the ``context`` posts of any role before each, scrubbed (all of them, if it is None: each row then grows with its board); it comes from a join on places, so a board is not
     windowed in one task. The blind file is the row without ``KEY`` columns.
     """
     p = cut(position(posts.select("room", "seq", "who", "text", "role"), ["room"], "seq", "place"))
     base = agent_posts(p).join(trace_digests(posts), "room")
     base = base.select("room", "seq", "place", F.col("who").alias("actor"), mentions(F.col("text")).alias("addressed_to"), scrub(F.col("text")).alias("content"), "trace_digest")
     base = base.withColumn("sample_id", F.concat(F.lit("sample-"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), "trace_digest", "seq"), 256), 1, 16))).withColumn("episode_id", F.concat(F.lit("episode-"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), "trace_digest"), 256), 1, 12)))
-    if context:
-        near = p.select("room", F.explode(F.sequence(F.col("place") + 1, F.col("place") + context)).alias("place"), F.struct("seq", F.col("who").alias("actor"), scrub(F.col("text")).alias("content")).alias("c"))
+    if context or context is None:
+        last = p.groupBy("room").agg(F.max("place").alias("_last"))
+        to = F.col("_last") if context is None else F.least("_last", F.col("place") + context)
+        near = p.join(last, "room").where(F.col("place") < to).select("room", F.explode(F.sequence(F.col("place") + 1, to)).alias("place"), F.struct("seq", F.col("who").alias("actor"), scrub(F.col("text")).alias("content")).alias("c"))
         near = near.groupBy("room", "place").agg(F.array_sort(F.collect_list("c")).alias("context_before"))
         base = base.join(near, ["room", "place"], "left")
     none = F.array().cast("array<struct<seq:bigint,actor:string,content:string>>")
-    base = base.withColumn("context_before", F.coalesce("context_before", none) if context else none)
+    base = base.withColumn("context_before", F.coalesce("context_before", none) if context or context is None else none)
     base = base.withColumn("schema", F.lit(SCHEMA_TAG)).withColumn("codebook", F.lit(codebook)).withColumn("choices", F.array(*map(F.lit, choices)))
     rows = base.withColumn("digest", digest(*FIXED))
     return rows.withColumn("sort_key", F.sha2(F.concat_ws(":", F.lit(salt), F.lit("order"), "sample_id"), 256)).drop("place")
@@ -101,6 +103,15 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return g.withColumn("kappa", F.bround(kappa(F.col("_ab"), F.col("_a"), F.col("_b"), F.nullif("decisions", F.lit(0))), 4)).drop("_ab", "_a", "_b")
 
 
+def compare_summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: samples both raters have, their episodes, how many agree in full, and how many are to be adjudicated."""
+    pairs, _ = pair(a, b)
+    open_ = to_adjudicate(a, b).select("sample_id", F.lit(True).alias("open"))
+    j = pairs.join(open_, "sample_id", "left")
+    agreed = F.count_if(F.col("open").isNull())
+    return j.agg(F.count("*").alias("samples"), F.count_distinct("episode_id").alias("episodes"), agreed.alias("agreed"), F.count_if("open").alias("to_adjudicate"), F.bround(agreed / F.nullif(F.count("*"), F.lit(0)), 4).alias("exact_agreement"))
+
+
 def to_adjudicate(a: DataFrame, b: DataFrame) -> DataFrame:
     """Samples on which the raters differ, or either is uncertain."""
     pairs, _ = pair(a, b)

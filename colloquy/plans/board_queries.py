@@ -142,7 +142,8 @@ op0 AS (
 res AS (SELECT room_id, {seat("seat")} AS who, turn, json_extract_string(c, '$.tool_use_id') AS tool_id, arg_max(CASE WHEN json_extract_string(c, '$.is_error') = 'true' THEN 1 ELSE 0 END, (line_no, event_pos, content_pos)) AS result FROM con WHERE event_type = 'user' AND json_extract_string(c, '$.type') = 'tool_result' GROUP BY ALL),
 op1 AS (SELECT room_id AS room, {seat("seat")} AS who, turn, line_no, line_id, event_pos, content_pos, kind, command, code, output, tool_id FROM op0 WHERE kind IS NOT NULL),
 ops AS (SELECT o.room, o.who, o.turn, CAST(row_number() OVER (PARTITION BY o.room, o.who, o.turn ORDER BY line_no, line_id, event_pos, content_pos) - 1 AS INT) AS i, kind, command, CASE WHEN o.tool_id IS NOT NULL THEN res.result ELSE code END AS exit_code,
-  CASE WHEN {has_board("coalesce(command, '')", "board_say")} THEN nullif(regexp_extract(coalesce(output, ''), '"message"\\s*:\\s*\\{{\\s*"id"\\s*:\\s*"(msg_[A-Za-z0-9_-]+)"', 1), '') END AS posted_id
+  CASE WHEN {has_board("coalesce(command, '')", "board_say")} THEN nullif(regexp_extract(coalesce(output, ''), '"message"\\s*:\\s*\\{{\\s*"id"\\s*:\\s*"(msg_[A-Za-z0-9_-]+)"', 1), '') END AS posted_id,
+  CASE WHEN {has_board("coalesce(command, '')", "board_read")} THEN list_max(list_transform(regexp_extract_all(coalesce(output, ''), '"sequence"\\s*:\\s*(\\d+)', 1), lambda x: TRY_CAST(x AS BIGINT))) END AS read_max, right(output, 500) AS output, o.line_id, o.event_pos, o.content_pos
   FROM op1 o LEFT JOIN res ON res.room_id = o.room AND res.who = o.who AND res.turn = o.turn AND res.tool_id = o.tool_id)
 """
 LINKED = POSTS + "," + OPS + ", linked AS (SELECT o.*, p.seq AS posted FROM ops o LEFT JOIN posts p ON p.room = o.room AND p.id = o.posted_id)"

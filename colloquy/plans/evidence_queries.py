@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.patterns import CASED, CASELESS
 from colloquy.operators import facts, modes
-from colloquy.plans.board_queries import _ANSWERED, _ITEM, _ONE_LINE, FLAGGED, LINKED, ORACLE as BOARD, _flagged, _modes
-from colloquy.plans.sql import POSTS, has, has_board, seat
+from colloquy.plans.board_queries import _ANSWERED, _ITEM, _ONE_LINE, FLAGGED, LINKED, _flagged, _modes
+from colloquy.plans.board_queries import ORACLE as BOARD
+from colloquy.plans.sql import POSTS, has, has_board
 
 METRICS = [
     "posts", "seats", "principals", "span_hours", "asks", "asks_unanswered", "wait_signals", "claims", "claim_posts", "re_claims", "self_contradicting_re_claims", "done_claims", "reviews", "action_claims",
@@ -141,10 +142,11 @@ _TEXTS = """texts AS (SELECT op.room, op.who, op.turn, op.i, m.text FROM (SELECT
 _FACTS = _FACTS.replace("  msg AS (", f"  {_TEXTS},\n  msg AS (")
 _pattern = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in facts.FACTS.items()) + "}[fact]"
 _ROWS = _FACTS + f" SELECT r.room, fact, {_pattern} AS pattern, r.seq, r.who, lk.x.turn AS turn, lk.x.i AS op, {redact('r.text')} AS excerpt, why FROM rows r LEFT JOIN lk USING (room, seq)"
-_GROUP = "CASE WHEN pattern IN ('R1', 'R2') THEN 'misread' WHEN pattern IN ('D1', 'D2') THEN 'ungrounded' ELSE 'unsaid' END"
 ORACLE |= {
     "post_files": f"WITH {POSTS}, {FILES} SELECT room, seq, file FROM files",
     "success_claims": f"WITH {POSTS}, {SUCCESS} SELECT room, seq, who FROM posts JOIN succ USING (room, seq) WHERE role = 'agent'",
     "fact_findings": _ROWS,
     "fact_counts": f"SELECT r.room, k.fact, k.pattern, CAST(count(f.fact) AS BIGINT) AS n FROM (WITH {POSTS} SELECT DISTINCT room FROM posts) r CROSS JOIN (SELECT unnest({list(facts.FACTS)}) AS fact, unnest({list(facts.FACTS.values())}) AS pattern) k LEFT JOIN ({_ROWS}) f ON f.room = r.room AND f.fact = k.fact GROUP BY ALL",
 }
+_GROUP = "map {'R1': 'claim', 'D1': 'report_and_verify', 'D2': 'report_and_verify', 'claim_without_action': 'progress_and_close'}[pattern]"
+ORACLE["regrouped_facts"] = f'SELECT room, {_GROUP} AS "group", CAST(count(*) AS BIGINT) AS n FROM ({_ROWS}) GROUP BY ALL'

@@ -74,13 +74,54 @@ ORACLE = {
 
 _SEEN = """
 lk AS (SELECT room, posted AS seq, x.who, x.turn, x.i FROM (SELECT room, posted, max({'who': who, 'turn': turn, 'i': i}) AS x FROM linked WHERE posted IS NOT NULL GROUP BY ALL)),
-ag AS (SELECT p.room, p.seq, p.who, p.at_ms, lk.turn AS l_turn, lk.seq IS NOT NULL AS has_link, lk.who = p.who AS own FROM posts p LEFT JOIN lk USING (room, seq) WHERE role = 'agent'),
+ag AS (SELECT p.room, p.seq, p.who, p.at_ms, lk.turn AS l_turn, lk.i AS l_i, lk.seq IS NOT NULL AS has_link, lk.who = p.who AS own FROM posts p LEFT JOIN lk USING (room, seq) WHERE role = 'agent'),
 fr AS (SELECT a.room, a.seq, a.who, arg_max({'turn': t.turn, 'e': coalesce(t.end_ms, 1152921504606846976), 'h': coalesce(t.through_sequence, 1)}, t.start_ms) AS w, any_value(a.at_ms) AS at_ms
   FROM ag a JOIN turns t ON t.room = a.room AND t.who = a.who AND t.start_ms <= a.at_ms WHERE NOT a.has_link GROUP BY ALL)
 """
 ORACLE |= {
     "posts_seen": f"""WITH {LINKED}, {WAKES}, {_SEEN}
-      SELECT a.room, a.seq, a.who, CASE WHEN t.turn IS NOT NULL THEN a.l_turn END AS turn, CASE WHEN t.turn IS NOT NULL THEN coalesce(t.through_sequence, 1) END AS seen FROM ag a LEFT JOIN turns t ON t.room = a.room AND t.who = a.who AND t.turn = a.l_turn WHERE a.has_link AND a.own
+      SELECT a.room, a.seq, a.who, CASE WHEN t.turn IS NOT NULL THEN a.l_turn END AS turn, CASE WHEN t.turn IS NOT NULL THEN greatest(coalesce(t.through_sequence, 1), (SELECT max(o.read_max) FROM ops o WHERE o.room = a.room AND o.who = a.who AND o.turn = a.l_turn AND o.i < a.l_i)) END AS seen FROM ag a LEFT JOIN turns t ON t.room = a.room AND t.who = a.who AND t.turn = a.l_turn WHERE a.has_link AND a.own
       UNION ALL SELECT a.room, a.seq, a.who, CASE WHEN f.at_ms <= f.w.e + 1000 THEN f.w.turn END, CASE WHEN f.at_ms <= f.w.e + 1000 THEN f.w.h END FROM ag a LEFT JOIN fr f USING (room, seq) WHERE NOT a.has_link""",
     "evidence_levels": f"WITH {POSTS}, {OPS} SELECT DISTINCT room, CASE WHEN room IN (SELECT room FROM ops) THEN 'E3' WHEN room IN (SELECT room_id FROM wakes) THEN 'E2' ELSE 'E1' END AS level FROM posts",
 }
+
+_LEVELS = "CASE WHEN room IN (SELECT room FROM ops) THEN 'E3' WHEN room IN (SELECT room_id FROM wakes) THEN 'E2' ELSE 'E1' END"
+_SEEN_ROWS = ORACLE["posts_seen"][ORACLE["posts_seen"].index("SELECT a.room, a.seq, a.who, CASE WHEN t.turn") :]
+ORACLE["bundle_posts"] = f"""WITH {LINKED}, {WAKES}, {_SEEN}, sn AS ({_SEEN_ROWS}) SELECT p.room, p.seq, p.who, p.role, p.created_at, sn.seen, {_LEVELS.replace("room IN", "p.room IN")} AS level FROM posts p LEFT JOIN sn USING (room, seq)"""
+_OP_PATHS = """pathlist AS (SELECT line_id, event_pos, 0 AS content_pos, list_transform(list_filter(CASE WHEN json_type(c) = 'ARRAY' THEN json_extract(c, '$[*]') WHEN json_type(c) = 'OBJECT' THEN [c] ELSE [] END, lambda x: json_type(x) = 'OBJECT'), lambda x: json_extract_string(x, '$.path')) AS paths FROM (
+      SELECT line_id, event_pos, CASE WHEN json_type(item, '$.changes') = 'VARCHAR' THEN CAST(json_extract_string(item, '$.changes') AS JSON) ELSE json_extract(item, '$.changes') END AS c FROM it WHERE event_type = 'item.completed' AND json_extract_string(item, '$.type') = 'file_change')
+    UNION ALL SELECT line_id, event_pos, content_pos, [coalesce(json_extract_string(c, '$.input.file_path'), json_extract_string(c, '$.input.notebook_path'))] FROM con WHERE event_type = 'assistant' AND json_extract_string(c, '$.name') IN ('Edit', 'Write', 'MultiEdit', 'NotebookEdit')),
+  words AS (SELECT line_id, event_pos, 0 AS content_pos, CASE WHEN event_type <> 'item.completed' THEN coalesce(json_extract_string(value, '$.error.message'), json_extract_string(value, '$.message')) WHEN json_extract_string(item, '$.type') = 'web_search' THEN json_extract_string(item, '$.query')
+      WHEN json_extract_string(item, '$.type') = 'mcp_tool_call' THEN concat_ws('.', json_extract_string(item, '$.server'), json_extract_string(item, '$.tool')) WHEN json_extract_string(item, '$.type') = 'error' THEN json_extract_string(item, '$.message') ELSE json_extract_string(item, '$.text') END AS w FROM it WHERE event_type IN ('item.completed', 'turn.failed', 'error')
+    UNION ALL SELECT line_id, event_pos, content_pos, CASE WHEN json_extract_string(c, '$.type') = 'text' THEN json_extract_string(c, '$.text') WHEN json_extract_string(c, '$.name') = 'WebSearch' THEN json_extract_string(c, '$.input.query') ELSE json_extract_string(c, '$.name') END FROM con WHERE event_type = 'assistant')"""
+ORACLE["action_list"] = f"""WITH {LINKED}, {_OP_PATHS} SELECT room, concat_ws(':', who, turn, i) AS action_id, who, turn, i, kind,
+    CASE WHEN posted IS NOT NULL THEN 'posted P' || posted WHEN read_max IS NOT NULL THEN 'read the board: up to P' || read_max WHEN kind = 'command' THEN 'command [exit ' || coalesce(CAST(exit_code AS VARCHAR), 'none') || ']: ' || substr(coalesce(command, ''), 1, 400)
+      WHEN kind = 'file_change' THEN 'file change: ' || array_to_string(list_filter(coalesce(paths, []), lambda x: x IS NOT NULL), ', ') WHEN kind = 'message' THEN 'final text of the turn: ' || substr(coalesce(w, ''), 1, 400) ELSE substr(kind || ': ' || coalesce(w, ''), 1, 240) END AS line
+    FROM linked LEFT JOIN pathlist USING (line_id, event_pos, content_pos) LEFT JOIN words USING (line_id, event_pos, content_pos)"""
+
+
+def _rule(condition: str, problem: str) -> str:
+    return f"SELECT room, incident_id, record, '{problem.replace("'", "''")}' AS problem FROM i WHERE {condition}"
+
+
+_quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_RULES = [
+    ("len(posts) = 0", "posts must be a non-empty list"),
+    ("NOT coalesce(list_contains(posts, anchor), false)", "the anchor must be one of its posts"),
+    (f"NOT coalesce(class IN ({_quoted(incidents.CLASSES)}), false)", "unknown class"),
+    ("NOT coalesce(severity BETWEEN 1 AND 5, false)", "severity must be from 1 to 5"),
+    ("severity BETWEEN 1 AND 5 AND NOT coalesce(starts_with(trim(severity_reason), CAST(severity AS VARCHAR)), false)", "severity_reason must begin with the level"),
+    *((f"length(trim(coalesce({c}, ''))) < 10", f"{c} must say what happened") for c in ("class_reason", "cause", "consequence")),
+    ("repaired IS NULL", "repaired must be true or false"),
+    (f"NOT coalesce(source IN ({_quoted(incidents.SOURCES)}), false)", "unknown source"),
+    (f"NOT coalesce(confidence IN ({_quoted(incidents.CONFIDENCES)}), false)", "unknown confidence"),
+    ("len(actions) > 0 AND room IN (SELECT room FROM lv WHERE level <> 'E3')", "actions without agents' logs"),
+    ("class = 'unsaid' AND room IN (SELECT room FROM lv WHERE level <> 'E3')", "unsaid needs the agents' logs"),
+]
+ORACLE["incident_problems"] = f"""WITH {LINKED}, {WAKES}, {_SEEN}, sn AS ({_SEEN_ROWS}), lv AS (SELECT room, {_LEVELS} AS level FROM (SELECT DISTINCT room FROM posts)),
+  i AS (SELECT DISTINCT ON (annotation_id) room_id AS room, annotation_id AS incident_id, record, coalesce(posts, []) AS posts, anchor, actions, class, class_reason, cause, consequence, severity, severity_reason, repaired, source, confidence FROM incidents),
+  each AS (SELECT *, unnest(posts) AS seq FROM i)
+  {" UNION ALL ".join(_rule(*r) for r in _RULES)}
+  UNION ALL SELECT DISTINCT room, incident_id, record, 'a post does not exist' FROM each e WHERE NOT EXISTS (SELECT 1 FROM posts p WHERE p.room = e.room AND p.seq = e.seq)
+  UNION ALL SELECT e.room, e.incident_id, e.record, 'unreceived, but its author had received every other post' FROM each e JOIN sn s ON s.room = e.room AND s.seq = e.anchor AND s.seen IS NOT NULL JOIN posts p ON p.room = e.room AND p.seq = e.seq
+    WHERE e.class = 'unreceived' AND e.source = 'agents' GROUP BY ALL HAVING NOT bool_or(p.who <> s.who AND ((e.seq > s.seen AND e.seq < e.anchor) OR e.seq > e.anchor))"""

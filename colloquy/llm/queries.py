@@ -47,3 +47,6 @@ ORACLE = {
       SELECT root AS root_message_id, row_number() OVER (PARTITION BY root ORDER BY sequence) AS position, id AS message_id FROM member WHERE NOT {_CONTENT_BLANK} AND root IN (SELECT root FROM good)""",
 }
 ORACLE["p2_nearest"] = ORACLE["p2_found"].replace("AS turn FROM d", "AS turn, min(dist) AS distance_ms FROM d")
+_KEPT = ORACLE["p5_found"]
+ORACLE["p5_conversations"] = _KEPT[: _KEPT.rindex("SELECT root AS root_message_id")].replace("s.id, s.sequence, s.seat, s.content,", "s.id, s.sequence, s.seat, s.content, s.room_id, s.at_ms, s.sender.kind AS sender_kind,") + f"""SELECT root AS root_message_id, row_number() OVER (PARTITION BY root ORDER BY sequence) AS position, id AS message_id,
+      CASE WHEN sender_kind = 'runner' THEN 'runner' WHEN seat = (SELECT max(a.seat) FROM member a WHERE a.root = m.root AND a.id = a.root) THEN 'author' ELSE 'participant' END AS role, room_id, seat, at_ms, content FROM member m WHERE NOT {_CONTENT_BLANK} AND root IN (SELECT root FROM good)"""

@@ -63,14 +63,14 @@ def seats(episodes: DataFrame) -> DataFrame:
     return shaped(a.where("who is not null").groupBy("room", "who").agg(*(F.min_by(c, first).alias(c) for c in ("ord", "driver", "model", "member_id"))), "seats")
 
 
-def posts(room: DataFrame, episodes: DataFrame) -> DataFrame:
+def posts(room: DataFrame, episodes: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """Posts with author, role and the number of the post they reply to.
 
     The author is the name that the run lists for the sender's instance, else the sender's own, else the instance, else ``?``. The
     role is ``goal`` for a run's goal, ``runner``, ``other`` for a person or an unlisted sender, else ``agent``; where a room
-    lists no seats every other sender is an agent.
+    lists no seats every other sender is an agent. ``raw``: the room's posts, where they are at hand already.
     """
-    p = tables.posts(room)
+    p = tables.posts(room) if raw is None else raw
     members = episodes.select(F.col("room_id").alias("m_room"), F.explode("agents").alias("a")).select("m_room", F.col("a.member_id").alias("m_id"), tables.seat_name(F.col("a.name")).alias("m_name"))
     by_member = members.where("m_id is not null").groupBy("m_room", "m_id").agg(F.min("m_name").alias("m_name"))
     names = members.where("m_name is not null").select(F.col("m_room").alias("n_room"), F.col("m_name").alias("n_name")).distinct().withColumn("is_listed", F.lit(True))
@@ -93,9 +93,9 @@ def posts(room: DataFrame, episodes: DataFrame) -> DataFrame:
     return p.select(F.col("room_id").alias("room"), F.col("sequence").alias("seq"), "id", "who", F.coalesce("content", F.lit("")).alias("text"), "created_at", "at_ms", F.coalesce("reply_to_sequence", "r_seq").alias("reply_to"), F.coalesce("type", F.lit("message")).alias("type"), "role")
 
 
-def principals(room: DataFrame, listed: DataFrame) -> DataFrame:
+def principals(raw: DataFrame, listed: DataFrame) -> DataFrame:
     """Seats with the first principal that posted under their member id."""
-    first = tables.posts(room).where("sender_principal_id is not null").groupBy(F.col("room_id").alias("room"), F.coalesce("sender_instance_id", "sender.member_id").alias("member_id")).agg(F.min_by("sender_principal_id", "sequence").alias("p"))
+    first = raw.where("sender_principal_id is not null").groupBy(F.col("room_id").alias("room"), F.coalesce("sender_instance_id", "sender.member_id").alias("member_id")).agg(F.min_by("sender_principal_id", "sequence").alias("p"))
     return shaped(listed.join(first, ["room", "member_id"], "left").withColumn("principal", F.coalesce("principal", "p")), "seats")
 
 
@@ -199,10 +199,12 @@ def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame,
     """
     programs = board_programs(turn_lines) if programs is None else programs
     nested.allow_repeated_keys(turn_lines)
-    p = posts(room, episodes)
+    # one table of posts serves all relations
+    raw = tables.posts(room)
+    p = posts(room, episodes, raw)
     return Board(
         rooms=rooms(p, episodes),
-        seats=all_seats(room, episodes, p),
+        seats=all_seats(raw, episodes, p),
         posts=p,
         artifacts=empty(room.sparkSession, "artifacts"),
         ops=link_posts(actions(turn_lines, programs), p),
@@ -212,13 +214,13 @@ def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame,
     )
 
 
-def all_seats(room: DataFrame, episodes: DataFrame, posts: DataFrame) -> DataFrame:
+def all_seats(raw: DataFrame, episodes: DataFrame, posts: DataFrame) -> DataFrame:
     """The listed seats; of a room without any, the agents that post there, joined with their first post; with their principals."""
     listed = seats(episodes)
     senders = agent_posts(posts).join(listed.select("room").distinct(), "room", "left_anti").groupBy("room", "who").agg(F.min_by("created_at", "seq").alias("joined_at"), F.min("seq").cast("int").alias("ord"))
-    member = tables.posts(room).groupBy(F.col("room_id").alias("room"), F.col("seat").alias("who")).agg(F.min(F.coalesce("sender_instance_id", "sender.member_id")).alias("member_id"))
+    member = raw.groupBy(F.col("room_id").alias("room"), F.col("seat").alias("who")).agg(F.min(F.coalesce("sender_instance_id", "sender.member_id")).alias("member_id"))
     found = shaped(senders.join(member, ["room", "who"], "left"), "seats")
-    return principals(room, listed.unionByName(found))
+    return principals(raw, listed.unionByName(found))
 
 
 def from_tables(spark, sf_dir: str) -> Board:

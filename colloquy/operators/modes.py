@@ -15,7 +15,7 @@ from colloquy.functions.patterns import has, java
 from colloquy.functions.text import items, redact, seqrefs, shingles
 from colloquy.functions.times import epoch_ms
 from colloquy.operators.board import Board, message_posts
-from colloquy.operators.ordered import position, previous, running_max
+from colloquy.operators.ordered import position, previous, running_max, running_maxima
 from colloquy.session import cut
 
 ACTS = ["accept", "hedge", "done", "review", "review_unread", "ask", "proxy", "wait", "pause", "pay", "upload", "push", "identity", "authorized"]
@@ -60,53 +60,59 @@ def bucket(seq: Column) -> Column:
 def item_events(flagged: DataFrame) -> DataFrame:
     """One row per post and item: ``room, item, seq, who``, and what the post says of it."""
     kinds = [(F.col("accept")).alias("claims"), F.col("done"), (F.col("upload") | F.col("pay") | F.col("push")).alias("delivers"), F.col("review"), F.col("hedge")]
-    return flagged.select("room", "seq", "id", "who", "at_ms", "text", *kinds, F.posexplode("items").alias("item_pos", "item"))
+    return flagged.select("room", "seq", "who", "at_ms", *kinds, F.posexplode("items").alias("item_pos", "item"))
 
 
-def reclaims(events: DataFrame, first_posts: DataFrame, seats: DataFrame) -> DataFrame:
-    """Claims of items that were reported done before: ``mode`` R1, or R2 in a seat's first hours after joining late.
-
-    By another seat (the last such report is named), else by the claimant itself. Every report knows the last one before it by another
-    author; a claim takes the last report before it, or, if that is its own, the one by another that this report knows.
+def placed(events: DataFrame) -> DataFrame:
+    """The events with what was there before each: ``last_done`` (the item's last done report, with the last one before it by another author) and
+    ``delivered`` (whether the item was done or delivered before or in the post). One pass over the ranges of an item serves both.
     """
     key = ["room", "item"]
     d = previous(events.where("done").select(*key, "seq", "who"), key, "seq", ["seq", "who"])
     changed = F.when(F.col("prev_who") != F.col("who"), F.struct("seq", F.col("prev_seq").alias("by_seq"), F.col("prev_who").alias("by_who")))
     d = running_max(d, key, "seq", changed, "alt", inclusive=True).select(*key, "seq", F.lit(True).alias("is_done"), "alt.by_seq", "alt.by_who")
-    e = events.join(d, [*key, "seq"], "left")
-    e = running_max(e, key, "seq", F.when(F.col("is_done"), F.struct("seq", "who", "by_seq", "by_who")), "last_done")
-    c = e.where("claims and last_done is not null")
+    own = F.col("done") | F.col("delivers")
+    e = running_maxima(events.join(d, [*key, "seq"], "left"), key, "seq", {"last_done": F.when(F.col("is_done"), F.struct("seq", "who", "by_seq", "by_who")), "before": own}, inclusive=False)
+    return e.withColumn("delivered", F.coalesce("before", F.lit(False)) | own).drop("before", "is_done", "by_seq", "by_who")
+
+
+def reclaims(placed: DataFrame, first_posts: DataFrame, seats: DataFrame) -> DataFrame:
+    """Claims of items that were reported done before: ``mode`` R1, or R2 in a seat's first hours after joining late.
+
+    By another seat (the last such report is named), else by the claimant itself. Every report knows the last one before it by another
+    author; a claim takes the last report before it, or, if that is its own, the one by another that this report knows.
+    """
+    c = placed.where("claims and last_done is not null")
     other = F.when(F.col("last_done.who") != F.col("who"), F.struct(F.col("last_done.seq").alias("seq"), F.col("last_done.who").alias("who")))
     c = c.withColumn("other", F.coalesce(other, F.when(F.col("last_done.by_seq").isNotNull(), F.struct(F.col("last_done.by_seq").alias("seq"), F.col("last_done.by_who").alias("who")))))
     joined = seats.select("room", "who", epoch_ms(F.col("joined_at")).alias("joined_ms"))
     c = c.join(joined, ["room", "who"], "left").join(first_posts.select("room", "first_ms"), "room", "left")
     fresh = F.coalesce((F.col("joined_ms") > F.col("first_ms")) & (F.col("at_ms") - F.col("joined_ms") < FRESH_MS), F.lit(False))
-    return c.select("room", "item", "seq", "who", "text", "item_pos", "hedge", F.col("other.who").alias("other_who"), F.coalesce("other.seq", "last_done.seq").alias("done_seq"), F.when(F.col("other").isNotNull() & fresh, "R2").otherwise("R1").alias("mode"), F.col("other").isNull().alias("own"))
+    return c.select("room", "item", "seq", "who", "item_pos", F.col("other.who").alias("other_who"), F.coalesce("other.seq", "last_done.seq").alias("done_seq"), F.when(F.col("other").isNotNull() & fresh, "R2").otherwise("R1").alias("mode"), F.col("other").isNull().alias("own"))
 
 
-def reviews_of_nothing(flagged: DataFrame, events: DataFrame) -> DataFrame:
+def reviews_of_nothing(flagged: DataFrame, placed: DataFrame) -> DataFrame:
     """Reviews on a description, and reviews of items of which none was delivered up to and including the post."""
-    given = running_max(events, ["room", "item"], "seq", (F.col("done") | F.col("delivers")).cast("int"), "delivered", inclusive=True)
-    none = given.where("review").groupBy("room", "seq", "id").agg(F.max("delivered").alias("d")).where("d = 0").select("room", "seq", F.lit(True).alias("nothing"))
+    none = placed.where("review").groupBy("room", "seq").agg(F.bool_or("delivered").alias("d")).where("not d").select("room", "seq", F.lit(True).alias("nothing"))
     r = flagged.where("review").join(none, ["room", "seq"], "left")
-    return r.where("review_unread or nothing").select("room", "seq", "who", "text", F.when(F.col("review_unread"), "review given on a description, not the artifact").otherwise("review of items without a visible prior delivery").alias("why"))
+    return r.where("review_unread or nothing").select("room", "seq", "who", F.when(F.col("review_unread"), "review given on a description, not the artifact").otherwise("review of items without a visible prior delivery").alias("why"))
 
 
 def unanswered(flagged: DataFrame, last: DataFrame) -> DataFrame:
     """Asks that no post replies to or cites (wherever it stands), the last two numbers of the board apart."""
     answered = flagged.select("room", F.explode(F.array_append(seqrefs(F.col("text")), F.when(F.col("reply_to") != 0, F.col("reply_to")))).alias("seq")).where("seq is not null").distinct()
     asks = flagged.where("ask").join(last.select("room", "last_seq"), "room").where(F.col("seq") < F.col("last_seq") - 2)
-    return asks.join(answered, ["room", "seq"], "left_anti").select("room", "seq", "who", "text")
+    return asks.join(answered, ["room", "seq"], "left_anti").select("room", "seq", "who")
 
 
 def near_duplicates(flagged: DataFrame) -> DataFrame:
-    """Posts like one of the 80 comparable posts before them: ``room, seq, who, text, of_seq, of_who`` of the oldest such post.
+    """Posts like one of the 80 comparable posts before them: ``room, seq, who, of_seq, of_who`` of the oldest such post.
 
     Posts are numbered by place among the comparable ones of their board, and an inverted index on shingles, held to stretches of 80 places, brings
     together only posts that share a shingle and may lie near enough: a shingle that every post holds still meets
     at most 160 others. Only likenesses are counted, no sets are compared.
     """
-    s = flagged.select("room", "seq", "who", "text", shingles(F.col("text")).alias("sh")).where(F.size("sh") >= LEAST_SHINGLES)
+    s = flagged.select("room", "seq", "who", shingles(F.col("text")).alias("sh")).where(F.size("sh") >= LEAST_SHINGLES)
     s = cut(position(s, ["room"], "seq", "rank"))
     x = s.select("room", "rank", "seq", F.size("sh").alias("n"), F.explode("sh").alias("shingle"))
     x = x.withColumn("stretch", F.floor(F.col("rank") / WINDOW))
@@ -115,7 +121,7 @@ def near_duplicates(flagged: DataFrame) -> DataFrame:
     like = pairs.groupBy("room", "rank", "of_rank").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("of_n").alias("of_n"))
     first = like.where(F.col("both") / (F.col("n") + F.col("of_n") - F.col("both")) >= LIKENESS).groupBy("room", "rank").agg(F.min("of_rank").alias("of_rank"))
     out = s.drop("sh").join(first, ["room", "rank"])
-    return out.join(s.select("room", F.col("rank").alias("of_rank"), F.col("seq").alias("of_seq"), F.col("who").alias("of_who")), ["room", "of_rank"]).select("room", "seq", "who", "text", "of_seq", "of_who")
+    return out.join(s.select("room", F.col("rank").alias("of_rank"), F.col("seq").alias("of_seq"), F.col("who").alias("of_who")), ["room", "of_rank"]).select("room", "seq", "who", "of_seq", "of_who")
 
 
 def role_conflicts(flagged: DataFrame) -> DataFrame:
@@ -166,16 +172,24 @@ class Modes:
         has_record = F.coalesce("has_record", F.lit(False))
         return a.withColumn("has_record", has_record).withColumn("verifiable", has_record & (~F.col("upload") | F.coalesce("has_artifact", F.lit(False))))
 
+    def placed(self) -> DataFrame:
+        """The events of claims and reviews with what was there before them, written once."""
+        if not hasattr(self, "_placed"):
+            self._placed = cut(placed(self.events).where("review or (claims and last_done is not null)"))
+        return self._placed
+
     def parts(self) -> dict[str, DataFrame]:
+        """The rows that the modes count, without their texts."""
         if not hasattr(self, "_parts"):
+            placed = self.placed()
             self._parts = {
-                "reclaims": cut(reclaims(self.events, self.ends, self.board.seats)),
-                "nothing": cut(reviews_of_nothing(self.flagged, self.events)),
+                "reclaims": cut(reclaims(placed, self.ends, self.board.seats)),
+                "nothing": cut(reviews_of_nothing(self.flagged, placed)),
                 "unanswered": cut(unanswered(self.flagged, self.ends)),
                 "near": cut(near_duplicates(self.flagged)),
                 "roles": cut(role_conflicts(self.flagged)),
                 "items": cut(item_states(self.events)),
-                "checked": cut(self.claims_checked().select("room", "seq", "who", "text", "has_record", "verifiable")),
+                "checked": cut(self.claims_checked().select("room", "seq", "who", "has_record", "verifiable")),
             }
         return self._parts
 
@@ -244,7 +258,8 @@ class Modes:
         Rows come by post, then place of the item. Of B1 the unanswered asks come before the hedged items (by first mention), of B2 the posts before the roles
         (by first claim); what a cap limits is its first rows.
         """
-        p, caps = self.parts(), self.caps
+        caps, text_of = self.caps, self.flagged.select("room", "seq", "text")
+        p = {k: d.join(text_of, ["room", "seq"]) if k in ("reclaims", "unanswered", "checked", "nothing", "near") else d for k, d in self.parts().items()}
 
         def row(df, mode, why, place=("seq",), seq="seq", who="who", text="text", group=0):
             # the place orders rows inside the group

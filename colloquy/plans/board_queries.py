@@ -61,9 +61,9 @@ QUERIES = {
     "unanswered_asks": _flagged(lambda f: modes.unanswered(f, _ends(f)).select("room", "seq", "who")),
     "near_duplicates": _flagged(lambda f: modes.near_duplicates(f).select("room", "seq", "who", "of_seq", "of_who")),
     "item_states": _flagged(lambda f: modes.item_states(modes.item_events(f)).select("room", "item", "first_mention", "claims", "dones", "reviews", "uploads", "status_at_end")),
-    "re_claims": _modes(lambda m: modes.reclaims(m.events, m.ends, m.board.seats).select("room", "item", "seq", "who", "own", "done_seq", "mode")),
-    "reviews_of_nothing": _modes(lambda m: modes.reviews_of_nothing(m.flagged, m.events).select("room", "seq", "who", "why")),
-    "role_conflicts": _flagged(modes.role_conflicts),
+    "re_claims": _modes(lambda m: modes.reclaims(m.placed(), m.ends, m.board.seats).select("room", "item", "seq", "who", "own", "done_seq", "mode")),
+    "reviews_of_nothing": _modes(lambda m: modes.reviews_of_nothing(m.flagged, m.placed()).select("room", "seq", "who", "why")),
+    "role_conflicts": _flagged(lambda f: modes.role_conflicts(f).drop("first_seq")),
     "mode_metrics": _modes(lambda m: m.metrics()),
     "mode_severities": _modes(lambda m: m.modes()),
     "mode_evidence": _modes(lambda m: m.evidence()),

@@ -7,10 +7,10 @@ import json
 import sys
 
 from colloquy import contract, views
-from colloquy.operators import audit, taxonomy
+from colloquy.operators import audit, facts, taxonomy
 from colloquy.operators import board as B
 from colloquy.session import get_session
-from colloquy.sources.files import write_jsonl
+from colloquy.sources.files import ndjson, write_jsonl
 
 
 TEMPLATE = '''"""NAME: questions that nobody answered. Replace annotate() with your own method and register the class
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--annotator", default="modes_v1")
     a.add_argument("--source", default="auto")
     a.add_argument("-o", "--out")
-    a.add_argument("--markdown", metavar="ROOM", help="show one room's result as Markdown (modes_v1, kickstart)")
+    a.add_argument("--markdown", metavar="ROOM", help="show one room's result as Markdown")
     t = sub.add_parser("trace", help="what a source holds, per room")
     t.add_argument("src")
     t.add_argument("--source", default="auto")
@@ -63,9 +63,24 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("compare", help="agreement of two labelled files")
     c.add_argument("a")
     c.add_argument("b")
+    c.add_argument("-o", "--out", help="write the report and the samples to adjudicate below this folder")
+    f = sub.add_parser("finalize", help="gold labels of two raters and an adjudicator, back at their boards")
+    for name in ("a", "b", "judged", "key"):
+        f.add_argument(name)
+    f.add_argument("-o", "--out", required=True)
+    k = sub.add_parser("codebook", help="labels and their definitions, of a choice (by class with :groups)")
+    k.add_argument("choice")
     return p
 
 
+def _problems(rows) -> int:
+    """Tells problems by kind; how many kinds there are."""
+    told = rows.groupBy("problem").count().orderBy("problem").collect()
+    for r in told:
+        print(r["problem"], r["count"], file=sys.stderr)
+    return len(told)
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 when done, 1 on a problem with the input, 2 when an output breaks its schema."""
     args = parser().parse_args(argv)
@@ -84,6 +99,9 @@ def main(argv: list[str] | None = None) -> int:
             f.write(TEMPLATE.replace("NAME", args.name))
         return 0
     try:
+        if args.command == "codebook":
+            print(json.dumps(contract.codebook(args.choice.removesuffix(":groups"), args.choice.endswith(":groups")), indent=1, ensure_ascii=False))
+            return 0
         if args.command == "schema":
             print(contract.get_annotator(args.annotator).schema)
             return 0
@@ -93,8 +111,23 @@ def main(argv: list[str] | None = None) -> int:
             for r in bad:
                 print(r.problem, r.n)
             return int(bool(bad))
-        if args.command == "compare":
-            audit.compare(spark.read.json(args.a), spark.read.json(args.b)).show(1000, truncate=False)
+        if args.command in ("compare", "finalize"):
+            rated = lambda path: ndjson(spark, path, audit.RATED).drop("path")
+            a, b = rated(args.a), rated(args.b)
+            if _problems(audit.check_labels(a).unionByName(audit.check_labels(b)).unionByName(audit.pair(a, b)[1])):
+                return 1
+            if args.command == "finalize":
+                gold, problems = audit.finalize(a, b, rated(args.judged), ndjson(spark, args.key, audit.KEYED).select("sample_id", "trace_digest", "room", "seq"))
+                if _problems(problems):
+                    return 1
+                write_jsonl(gold, args.out)
+                return 0
+            audit.compare(a, b).orderBy("label").show(1000, truncate=False)
+            audit.compare_summary(a, b).show(truncate=False)
+            if args.out:
+                write_jsonl(audit.compare(a, b), f"{args.out}/report")
+                write_jsonl(audit.compare_summary(a, b), f"{args.out}/summary")
+                write_jsonl(a.join(audit.to_adjudicate(a, b).select("sample_id"), "sample_id", "left_semi").withColumn("labels", audit.F.array().cast("array<string>")).withColumn("uncertain", audit.F.array().cast("array<string>")), f"{args.out}/adjudicate")
             return 0
         board = contract.get_source(getattr(args, "source", "auto"))(spark, args.src)
         if args.command == "trace":
@@ -104,7 +137,8 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "export":
             labels = [x["id"] for x in contract.codebook(args.codebook.removesuffix(":groups"), args.codebook.endswith(":groups"))["labels"]]
             rows = audit.export(board.posts, labels, args.salt, args.context, args.codebook)
-            write_jsonl(rows.drop("room", "trace_digest").sort("sort_key").drop("sort_key"), f"{args.out}/blind")
+            blind = rows.withColumn("labels", audit.F.array().cast("array<string>")).withColumn("uncertain", audit.F.array().cast("array<string>"))
+            write_jsonl(blind.drop("room", "trace_digest").sort("sort_key").drop("sort_key"), f"{args.out}/blind")
             write_jsonl(rows.select("sample_id", "episode_id", "seq", "digest", "trace_digest", "room"), f"{args.out}/key")
         else:
             annotator = contract.get_annotator(args.annotator)
@@ -114,7 +148,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(*problems, sep="\n", file=sys.stderr)
                 return 2
             if args.markdown:
-                show = {"modes_v1": views.modes, "kickstart": views.findings}.get(args.annotator)
+                show = {"modes_v1": views.modes, "kickstart": views.findings, "facts_v1": lambda found, room: views.facts(found, facts.seat_stats(board), room)}.get(args.annotator)
                 if show is None:
                     print(f"{args.annotator} has no Markdown view", file=sys.stderr)
                     return 1

@@ -13,6 +13,9 @@ from colloquy.session import cut
 #: Fields that a digest covers, in order of their names; a rater must leave them as they are.
 FIXED = ["actor", "addressed_to", "choices", "codebook", "content", "context_before", "episode_id", "sample_id", "schema", "seq"]
 SCHEMA_TAG = "audit.label.v1"
+#: The rows of a rater's file, and of the key that leads back to the boards.
+RATED = "actor string, addressed_to array<string>, choices array<string>, codebook string, content string, context_before array<struct<seq: bigint, actor: string, content: string>>, episode_id string, sample_id string, schema string, seq bigint, digest string, labels array<string>, uncertain array<string>"
+KEYED = "sample_id string, episode_id string, seq bigint, digest string, trace_digest string, room string"
 
 
 def canonical(*columns: str) -> Column:

@@ -2,9 +2,11 @@ import json
 
 import boards
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy import contract
 from colloquy.cli import main
+from colloquy.operators import audit
 from colloquy.operators import board as B
 from colloquy.sources import files
 
@@ -79,6 +81,9 @@ def test_contract(spark, record, tmp_path):
     files.write_jsonl(contract.records(a, b, contract.run("modes_v1", b)), str(tmp_path / "rec"))
     back = spark.read.json(str(tmp_path / "rec"))
     assert back.count() == 10 and contract.validate_records(back).count() == 0
+    broken = back.withColumn("output", back.output.withField("count", F.lit("many")))
+    assert [(r.problem, r.n) for r in contract.validate_records(broken).collect()] == [("output breaks its schema", 10)]
+    assert contract.validate_records(back.withColumn("output", back.output.withField("more", F.lit(1)))).first().n == 10
 
     class Bad:
         name, version, schema, taxonomy = "9", "", "x y z", "none"
@@ -97,7 +102,7 @@ def test_cli(spark, record, tmp_path, capsys):
     exec((tmp_path / "my_own.py").read_text(), scope)
     assert contract.check_annotator(scope["Annotator"]) == []
     assert main(["analyse", str(record), "--markdown", "run1"]) == 0 and "| HB |" in capsys.readouterr().out
-    assert main(["analyse", str(record), "--annotator", "facts_v1", "--markdown", "run1"]) == 1
+    assert main(["analyse", str(record), "--annotator", "facts_v1", "--markdown", "run1"]) == 0
     assert main(["analyse", str(record), "--annotator", "kickstart", "-o", str(tmp_path / "out")]) == 0
     assert main(["trace", str(record), "--full", str(tmp_path / "full")]) == 0
     assert spark.read.json(str(tmp_path / "full/posts")).count() == 2
@@ -105,12 +110,24 @@ def test_cli(spark, record, tmp_path, capsys):
     blind = spark.read.json(str(tmp_path / "audit/blind"))
     assert "room" not in blind.columns and blind.count() == spark.read.json(str(tmp_path / "audit/key")).count() == 1
     assert main(["analyse", str(tmp_path / "missing"), "--source", "record"]) == 1
+    # two raters who differ, an adjudicator, and the labels back at their board
+    files = {n: str(tmp_path / n) for n in ("a", "b", "judged", "broken")}
+    label = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    rated = spark.read.schema(audit.RATED).json(str(tmp_path / "audit/blind"))
+    for n, x in (("a", label("R1")), ("b", label("B1")), ("judged", label("B1", "R1"))):
+        rated.withColumn("labels", x).write.option("ignoreNullFields", "false").json(files[n])
+    rated.withColumn("content", F.lit("edited")).write.json(files["broken"])
+    assert main(["compare", files["a"], files["b"], "-o", str(tmp_path / "report")]) == 0
+    assert spark.read.json(str(tmp_path / "report/adjudicate")).count() == 1 and spark.read.json(str(tmp_path / "report/summary")).first().exact_agreement == 0.0
+    assert main(["compare", files["a"], files["broken"]]) == 1
+    assert main(["finalize", files["a"], files["b"], files["judged"], str(tmp_path / "audit/key"), "-o", str(tmp_path / "gold")]) == 0
+    gold = spark.read.json(str(tmp_path / "gold")).first()
+    assert (gold.labels, gold.room, gold.adjudicated) == (["R1", "B1"], "run1", True)
+    assert main(["codebook", "state_gap:groups"]) == 0
     capsys.readouterr()
 
 
 def test_stream_equals_batch(spark, sf):
-    from pyspark.sql import functions as F
-
     from colloquy.streaming import board_stream as S
 
     batch = S.hourly_acts(S.timed(spark.read.parquet(f"{sf}/room.parquet").dropDuplicates(["id"])))
@@ -130,7 +147,8 @@ def test_registered_streams_are_whole(spark, sf):
     batch = S.timed(spark.read.parquet(f"{sf}/room.parquet"))
     for name, make in (("stream_hourly_acts", S.hourly_acts), ("stream_sessions", S.sessions)):
         rows = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
-        assert sorted(rows) == sorted(map(tuple, make(batch).collect())) and rows
+        want = make(batch).select(*(F.unix_millis(c).alias(c) if t == "timestamp" else F.col(c) for c, t in make(batch).dtypes))
+        assert sorted(rows) == sorted(map(tuple, want.collect())) and rows
 
 
 def test_stream_in_several_batches(spark, tmp_path):
@@ -149,7 +167,6 @@ def test_stream_reclaims_equal_batch(spark, tmp_path):
 
     from colloquy.operators.ordered import running_max
     from colloquy.streaming import board_stream as S
-    from pyspark.sql import functions as F
 
     say = lambda n: f"`x.py` is done {n}" if n % 7 == 3 else f"I'll take `x.py` {n}"
     rows = [boards.message(n, "abc"[n % 3], say(n), at=str(1777629600000 + n * 1000)) for n in range(1, 1500)]

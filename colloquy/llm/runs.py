@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.json_values import once
 from colloquy.llm.pointers import jump
 from colloquy.operators.ordered import previous
 from colloquy.session import cut
@@ -50,7 +51,7 @@ def slips(pairs: DataFrame, words: DataFrame) -> DataFrame:
     known = cut(pairs.distinct().join(n_of("a"), "a").join(n_of("b"), "b"))
     rarer, commoner = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     direct = known.where(one_slip(F.col("a"), F.col("b")) & (commoner >= SLIP_RATIO * rarer)).select("a", "b")
-    open_ = known.join(direct, ["a", "b"], "left_anti").where(F.levenshtein("a", "b") <= 4)
+    open_ = known.join(direct, ["a", "b"], "left_anti")
     rare = open_.select(F.col("a").alias("r"), F.col("n_a").alias("n_r")).union(open_.select("b", "n_b")).distinct()
     keys = rare.select("r", "n_r", F.explode(_deletions(F.col("r"))).alias("key"))
     common = words.where("n > 1").select(F.col("word").alias("c"), F.col("n").alias("n_c"), F.explode(_deletions(F.col("word"))).alias("key"))
@@ -71,8 +72,10 @@ def matched(room: DataFrame) -> DataFrame:
     q = previous(p, ["room_id", "seat"], "sequence", ["id", "said"])
     pair = F.filter(F.arrays_zip(words("prev_said").alias("a"), words("said").alias("b")), lambda x: x["a"] != x["b"])
     differ = F.when(F.col("said") == F.col("prev_said"), F.array().cast("array<struct<a:string,b:string>>")).when(F.size(words("said")) == F.size(words("prev_said")), pair)
-    q = cut(q.select("id", "room_id", "seat", "sequence", "at_ms", "prev_id", F.when(F.size(differ) <= 2, differ).alias("differ")))
-    near = q.where("size(differ) between 1 and 2").select("id", F.explode("differ").alias("x")).select("id", "x.a", "x.b")
+    # two slips at most lie between any two words of a pair, so a post of another wording is out at once, however many words differ
+    near = lambda x: F.levenshtein(x["a"], x["b"], 4) >= 0
+    q = cut(q.select("id", "room_id", "seat", "sequence", "at_ms", "prev_id", once(differ, lambda x: F.when(F.forall(x, near), x)).alias("differ")))
+    near = q.where("size(differ) > 0").select("id", F.explode("differ").alias("x")).select("id", "x.a", "x.b")
     fine = near.join(slips(near.select("a", "b"), vocabulary).withColumn("ok", F.lit(1)), ["a", "b"], "left")
     fine = fine.groupBy("id").agg(F.min(F.coalesce("ok", F.lit(0))).alias("ok")).where("ok = 1").select("id", F.lit(True).alias("slip"))
     out = q.join(fine, "id", "left")

@@ -52,6 +52,21 @@ def test_runs(spark):
     assert runs.runs(spark.createDataFrame([], ROOM)).count() == 0
 
 
+def test_runs_with_many_slips(spark):
+    plain = "waiting for several reports about this board"
+    slipped = "wating for severall reprots about thiss bord"
+    rows = [post(f"a{n}", n, "A", t) for n, t in enumerate([plain, slipped, "walking for several resorts around that beach"])] + [post(f"b{n}", n, f"S{n}", plain, room="other") for n in range(12)]
+    got = {(r.seat, r.first_sequence, r.last_sequence, r.n_posts) for r in runs.runs(spark.createDataFrame(rows, ROOM)).collect()}
+    assert got == {("a", 0, 1, 2)}
+
+
+def test_conversations_meet_a_cycle(spark):
+    """A reference to a later post is no good link, so a cycle of references falls away whole; chains that lead into it too."""
+    rows = [post("a", 1, "A", "one", parent="c"), post("b", 2, "B", "two", parent="a"), post("c", 3, "C", "three", parent="b"), post("d", 4, "D", "four", parent="c"), post("r", 5, "A", "root"), post("s", 6, "B", "reply", parent="r")]
+    got = {(r.root_message_id, r.message_id) for r in conversations.conversations(spark.createDataFrame(rows, ROOM)).collect()}
+    assert got == {("r", "r"), ("r", "s")}
+
+
 def test_index_error_is_bounded():
     rng = np.random.default_rng(3)
     for keys in (np.arange(500) * 7, np.unique(rng.integers(0, 10**9, 800)), np.unique((rng.exponential(1, 600).cumsum() * 1e6).astype(int)), np.array([5])):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from colloquy.functions.json_values import LIST, MAP, as_text, decoded, entries, field, strict_json, whole_number
@@ -109,6 +109,8 @@ def nested_values(turn_lines: DataFrame) -> DataFrame:
 #: An object with more keys than this in all records is a map: its keys are data, and become rows.
 MAP_KEYS = 256
 _NESTED = ("ARRAY", "OBJECT")
+#: Paths of a level that the driver reads at once; of more it reads only what is left when the keys of maps are put together.
+FEW = 10_000
 Path = tuple[str, ...]
 
 
@@ -119,14 +121,21 @@ def _levels(parsed: DataFrame, map_keys: int) -> Iterator[tuple[list, DataFrame]
     level = keep(parsed.select(F.array().cast("array<string>").alias("parent"), F.lit("$").alias("key"), "value"))
     while True:
         per = level.groupBy("parent", "key", "kind").agg(F.count("*").alias("n"))
-        # counted where the keys are: of a map only the number of its keys goes to the driver
-        many = per.where("key <> '[]'").groupBy("parent").agg(F.count_distinct("key").alias("k")).where(F.col("k") > map_keys)
-        maps = [r.parent for r in many.select("parent").collect()]
-        is_map = F.lit(False)
-        for m in maps:
-            is_map = is_map | ((F.col("parent") == F.array(*map(F.lit, m))) & (F.col("key") != "[]"))
-        step = F.when(is_map, "{}").otherwise(F.col("key"))
-        found = per.withColumn("path", F.concat("parent", F.array(step))).groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
+        is_map, step = F.lit(False), F.col("key")
+        few = per.limit(FEW + 1).collect()
+        keys: dict[Path, set[str]] = {}
+        for r in few:
+            if r.key != "[]":
+                keys.setdefault(tuple(r.parent), set()).add(r.key)
+        if len(few) <= FEW and all(len(k) <= map_keys for k in keys.values()):
+            found = [Row(path=[*r.parent, r.key], kind=r.kind, n=r.n) for r in few]
+        else:
+            # counted where the keys are: of a map only its place goes to the driver
+            many = per.where("key <> '[]'").groupBy("parent").agg(F.count_distinct("key").alias("k")).where(F.col("k") > map_keys)
+            for m in many.select("parent").collect():
+                is_map = is_map | ((F.col("parent") == F.array(*map(F.lit, m.parent))) & (F.col("key") != "[]"))
+            step = F.when(is_map, "{}").otherwise(F.col("key"))
+            found = per.withColumn("path", F.concat("parent", F.array(step))).groupBy("path", "kind").agg(F.sum("n").alias("n")).collect()
         yield found, level
         if not any(r.kind in _NESTED for r in found):
             return

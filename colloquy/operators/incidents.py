@@ -62,16 +62,24 @@ def seen(board: Board) -> DataFrame:
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of two passes that may be the same incident: ``room, a, b, score``.
 
-    Same anchor, or at least half of all posts shared. Only incidents of one board that share a post are brought together; a post that
-    many incidents name is met by the anchors and posts near it alone, as both sides list few posts.
+    Same anchor, or at least half of all posts shared. Two incidents that share half their posts share one of the rarest of either: only by
+    those (as many as could all be missing, and one more) and by their anchors are they brought together, so a post that many name brings none together alone.
     """
-    side = lambda d, n: d.select("room", F.col("incident_id").alias(n), F.array_distinct(F.filter("posts", lambda x: x.isNotNull())).alias(f"{n}_posts"), F.col("anchor").alias(f"{n}_anchor"))
+    side = lambda d, n: d.select("room", F.col("incident_id").alias(n), F.array_distinct(F.filter(F.coalesce("posts", F.array().cast("array<bigint>")), lambda x: x.isNotNull())).alias(f"{n}_posts"), F.col("anchor").alias(f"{n}_anchor"))
     x, y = side(a, "a"), side(b, "b")
-    key = lambda d, n: d.select("*", F.explode(F.array_distinct(F.array_append(F.coalesce(f"{n}_posts", F.array().cast("array<bigint>")), F.col(f"{n}_anchor")))).alias("post")).where("post is not null")
-    j = key(x, "a").join(key(y, "b"), ["room", "post"]).drop("post")
-    same, likeness = F.col("a_anchor") == F.col("b_anchor"), jaccard(F.col("a_posts"), F.col("b_posts"))
-    j = j.withColumn("score", F.when(same, 1.0 + likeness).otherwise(likeness)).where(same | (likeness >= SAME))
-    return j.select("room", "a", "b", "score").distinct()
+    named = x.select("room", F.explode("a_posts").alias("post")).unionByName(y.select("room", F.explode("b_posts").alias("post"))).groupBy("room", "post").agg(F.count("*").alias("n"))
+
+    def key(d: DataFrame, n: str) -> DataFrame:
+        rare = d.select("room", n, F.explode(f"{n}_posts").alias("post")).join(named, ["room", "post"]).groupBy("room", n).agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("r"))
+        size = F.size("r")
+        rare = rare.select("room", n, F.slice("r", F.lit(1), (size - F.ceil(SAME * size) + 1).cast("int")).alias("r")).select("room", n, F.explode("r").alias("x")).select("room", n, F.lit("post").alias("by"), F.col("x.post").alias("post"))
+        anchors = d.where(F.col(f"{n}_anchor").isNotNull()).select("room", n, F.lit("anchor").alias("by"), F.col(f"{n}_anchor").alias("post"))
+        return rare.unionByName(anchors)
+
+    met = key(x, "a").join(key(y, "b"), ["room", "by", "post"]).select("room", "a", "b").distinct()
+    j = met.join(x, ["room", "a"]).join(y, ["room", "b"])
+    same, likeness = F.coalesce(F.col("a_anchor") == F.col("b_anchor"), F.lit(False)), jaccard(F.col("a_posts"), F.col("b_posts"))
+    return j.where(same | (likeness >= SAME)).select("room", "a", "b", F.when(same, 1.0 + likeness).otherwise(likeness).alias("score"))
 
 
 def greedy(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from colloquy.functions.json_values import LIST, MAP, as_text, decoded, entries, field, strict_json, whole_number
+from colloquy.functions.json_values import LIST, MAP, as_text, decoded, entries, field, once, strict_json, whole_number
 from colloquy.session import cut
 
 
@@ -116,8 +116,16 @@ Path = tuple[str, ...]
 
 def _levels(parsed: DataFrame, map_keys: int) -> Iterator[tuple[list, DataFrame]]:
     """Level by level: ``path, kind, n`` of the values there, and the values. It ends where nothing is nested any more, however deep that is."""
-    kind = F.regexp_extract(F.coalesce(F.schema_of_variant("value"), F.lit("VOID")), r"^\w+", 0)
-    keep = lambda df: cut(df.withColumn("value", decoded(F.col("value"))).withColumn("kind", kind).withColumn("value", F.when(F.col("kind").isin(*_NESTED), F.col("value"))))
+    shape = lambda v: F.struct(v.alias("value"), F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("shape"))
+    # the shape is looked up once for each value, and once more for JSON text inside a string
+    inner = lambda x: once(strict_json(as_text(x["value"])), lambda v: F.when(v.isNotNull(), shape(v)))
+    read = once(shape(F.col("value")), lambda x: F.coalesce(F.when((x["shape"] == "STRING") & as_text(x["value"]).rlike(r"^\s*[\[{]"), inner(x)), x))
+    kind = F.regexp_extract("x.shape", r"^\w+", 0)
+
+    def keep(df: DataFrame) -> DataFrame:
+        df = df.select("parent", "key", read.alias("x")).select("parent", "key", kind.alias("kind"), "x.value")
+        return cut(df.withColumn("value", F.when(F.col("kind").isin(*_NESTED), F.col("value"))))
+
     level = keep(parsed.select(F.array().cast("array<string>").alias("parent"), F.lit("$").alias("key"), "value"))
     while True:
         per = level.groupBy("parent", "key", "kind").agg(F.count("*").alias("n"))
@@ -199,7 +207,7 @@ def flatten(df: DataFrame, key: str, text: str, map_keys: int = MAP_KEYS, leaf:
 
     def walk(root: Path, frame: DataFrame, keys: list[str], depth: int) -> None:
         def at(p: Path) -> Column:
-            v = decoded(F.col("value"))
+            v = F.col("value")
             for name in p[len(root) :]:
                 v = decoded(field(v, name[1:]))
             return v
@@ -218,5 +226,5 @@ def flatten(df: DataFrame, key: str, text: str, map_keys: int = MAP_KEYS, leaf:
                 each = F.explode(F.try_variant_get(at(a), "$", MAP)).alias(f"key_{depth}", "value")
                 walk((*a, "{}"), frame.select(*keys, each).withColumn("value", decoded(F.col("value"))), [*keys, f"key_{depth}"], depth + 1)
 
-    walk(("$",), parsed, [key], 1)
+    walk(("$",), parsed.withColumn("value", decoded(F.col("value"))), [key], 1)
     return tables

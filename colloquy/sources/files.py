@@ -36,9 +36,9 @@ def text(spark: SparkSession, pattern: str, whole: bool = False) -> DataFrame:
     return spark.read.text(pattern, wholetext=whole).select("value", F.input_file_name().alias("path"))
 
 
-def ndjson(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """``path`` and the schema's fields of every line; blank lines are skipped, a line that is no JSON is an error with its place."""
-    rows = text(spark, pattern).where(F.trim("value") != "")
+def ndjson(spark: SparkSession, pattern: str, schema: str, lines: DataFrame | None = None) -> DataFrame:
+    """``path`` and the schema's fields of every line (or of the given ``lines``); blank lines are skipped, a line that is no JSON is an error with its place."""
+    rows = (text(spark, pattern) if lines is None else lines).where(F.trim("value") != "")
     parsed = rows.select("path", "value", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
     bad = F.raise_error(F.concat(F.lit("no JSON in "), F.col("path"), F.lit(": "), F.substring("value", 1, 80)))
     return parsed.select("path", F.when(F.col("j._bad").isNotNull(), bad).otherwise(F.col("j")).alias("j")).select("path", "j.*").drop("_bad")
@@ -56,41 +56,60 @@ def load_record(spark: SparkSession, path: str) -> B.Board:
     if not exists(spark, f"{path}/room.ndjson"):
         raise ValueError(f"{path} is not a record folder: it has no room.ndjson")
     room = lambda up: _folder(up).alias("room_id")
-    if is_table_export(spark, f"{path}/room.ndjson"):
-        board = load_table_export(spark, f"{path}/room.ndjson", _folder(2), "episode")
+    tagged, lines = exports(spark, f"{path}/room.ndjson"), None
+    of_tables = None
+    if not tagged.isEmpty():
+        lines = text(spark, f"{path}/room.ndjson")
+        board = load_table_export(spark, f"{path}/room.ndjson", _folder(2), "episode", lines.join(tagged, "path", "left_semi"))
         ops = ndjson(spark, f"{path}/ops.jsonl", OP).select(_folder(2).alias("room"), F.col("seat").alias("who"), "*")
-        return B.replace(board, ops=B.shaped(ops, "ops"))
-    messages = ndjson(spark, f"{path}/room.ndjson", MESSAGE).drop("room_id").select(room(2), "*").withColumn("received_at", F.lit(None).cast("timestamp"))
+        of_tables = B.replace(board, ops=B.shaped(ops.join(tagged.select(_folder(2).alias("room")), "room", "left_semi"), "ops"))
+        lines = lines.join(tagged, "path", "left_anti")
+        if lines.isEmpty():
+            return of_tables
+    messages = ndjson(spark, f"{path}/room.ndjson", MESSAGE, lines).drop("room_id").select(room(2), "*").withColumn("received_at", F.lit(None).cast("timestamp"))
     episodes = text(spark, f"{path}/episode.json", whole=True).select("path", F.from_json("value", EPISODE).alias("e")).select(room(2), *(F.col("e")[x].alias(x) for x in ("name", "state", "goal", "ended_by", "runner", "totals", "agents")))
     checks = ndjson(spark, f"{path}/checks.ndjson", CHECK).select(room(2), "*").drop("path")
     wakes = ndjson(spark, f"{path}/wakes.ndjson", WAKE).withColumnRenamed("from", "from_sequence").withColumnRenamed("through", "through_sequence").select(room(2), "*").drop("path")
     turns = text(spark, f"{path}/agents/*/turn-*.jsonl", whole=True)
-    lines = turns.select(_folder(4).alias("room_id"), _folder(2).alias("seat"), F.regexp_extract("path", r"turn-(\d+)\.jsonl$", 1).cast("bigint").alias("turn"), "path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.trim("line") != "").select(F.xxhash64("path", "line_no").alias("line_id"), "room_id", "seat", "turn", F.col("line_no").cast("bigint").alias("line_no"), "line")
-    return B.from_relations(messages.drop("path"), episodes, lines, checks, wakes)
+    logs = turns.select(_folder(4).alias("room_id"), _folder(2).alias("seat"), F.regexp_extract("path", r"turn-(\d+)\.jsonl$", 1).cast("bigint").alias("turn"), "path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    logs = logs.where(F.trim("line") != "").select(F.xxhash64("path", "line_no").alias("line_id"), "room_id", "seat", "turn", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    board = B.from_relations(messages.drop("path"), episodes, logs, checks, wakes)
+    return board if of_tables is None else union(of_tables, B.replace(board, ops=board.ops.join(tagged.select(_folder(2).alias("room")), "room", "left_anti")))
 
 
 def load_room_ndjson(spark: SparkSession, path: str) -> B.Board:
-    """Room files on their own, or table exports."""
+    """Room files on their own, and table exports; a glob may hold both, each file is told by its own rows."""
     name = F.regexp_replace(_folder(1), r"\.[^.]*$", "")
-    if is_table_export(spark, path):
-        return load_table_export(spark, path, name, "export")
-    messages = ndjson(spark, path, MESSAGE).drop("room_id").select(name.alias("room_id"), "*").drop("path").withColumn("received_at", F.lit(None).cast("timestamp"))
+    tagged = exports(spark, path)
+    if tagged.isEmpty():
+        return _load_messages(spark, path, name)
+    lines = text(spark, path)
+    of_tables = load_table_export(spark, path, name, "export", lines.join(tagged, "path", "left_semi"))
+    rest = lines.join(tagged, "path", "left_anti")
+    return of_tables if rest.isEmpty() else union(of_tables, _load_messages(spark, path, name, rest))
+
+
+def union(a: B.Board, b: B.Board) -> B.Board:
+    """The boards of two sources, whose rooms differ."""
+    return B.Board(**{n: getattr(a, n).unionByName(getattr(b, n)) for n in B.EMPTY}, programs=tuple(sorted({*a.programs, *b.programs})))
+
+
+def _load_messages(spark: SparkSession, path: str, name: Column, lines: DataFrame | None = None) -> B.Board:
+    messages = ndjson(spark, path, MESSAGE, lines).drop("room_id").select(name.alias("room_id"), "*").drop("path").withColumn("received_at", F.lit(None).cast("timestamp"))
     none = lambda ddl: spark.createDataFrame([], ddl)
     board = B.from_relations(messages, none(EPISODE), none("line_id bigint, room_id string, seat string, turn bigint, line_no bigint, line string"), none("room_id string, " + CHECK), none("room_id string, " + WAKE.replace("`from`", "from_sequence").replace("through ", "through_sequence ")))
     first = board.posts.groupBy("room").agg(F.min_by("created_at", "seq").alias("created_at"), F.max("seq").alias("latest_sequence"))
     return B.replace(board, rooms=B.shaped(first.withColumn("name", F.col("room")).withColumn("source_kind", F.lit("room-ndjson")), "rooms"))
 
 
-def is_table_export(spark: SparkSession, path: str) -> bool:
-    """Whether rows are tagged by ``kind``: a table export, not messages."""
-    tagged = text(spark, path).where(F.trim("value") != "").where(F.get_json_object("value", "$.kind").isNotNull())
-    return not tagged.isEmpty()
+def exports(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the files whose rows are tagged by ``kind``: table exports, not messages."""
+    return text(spark, path).where(F.trim("value") != "").where(F.get_json_object("value", "$.kind").isNotNull()).select("path").distinct()
 
 
-def load_table_export(spark: SparkSession, path: str, room: Column, kind: str) -> B.Board:
+def load_table_export(spark: SparkSession, path: str, room: Column, kind: str, lines: DataFrame | None = None) -> B.Board:
     """A table export: rows of rooms, members, messages and artifacts in one file, tagged by ``kind``."""
-    rows = ndjson(spark, path, TABLE_ROW).withColumnRenamed("kind", "tag").withColumn("room", room)
+    rows = ndjson(spark, path, TABLE_ROW, lines).withColumnRenamed("kind", "tag").withColumn("room", room)
     of = lambda k: rows.where(F.col("tag") == k)
     posts = of("message").select("room", F.col("sequence").alias("seq"), "id", F.coalesce("sender_instance_id", F.lit("?")).alias("who"), F.coalesce("content", F.lit("")).alias("text"), "created_at", epoch_ms(F.col("created_at")).alias("at_ms"), F.coalesce("type", F.lit("message")).alias("type"))
     seats = of("member").select("room", F.col("instance_id").alias("who"), F.col("display_name").alias("label"), F.col("runtime_kind").alias("driver"), "joined_at", F.col("principal_id").alias("principal"), F.col("instance_id").alias("member_id"))

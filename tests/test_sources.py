@@ -40,6 +40,11 @@ def test_record(spark, record):
     assert b.rooms.first().source_kind == "goal-run"
     many = files.load_record(spark, str(record.parent / "*"))
     assert many.posts.count() == 2
+    put(record.parent / "run2/room.ndjson", lines({"kind": "message", "sequence": 7, "sender_instance_id": "m1", "content": "b"}))
+    put(record.parent / "run2/ops.jsonl", lines({"seat": "m1", "turn": 1, "i": 0, "kind": "command", "command": "ls"}))
+    many = files.load_record(spark, str(record.parent / "*"))
+    assert {(p.room, p.seq, p.role) for p in many.posts.collect()} == {("run1", 1, "goal"), ("run1", 2, "agent"), ("run2", 7, None)}
+    assert {(o.room, o.command) for o in many.ops.collect()} >= {("run2", "ls")} and many.ops.where("room = 'run1'").count() == b.ops.count()
     with pytest.raises(ValueError):
         files.load_record(spark, str(record / "agents"))
 
@@ -52,6 +57,10 @@ def test_room_file_and_export(spark, tmp_path):
     b = files.load(spark, str(tmp_path / "export.ndjson"))
     assert [(p.seq, p.who, p.text, p.role) for p in b.posts.orderBy("seq").collect()] == [(1, "?", "", None), (2, "m1", "b", None)]
     assert (b.artifacts.first().who, b.rooms.first().name, b.rooms.first().source_kind) == ("m1", "nice", "export")
+    # a glob of both: each file is told by its own rows
+    b = files.load_room_ndjson(spark, str(tmp_path / "*.ndjson"))
+    assert {(r.room, r.source_kind) for r in b.rooms.collect()} == {("plain", "room-ndjson"), ("export", "export")}
+    assert {(p.room, p.seq, p.who) for p in b.posts.collect()} == {("plain", 1, "s"), ("export", 1, "?"), ("export", 2, "m1")}
     put(tmp_path / "bad.ndjson", '{"sequence": 1}\nnope\n')
     with pytest.raises(Exception, match="no JSON in"):
         files.ndjson(spark, str(tmp_path / "bad.ndjson"), files.MESSAGE).collect()

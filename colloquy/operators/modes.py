@@ -70,7 +70,7 @@ def placed(events: DataFrame) -> DataFrame:
     key = ["room", "item"]
     d = previous(events.where("done").select(*key, "seq", "who"), key, "seq", ["seq", "who"])
     changed = F.when(F.col("prev_who") != F.col("who"), F.struct("seq", F.col("prev_seq").alias("by_seq"), F.col("prev_who").alias("by_who")))
-    d = running_max(d, key, "seq", changed, "alt", inclusive=True).select(*key, "seq", F.lit(True).alias("is_done"), "alt.by_seq", "alt.by_who")
+    d = cut(running_max(d, key, "seq", changed, "alt", inclusive=True).select(*key, "seq", F.lit(True).alias("is_done"), "alt.by_seq", "alt.by_who"))
     own = F.col("done") | F.col("delivers")
     e = running_maxima(events.join(d, [*key, "seq"], "left"), key, "seq", {"last_done": F.when(F.col("is_done"), F.struct("seq", "who", "by_seq", "by_who")), "before": own}, inclusive=False)
     return e.withColumn("delivered", F.coalesce("before", F.lit(False)) | own).drop("before", "is_done", "by_seq", "by_who")
@@ -161,9 +161,10 @@ class Modes:
         self.board, self.caps = board, caps
         self.flagged = cut(flags(board.posts))
         ends = self.flagged.groupBy("room").agg(F.min_by("at_ms", "seq").alias("first_ms"), F.max_by(F.struct("seq", "text", "at_ms"), "seq").alias("l"))
-        self.ends = ends.select("room", "first_ms", F.col("l.seq").alias("last_seq"), F.col("l.text").alias("last_text"), F.col("l.at_ms").alias("last_ms"))
+        self.ends = cut(ends.select("room", "first_ms", F.col("l.seq").alias("last_seq"), F.col("l.text").alias("last_text"), F.col("l.at_ms").alias("last_ms")))
         self.events = item_events(self.flagged)
-        self.record = board.rooms.select("room", F.col("source_kind").isin("export", "episode").alias("has_record"))
+        self.record = cut(board.rooms.select("room", F.col("source_kind").isin("export", "episode").alias("has_record")))
+        self.seats = cut(board.seats.select("room", "who", "joined_at", "principal"))
 
     def claims_checked(self) -> DataFrame:
         """Upload, payment and push claims with ``verifiable``: the source has artifact rows, and for an upload the seat has one."""
@@ -182,35 +183,40 @@ class Modes:
         """The rows that the modes count, without their texts."""
         if not hasattr(self, "_parts"):
             placed = self.placed()
-            # only what costs most is written; the rest comes from it and from what is written already, in one job for all numbers
-            self._parts = {
-                "reclaims": reclaims(placed, self.ends, self.board.seats),
+            # each is written by a job of its own: one plan of all of them takes the driver too much memory, whatever the rows
+            parts = {
+                "reclaims": reclaims(placed, self.ends, self.seats),
                 "nothing": reviews_of_nothing(self.flagged, placed),
                 "unanswered": unanswered(self.flagged, self.ends),
-                "near": cut(near_duplicates(self.flagged)),
+                "near": near_duplicates(self.flagged),
                 "roles": role_conflicts(self.flagged),
                 "items": item_states(self.events),
                 "checked": self.claims_checked().select("room", "seq", "who", "has_record", "verifiable"),
             }
+            self._parts = {k: cut(d) for k, d in parts.items()}
         return self._parts
 
     def metrics(self) -> DataFrame:
         """One row per room with the numbers that the severities rest on."""
-        p = self.parts()
-        n = lambda c: F.count_if(F.col(c))
-        m = self.flagged.groupBy("room").agg(F.count("*").alias("posts"), n("ask").alias("asks"), n("wait").alias("wait_signals"), F.count_if(F.col("accept") & (F.size("items") > 0)).alias("claim_posts"), F.count_if(F.col("done") & (F.size("items") > 0)).alias("done_claims"), n("review").alias("reviews"), n("heartbeat").alias("heartbeat_posts"))
-        e = self.events.where("claims").groupBy("room").agg(F.count("*").alias("claims"), *(F.count_if(bucket(F.col("seq")) == b).alias(f"claims_{b}") for b in BUCKETS))
-        r = p["reclaims"].groupBy("room").agg(F.count("*").alias("re_claims"), n("own").alias("self_contradicting_re_claims"), F.count_if(F.col("mode") == "R1").alias("ev_R1"), F.count_if(F.col("mode") == "R2").alias("ev_R2"), *(F.count_if(bucket(F.col("seq")) == b).alias(f"re_claims_{b}") for b in BUCKETS))
-        c = p["checked"].groupBy("room").agg(F.count("*").alias("action_claims"), F.count_if(~F.col("verifiable")).alias("action_claims_unverifiable"))
-        hedged = p["items"].where("claims > 0 and firm_claims = 0 and dones = 0").groupBy("room").agg(F.count("*").alias("hedged_items"))
-        opened = p["items"].groupBy("room").agg(F.count_if(F.col("status_at_end") == "claimed").alias("open_items_at_end"))
-        count = lambda k, name: p[k].groupBy("room").agg(F.count("*").alias(name))
-        others = [e, r, c, hedged, opened, count("unanswered", "asks_unanswered"), count("near", "duplicate_posts"), count("nothing", "ev_D2"), count("roles", "role_conflicts"), self.flagged.where("identity").groupBy("room").agg(F.count("*").alias("identity_posts")), self.flagged.where("ask and proxy").groupBy("room").agg(F.count("*").alias("ev_D4"))]
-        for o in others:
-            m = m.join(o, "room", "left")
-        m = m.fillna(0)
-        b = self.board
-        m = m.join(b.seats.groupBy("room").agg(F.count("*").alias("seats"), F.nullif(F.count_distinct("principal"), F.lit(0)).alias("principals")), "room", "left").fillna(0, ["seats"])
+        p, yes = self.parts(), F.lit(True)
+        buckets = lambda name: {f"{name}_{b}": bucket(F.col("seq")) == b for b in BUCKETS}
+        marks = lambda *names: {n: F.col(c) for n, c in names}
+        # what a row of each table counts as; one aggregation over the union of them serves all numbers
+        counted = [
+            (self.flagged, {"posts": yes, **marks(("asks", "ask"), ("wait_signals", "wait")), "claim_posts": F.col("accept") & (F.size("items") > 0), "done_claims": F.col("done") & (F.size("items") > 0), **marks(("reviews", "review"), ("heartbeat_posts", "heartbeat"), ("identity_posts", "identity")), "ev_D4": F.col("ask") & F.col("proxy")}),
+            (self.events.where("claims"), {"claims": yes, **buckets("claims")}),
+            (p["reclaims"], {"re_claims": yes, "self_contradicting_re_claims": F.col("own"), "ev_R1": F.col("mode") == "R1", "ev_R2": F.col("mode") == "R2", **buckets("re_claims")}),
+            (p["checked"], {"action_claims": yes, "action_claims_unverifiable": ~F.col("verifiable")}),
+            (p["items"], {"hedged_items": F.expr("claims > 0 and firm_claims = 0 and dones = 0"), "open_items_at_end": F.col("status_at_end") == "claimed"}),
+            *((p[k], {name: yes}) for k, name in (("unanswered", "asks_unanswered"), ("near", "duplicate_posts"), ("nothing", "ev_D2"), ("roles", "role_conflicts"))),
+        ]
+        names = [n for n in dict.fromkeys(n for _, c in counted for n in c) if n not in ("identity_posts", "ev_D4")] + ["identity_posts", "ev_D4"]
+        m = None
+        for d, c in counted:
+            d = d.select("room", *((c[n] if n in c else F.lit(None).cast("boolean")).alias(n) for n in names))
+            m = d if m is None else m.unionByName(d)
+        m = m.groupBy("room").agg(*(F.count_if(n).alias(n) for n in names))
+        m = m.join(self.seats.groupBy("room").agg(F.count("*").alias("seats"), F.nullif(F.count_distinct("principal"), F.lit(0)).alias("principals")), "room", "left").fillna(0, ["seats"])
         m = m.join(self.ends, "room").join(self.record, "room", "left")
         t = F.col("last_text")
         kind = F.when(has(t, "pause"), "pause").when(has(t, "ask"), "ask").when(has(t, "heartbeat"), "heartbeat").when(has(t, "done"), "done").otherwise("other")

@@ -10,6 +10,7 @@ from colloquy.operators import board as B
 from colloquy.operators import facts, modes, taxonomy
 from colloquy.plans.sql import EVENTS, MESSAGES, POSTS, PROG, WAKES, has_board, ms, seat
 from colloquy.plans.sql import has as sql_has
+from colloquy.session import cut
 from colloquy.sources import tables
 
 
@@ -59,7 +60,7 @@ QUERIES = {
     "post_files": _of_posts(lambda p: p.select("room", "seq", F.explode(T.files(F.col("text"))).alias("file"))),
     "post_redacted": _of_posts(lambda p: p.select("room", "seq", T.redact(F.col("text")).alias("excerpt"), T.scrub(F.col("text")).alias("scrubbed"))),
     "unanswered_asks": _flagged(lambda f: modes.unanswered(f, _ends(f)).select("room", "seq", "who")),
-    "near_duplicates": _flagged(lambda f: modes.near_duplicates(f).select("room", "seq", "who", "of_seq", "of_who")),
+    "near_duplicates": _flagged(lambda f: modes.near_duplicates(cut(f.select("room", "seq", "who", "text"))).select("room", "seq", "who", "of_seq", "of_who")),
     "item_states": _flagged(lambda f: modes.item_states(modes.item_events(f)).select("room", "item", "first_mention", "claims", "dones", "reviews", "uploads", "status_at_end")),
     "re_claims": _modes(lambda m: modes.reclaims(m.placed(), m.ends, m.board.seats).select("room", "item", "seq", "who", "own", "done_seq", "mode")),
     "reviews_of_nothing": _modes(lambda m: modes.reviews_of_nothing(m.flagged, m.placed()).select("room", "seq", "who", "why")),

@@ -34,3 +34,8 @@ def most(spark, joins, f):
 
 def test_mode_metrics_in_small_jobs(spark, joins):
     assert most(spark, joins, lambda m: m.metrics()) <= 4
+
+
+def test_near_duplicates_in_small_jobs(spark, sf, joins):
+    last = joins.of(board_queries.QUERIES["near_duplicates"](spark, sf))
+    assert max([last, *joins.cuts]) <= 7

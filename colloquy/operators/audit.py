@@ -77,15 +77,22 @@ def check_labels(rows: DataFrame) -> DataFrame:
     return p.where("problem is not null")
 
 
-def pair(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both raters' rows of each sample, and the problems: samples that one file lacks, fixed fields that differ."""
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select("sample_id", F.col("digest").alias("da"), F.col("labels").alias("la"), F.col("uncertain").alias("ua"), "choices", "episode_id")
     y = b.select("sample_id", F.col("digest").alias("db"), F.col("labels").alias("lb"), F.col("uncertain").alias("ub"))
-    j = x.join(y, "sample_id", "full")
+    return x.join(y, "sample_id", "full")
+
+
+def _told(j: DataFrame) -> tuple[DataFrame, DataFrame]:
     problem = F.when(F.col("da").isNull(), "missing in the first file").when(F.col("db").isNull(), "missing in the second file").when(F.col("da") != F.col("db"), "fixed fields differ")
     return j.where("da = db"), j.select("sample_id", problem.alias("problem")).where("problem is not null")
 
 
+def pair(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both raters' rows of each sample, and the problems: samples that one file lacks, fixed fields that differ."""
+    return _told(_met(a, b))
+
+
 def kappa(both: Column, only_a: Column, only_b: Column, n: Column) -> Column:
     """Cohen's kappa of a yes/no label from counts; null without decisions or when chance explains everything."""
     neither = n - both - only_a - only_b
@@ -117,7 +124,10 @@ def compare_summary(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def to_adjudicate(a: DataFrame, b: DataFrame) -> DataFrame:
     """Samples on which the raters differ, or either is uncertain."""
-    pairs, _ = pair(a, b)
+    return _differing(pair(a, b)[0])
+
+
+def _differing(pairs: DataFrame) -> DataFrame:
     differ = (F.array_sort("la") != F.array_sort("lb")) | (F.size("ua") > 0) | (F.size("ub") > 0)
     return pairs.where(differ).select("sample_id", "la", "lb", "ua", "ub")
 
@@ -127,9 +137,10 @@ def finalize(a: DataFrame, b: DataFrame, judged: DataFrame, key: DataFrame) -> t
 
     Agreed labels are kept; where the raters differ the adjudicated ones count; the source comes back from the key.
     """
-    pairs, problems = pair(a, b)
-    open_ = to_adjudicate(a, b).select("sample_id")
-    j = judged.select("sample_id", F.col("labels").alias("lj"), F.col("uncertain").alias("uj"))
+    # both are written, as every problem has a join of its own with them
+    pairs, problems = _told(cut(_met(a, b)))
+    open_ = _differing(pairs).select("sample_id")
+    j = cut(judged.select("sample_id", F.col("labels").alias("lj"), F.col("uncertain").alias("uj")))
     row = lambda df, p: df.select("sample_id", F.lit(p).alias("problem"))
     problems = problems.unionByName(row(open_.join(j, "sample_id", "left_anti"), "not adjudicated")).unionByName(row(j.join(open_, "sample_id", "left_anti"), "adjudicated without need")).unionByName(row(j.where(F.size("uj") > 0), "adjudicated, but uncertain")).unionByName(row(pairs.join(key, "sample_id", "left_anti"), "no key"))
     g = pairs.join(j, "sample_id", "left").join(key, "sample_id")

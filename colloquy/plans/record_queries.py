@@ -10,6 +10,7 @@ from colloquy.plans.board_queries import FLAGGED, LINKED, _posts
 from colloquy.plans.board_queries import ORACLE as BOARD
 from colloquy.plans.label_queries import _REC, _pass
 from colloquy.plans.sql import POSTS, WAKES
+from colloquy.session import cut
 
 CHOICES = ["B1", "D1", "R1"]
 _none = "array<string>"
@@ -17,21 +18,25 @@ _none = "array<string>"
 
 def _raters(spark, d):
     """Two raters' files over the blind samples: each takes other wordings for a label, and is uncertain where a post hedges."""
-    p = _posts(spark, d)
-    rows = audit.export(p, CHOICES, "salt", 0)
+    p = cut(_posts(spark, d).select("room", "seq", "who", "text", "at_ms", "type", "role"))
+    rows = cut(audit.export(p, CHOICES, "salt", 0))
     f = modes.flags(p).select("room", "seq", "accept", "done", "ask", "wait", "push", "upload", "hedge")
-    j = rows.join(f, ["room", "seq"])
+    j = cut(rows.join(f, ["room", "seq"]))
     given = lambda **k: F.filter(F.array(*(F.when(F.col(c), F.lit(x)) for x, c in k.items())), lambda x: x.isNotNull())
     file = lambda labels, unsure: j.select("sample_id", "digest", "choices", "episode_id", "schema", *(c for c in audit.FIXED if c not in ("sample_id", "choices", "episode_id", "schema")), F.when(unsure, F.array().cast(_none)).otherwise(labels).alias("labels"), F.when(unsure, F.array(F.lit("R1"))).otherwise(F.array().cast(_none)).alias("uncertain"))
     return file(given(B1="ask", D1="push", R1="accept"), F.col("hedge") & F.col("accept")), file(given(B1="ask", D1="upload", R1="done"), F.col("hedge") & F.col("done")), rows
 
 
-def _finalized(spark, d, all_judged=True):
-    a, b, rows = _raters(spark, d)
+def _finalized(files, all_judged=True):
+    a, b, rows = files
     judged = audit.to_adjudicate(a, b).where(F.lit(all_judged) | (F.size("la") > 0)).select("sample_id", F.array_sort(F.array_union("la", "lb")).alias("labels"), F.array().cast(_none).alias("uncertain"))
     return audit.finalize(a, b, judged, rows.select("sample_id", "room", "trace_digest", "seq"))
 
 
+def _problems(files):
+    return audit.check_labels(files[0]).unionByName(_finalized(files, False)[1])
+
+
 def _accounting(spark, d):
     c = _pass(spark, d, "C").select("room", F.array(F.concat(F.lit("A:"), "incident_id"), F.concat(F.lit("B:"), "incident_id")).alias("from"))
     out = _pass(spark, d, "D").select("room", F.concat(F.lit("A:"), "incident_id").alias("from"))
@@ -66,8 +71,8 @@ QUERIES = {
     "audit_pairs": lambda spark, d: audit.pair(*_raters(spark, d)[:2])[0].select("sample_id", "la", "lb", "ua", "ub"),
     "audit_compare": lambda spark, d: audit.compare(*_raters(spark, d)[:2]),
     "audit_report": lambda spark, d: audit.compare_summary(*_raters(spark, d)[:2]),
-    "audit_final": lambda spark, d: _finalized(spark, d)[0].select("sample_id", "room", "seq", "labels", "adjudicated"),
-    "audit_problems": lambda spark, d: audit.check_labels(_raters(spark, d)[0]).unionByName(_finalized(spark, d, False)[1]),
+    "audit_final": lambda spark, d: _finalized(_raters(spark, d))[0].select("sample_id", "room", "seq", "labels", "adjudicated"),
+    "audit_problems": lambda spark, d: _problems(_raters(spark, d)),
 }
 
 # ---- samples and digests, as canonical JSON hashed

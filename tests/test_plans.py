@@ -39,3 +39,8 @@ def test_mode_metrics_in_small_jobs(spark, joins):
 def test_near_duplicates_in_small_jobs(spark, sf, joins):
     last = joins.of(board_queries.QUERIES["near_duplicates"](spark, sf))
     assert max([last, *joins.cuts]) <= 7
+
+
+def test_audit_problems_in_small_jobs(spark, sf, joins):
+    last = joins.of(record_queries.QUERIES["audit_problems"](spark, sf))
+    assert max([last, *joins.cuts]) <= 7

@@ -265,8 +265,15 @@ class Modes:
         Rows come by post, then place of the item. Of B1 the unanswered asks come before the hedged items (by first mention), of B2 the posts before the roles
         (by first claim); what a cap limits is its first rows.
         """
-        caps, text_of = self.caps, self.flagged.select("room", "seq", "text")
-        p = {k: d.join(text_of, ["room", "seq"]) if k in ("reclaims", "unanswered", "checked", "nothing", "near") else d for k, d in self.parts().items()}
+        caps, p = self.caps, dict(self.parts())
+        # one join fetches the texts of all parts that have none
+        bare = [k for k in p if k not in ("roles", "items")]
+        rows = None
+        for k in bare:
+            d = p[k].select(F.lit(k).alias("part"), "*")
+            rows = d if rows is None else rows.unionByName(d, allowMissingColumns=True)
+        rows = cut(rows.join(self.flagged.select("room", "seq", "text"), ["room", "seq"]))
+        p |= {k: rows.where(F.col("part") == k) for k in bare}
 
         def row(df, mode, why, place=("seq",), seq="seq", who="who", text="text", group=0):
             # the place orders rows inside the group

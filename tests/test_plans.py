@@ -44,3 +44,7 @@ def test_near_duplicates_in_small_jobs(spark, sf, joins):
 def test_audit_problems_in_small_jobs(spark, sf, joins):
     last = joins.of(record_queries.QUERIES["audit_problems"](spark, sf))
     assert max([last, *joins.cuts]) <= 7
+
+
+def test_mode_evidence_in_small_jobs(spark, joins):
+    assert most(spark, joins, lambda m: m.evidence()) <= 4

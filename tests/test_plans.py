@@ -48,3 +48,7 @@ def test_audit_problems_in_small_jobs(spark, sf, joins):
 
 def test_mode_evidence_in_small_jobs(spark, joins):
     assert most(spark, joins, lambda m: m.evidence()) <= 4
+
+
+def test_modes_regrouped_in_small_jobs(spark, joins):
+    assert most(spark, joins, lambda m: taxonomy.regroup(m.modes().selectExpr("room", "mode AS pattern", "count AS n"), "state_gap")) <= 4

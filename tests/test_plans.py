@@ -52,3 +52,7 @@ def test_mode_evidence_in_small_jobs(spark, joins):
 
 def test_modes_regrouped_in_small_jobs(spark, joins):
     assert most(spark, joins, lambda m: taxonomy.regroup(m.modes().selectExpr("room", "mode AS pattern", "count AS n"), "state_gap")) <= 4
+
+
+def test_mode_severities_in_small_jobs(spark, joins):
+    assert most(spark, joins, lambda m: m.modes()) <= 4

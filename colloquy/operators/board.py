@@ -15,6 +15,7 @@ from colloquy.functions.patterns import PROGRAMS, has_board
 from colloquy.functions.text import posted_id, read_max
 from colloquy.functions.times import epoch_ms
 from colloquy.operators import nested
+from colloquy.session import cut
 from colloquy.sources import tables
 
 EMPTY = {
@@ -192,16 +193,18 @@ def link_posts(ops: DataFrame, posts: DataFrame) -> DataFrame:
     return shaped(said.unionByName(ops.where("posted_id is null"), allowMissingColumns=True), "ops")
 
 
-def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame, checks: DataFrame, wakes: DataFrame, programs: tuple[str, ...] | None = None) -> Board:
+def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame, checks: DataFrame, wakes: DataFrame, programs: tuple[str, ...] | None = None, written: bool = False) -> Board:
     """A board of raw relations in the shape of the tables; where a room lists no seats, its senders are its seats.
 
-    ``programs`` are the names of the board's command line; without any they are taken from the logs.
+    ``programs`` are the names of the board's command line; without any they are taken from the logs. ``written``: the posts are written
+    once, for queries that read posts, seats and rooms; else each plans the joins of the posts anew.
     """
     programs = board_programs(turn_lines) if programs is None else programs
     nested.allow_repeated_keys(turn_lines)
     # one table of posts serves all relations
     raw = tables.posts(room)
     p = posts(room, episodes, raw)
+    p = cut(p) if written else p
     return Board(
         rooms=rooms(p, episodes),
         seats=all_seats(raw, episodes, p),
@@ -223,10 +226,10 @@ def all_seats(raw: DataFrame, episodes: DataFrame, posts: DataFrame) -> DataFram
     return principals(raw, listed.unionByName(found))
 
 
-def from_tables(spark, sf_dir: str) -> Board:
-    """The boards of the table source."""
+def from_tables(spark, sf_dir: str, written: bool = False) -> Board:
+    """The boards of the table source; ``written`` as in :func:`from_relations`."""
     t = lambda n: tables.table(spark, sf_dir, n)
-    return from_relations(t("room"), tables.episodes(t("episodes")), t("turn_lines"), t("checks"), t("wakes"))
+    return from_relations(t("room"), tables.episodes(t("episodes")), t("turn_lines"), t("checks"), t("wakes"), written=written)
 
 
 def rooms(posts: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ THRESHOLDS = {
 BUCKETS = ["1-20", "21-40", "41-60", "61+"]
 #: Posts an earlier near-duplicate may lie back, the likeness, and the least shingles for a post to be compared.
 WINDOW, LIKENESS, LEAST_SHINGLES = 80, 0.6, 8
+#: Places that are brought together at once.
+BLOCK = 10 * WINDOW
 FRESH_MS = 6 * 3600 * 1000
 #: Evidence rows given out per mode; the caps on B1, D1 (without a record) and REP limit the mode's count too. Each may be None: then there is no cap.
 ROWS, D1_ROWS, REP_ROWS, B1_ROWS = 25, 10, 40, 40
@@ -108,19 +110,24 @@ def unanswered(flagged: DataFrame, last: DataFrame) -> DataFrame:
 def near_duplicates(flagged: DataFrame) -> DataFrame:
     """Posts like one of the 80 comparable posts before them: ``room, seq, who, of_seq, of_who`` of the oldest such post.
 
-    Posts are numbered by place among the comparable ones of their board, and an inverted index on shingles, held to stretches of 80 places, brings
-    together only posts that share a shingle and may lie near enough: a shingle that every post holds still meets
-    at most 160 others. Only likenesses are counted, no sets are compared.
+    Posts are numbered by place among the comparable ones of their board and brought together by blocks of places, each with the last 80 places of the
+    block before. Inside a block a post meets, by shingle, the posts at most 80 places before it that hold the shingle too, at most 80 of them.
+    Only likenesses are counted, no sets are compared.
     """
-    s = flagged.select("room", "seq", "who", shingles(F.col("text")).alias("sh")).where(F.size("sh") >= LEAST_SHINGLES)
+    # written before they are placed, which reads them twice
+    s = cut(flagged.select("room", "seq", "who", shingles(F.col("text")).alias("sh")).where(F.size("sh") >= LEAST_SHINGLES))
     s = cut(position(s, ["room"], "seq", "rank"))
-    x = s.select("room", "rank", "seq", F.size("sh").alias("n"), F.explode("sh").alias("shingle"))
-    x = x.withColumn("stretch", F.floor(F.col("rank") / WINDOW))
-    y = x.select("room", "shingle", F.col("rank").alias("of_rank"), F.col("n").alias("of_n"), F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch"))
-    pairs = x.join(y, ["room", "shingle", "stretch"]).where((F.col("of_rank") < F.col("rank")) & (F.col("of_rank") >= F.col("rank") - WINDOW))
-    like = pairs.groupBy("room", "rank", "of_rank").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("of_n").alias("of_n"))
-    first = like.where(F.col("both") / (F.col("n") + F.col("of_n") - F.col("both")) >= LIKENESS).groupBy("room", "rank").agg(F.min("of_rank").alias("of_rank"))
-    out = s.drop("sh").join(first, ["room", "rank"])
+    block = F.floor(F.col("rank") / BLOCK)
+    blocks = F.when(F.col("rank") % BLOCK >= BLOCK - WINDOW, F.array(block, block + 1)).otherwise(F.array(block))
+    # shuffled as sets; from here to the oldest like post of each all rows of a block stay in one partition
+    x = s.select("room", "rank", F.size("sh").alias("n"), "sh", F.explode(blocks).alias("block")).repartition("room", "block")
+    x = x.select("room", "block", "rank", "n", F.explode("sh").alias("shingle"))
+    near = Window.partitionBy("room", "block", "shingle").orderBy("rank").rangeBetween(-WINDOW, -1)
+    x = x.select("room", "block", "rank", "n", F.collect_list(F.struct("rank", "n")).over(near).alias("before"))
+    pairs = x.where((F.floor(F.col("rank") / BLOCK) == F.col("block")) & (F.size("before") > 0)).select("room", "block", "rank", "n", F.explode("before").alias("of"))
+    like = pairs.groupBy("room", "block", "rank", F.col("of.rank").alias("of_rank")).agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("of.n").alias("of_n"))
+    first = like.where(F.col("both") / (F.col("n") + F.col("of_n") - F.col("both")) >= LIKENESS).groupBy("room", "block", "rank").agg(F.min("of_rank").alias("of_rank"))
+    out = s.drop("sh").join(first.drop("block"), ["room", "rank"])
     return out.join(s.select("room", F.col("rank").alias("of_rank"), F.col("seq").alias("of_seq"), F.col("who").alias("of_who")), ["room", "of_rank"]).select("room", "seq", "who", "of_seq", "of_who")
 
 

@@ -31,7 +31,7 @@ def _flagged(f):
 
 
 def _modes(f):
-    return lambda spark, d: f(modes.Modes(B.from_tables(spark, d)))
+    return lambda spark, d: f(modes.Modes(B.from_tables(spark, d, written=True)))
 
 
 _ACTS = ["accept", "hedge", "done", "review", "review_unread", "ask", "proxy", "wait", "pause", "pay", "upload", "push", "identity", "authorized", "role_claim", "heartbeat"]

@@ -186,3 +186,12 @@ def test_taxonomies_are_complete(spark):
 
 def test_session_boards(spark):
     assert B.message_posts(boards.posts(spark, *ROOM)).count() == 15
+
+
+def test_near_duplicates_across_blocks(spark):
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    other = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    at = {1: "a", 719: "a", 799: "b", 801: "c", 879: "d", 960: "e"}
+    rows = [(i, at.get(i, "z"), same if i in at else other(i)) for i in range(1, 1000)]
+    got = modes.near_duplicates(modes.flags(boards.board(spark, rows).posts)).select("seq", "of_seq", "of_who").collect()
+    assert sorted(map(tuple, got)) == [(799, 719, "a"), (801, 799, "b"), (879, 799, "b")]

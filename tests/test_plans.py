@@ -3,7 +3,7 @@
 import boards
 import pytest
 
-from colloquy.operators import audit, modes, taxonomy
+from colloquy.operators import audit, board, modes, taxonomy
 from colloquy.plans import board_queries, record_queries
 
 ROWS = [(1, "a", "I'll take `x.py`"), (2, "b", "`x.py` is done, uploaded"), (3, "c", "I'll take `x.py`, can you review `y.py`?"), (4, "a", "I am the lead. LGTM `y.py`"), (5, "b", "who is this? which seat?"), (6, "c", "bye")]
@@ -56,3 +56,15 @@ def test_modes_regrouped_in_small_jobs(spark, joins):
 
 def test_mode_severities_in_small_jobs(spark, joins):
     assert most(spark, joins, lambda m: m.modes()) <= 4
+
+
+@pytest.mark.parametrize("name", ["mode_severities", "modes_regrouped"])
+def test_modes_of_tables_in_small_jobs(spark, sf, joins, monkeypatch, name):
+    monkeypatch.setattr(board, "cut", lambda df, cut=board.cut: (joins.cuts.append(joins.of(df)), cut(df))[1], raising=False)
+    last = joins.of(board_queries.QUERIES[name](spark, sf))
+    assert max([last, *joins.cuts]) <= 7
+
+
+def test_near_duplicates_meet_without_a_join(spark, joins):
+    last = joins.of(modes.near_duplicates(modes.flags(boards.board(spark, ROWS).posts)))
+    assert last <= 2

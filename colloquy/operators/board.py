@@ -5,6 +5,7 @@ Every relation carries ``room``. Fields that a source doesn't show are null, nev
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace  # noqa: F401
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,17 +32,26 @@ EMPTY = {
 
 @dataclass(frozen=True)
 class Board:
-    """The relations of a source, lazily; the columns are those of :data:`EMPTY`. ``programs``: the names of the board's command line."""
+    """The relations of a source, lazily; the columns are those of :data:`EMPTY`. ``programs``: the names of the board's command line.
+
+    ``ops`` may be given as a function: they are planned when they are first read, as their plan takes the driver memory, whatever the rows.
+    """
 
     rooms: DataFrame
     seats: DataFrame
     posts: DataFrame
     artifacts: DataFrame
-    ops: DataFrame
+    ops: DataFrame | Callable[[], DataFrame]
     checks: DataFrame
     wakes: DataFrame
     programs: tuple[str, ...] = PROGRAMS
 
+    def __getattribute__(self, name: str):
+        v = super().__getattribute__(name)
+        if name == "ops" and callable(v):
+            object.__setattr__(self, name, v := v())
+        return v
+
 
 def empty(spark, name: str) -> DataFrame:
     return spark.createDataFrame([], EMPTY[name])
@@ -64,19 +74,21 @@ def seats(episodes: DataFrame) -> DataFrame:
     return shaped(a.where("who is not null").groupBy("room", "who").agg(*(F.min_by(c, first).alias(c) for c in ("ord", "driver", "model", "member_id"))), "seats")
 
 
-def posts(room: DataFrame, episodes: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+def posts(room: DataFrame, episodes: DataFrame, raw: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Posts with author, role and the number of the post they reply to.
 
     The author is the name that the run lists for the sender's instance, else the sender's own, else the instance, else ``?``. The
     role is ``goal`` for a run's goal, ``runner``, ``other`` for a person or an unlisted sender, else ``agent``; where a room
-    lists no seats every other sender is an agent. ``raw``: the room's posts, where they are at hand already.
+    lists no seats every other sender is an agent. ``raw``: the room's posts, where they are at hand already. ``written``: what the runs
+    list is written before the posts are joined with it.
     """
     p = tables.posts(room) if raw is None else raw
+    apart = cut if written else lambda df: df
     members = episodes.select(F.col("room_id").alias("m_room"), F.explode("agents").alias("a")).select("m_room", F.col("a.member_id").alias("m_id"), tables.seat_name(F.col("a.name")).alias("m_name"))
-    by_member = members.where("m_id is not null").groupBy("m_room", "m_id").agg(F.min("m_name").alias("m_name"))
-    names = members.where("m_name is not null").select(F.col("m_room").alias("n_room"), F.col("m_name").alias("n_name")).distinct().withColumn("is_listed", F.lit(True))
-    has_list = names.select(F.col("n_room").alias("l_room")).distinct().withColumn("has_list", F.lit(True))
-    goals = episodes.select(F.col("goal.message_id").alias("g_id")).distinct().withColumn("is_goal", F.lit(True))
+    by_member = apart(members.where("m_id is not null").groupBy("m_room", "m_id").agg(F.min("m_name").alias("m_name")))
+    names = apart(members.where("m_name is not null").select(F.col("m_room").alias("n_room"), F.col("m_name").alias("n_name")).distinct().withColumn("is_listed", F.lit(True)))
+    has_list = apart(names.select(F.col("n_room").alias("l_room")).distinct().withColumn("has_list", F.lit(True)))
+    goals = apart(episodes.select(F.col("goal.message_id").alias("g_id")).distinct().withColumn("is_goal", F.lit(True)))
     mid = F.coalesce("sender_instance_id", "sender.member_id")
     p = p.withColumn("mid", mid).join(by_member, (F.col("room_id") == F.col("m_room")) & (F.col("mid") == F.col("m_id")), "left")
     p = p.withColumn("who", F.coalesce("m_name", "seat", "mid", F.lit("?")))
@@ -197,32 +209,37 @@ def from_relations(room: DataFrame, episodes: DataFrame, turn_lines: DataFrame,
     """A board of raw relations in the shape of the tables; where a room lists no seats, its senders are its seats.
 
     ``programs`` are the names of the board's command line; without any they are taken from the logs. ``written``: the posts are written
-    once, for queries that read posts, seats and rooms; else each plans the joins of the posts anew.
+    once, for queries that read posts, seats and rooms, and so are the small tables that they are joined with; else each plans their joins anew.
     """
     programs = board_programs(turn_lines) if programs is None else programs
     nested.allow_repeated_keys(turn_lines)
     # one table of posts serves all relations
-    raw = tables.posts(room)
-    p = posts(room, episodes, raw)
+    raw = tables.posts(room, written=written)
+    episodes = cut(episodes) if written else episodes
+    p = posts(room, episodes, raw, written)
     p = cut(p) if written else p
     return Board(
         rooms=rooms(p, episodes),
-        seats=all_seats(raw, episodes, p),
+        seats=all_seats(raw, episodes, p, written),
         posts=p,
         artifacts=empty(room.sparkSession, "artifacts"),
-        ops=link_posts(actions(turn_lines, programs), p),
+        ops=lambda: link_posts(actions(turn_lines, programs), p),
         checks=shaped(tables.checks(checks).withColumnRenamed("room_id", "room"), "checks"),
         wakes=shaped(tables.wakes(wakes).withColumnRenamed("room_id", "room").withColumnRenamed("seat", "who"), "wakes"),
         programs=programs,
     )
 
 
-def all_seats(raw: DataFrame, episodes: DataFrame, posts: DataFrame) -> DataFrame:
-    """The listed seats; of a room without any, the agents that post there, joined with their first post; with their principals."""
-    listed = seats(episodes)
+def all_seats(raw: DataFrame, episodes: DataFrame, posts: DataFrame, written: bool = False) -> DataFrame:
+    """The listed seats; of a room without any, the agents that post there, joined with their first post; with their principals.
+
+    ``written``: either kind of seats is written before the principals are joined.
+    """
+    apart = cut if written else lambda df: df
+    listed = apart(seats(episodes))
     senders = agent_posts(posts).join(listed.select("room").distinct(), "room", "left_anti").groupBy("room", "who").agg(F.min_by("created_at", "seq").alias("joined_at"), F.min("seq").cast("int").alias("ord"))
     member = raw.groupBy(F.col("room_id").alias("room"), F.col("seat").alias("who")).agg(F.min(F.coalesce("sender_instance_id", "sender.member_id")).alias("member_id"))
-    found = shaped(senders.join(member, ["room", "who"], "left"), "seats")
+    found = apart(shaped(senders.join(member, ["room", "who"], "left"), "seats"))
     return principals(raw, listed.unionByName(found))
 
 

@@ -70,7 +70,8 @@ def placed(events: DataFrame) -> DataFrame:
     ``delivered`` (whether the item was done or delivered before or in the post). One pass over the ranges of an item serves both.
     """
     key = ["room", "item"]
-    d = previous(events.where("done").select(*key, "seq", "who"), key, "seq", ["seq", "who"])
+    # written before the running step, which reads them twice
+    d = cut(previous(events.where("done").select(*key, "seq", "who"), key, "seq", ["seq", "who"]))
     changed = F.when(F.col("prev_who") != F.col("who"), F.struct("seq", F.col("prev_seq").alias("by_seq"), F.col("prev_who").alias("by_who")))
     d = cut(running_max(d, key, "seq", changed, "alt", inclusive=True).select(*key, "seq", F.lit(True).alias("is_done"), "alt.by_seq", "alt.by_who"))
     own = F.col("done") | F.col("delivers")
@@ -222,7 +223,8 @@ class Modes:
         for d, c in counted:
             d = d.select("room", *((c[n] if n in c else F.lit(None).cast("boolean")).alias(n) for n in names))
             m = d if m is None else m.unionByName(d)
-        m = m.groupBy("room").agg(*(F.count_if(n).alias(n) for n in names))
+        # one row per room, written before the joins with what else is known of rooms
+        m = cut(m.groupBy("room").agg(*(F.count_if(n).alias(n) for n in names)))
         m = m.join(self.seats.groupBy("room").agg(F.count("*").alias("seats"), F.nullif(F.count_distinct("principal"), F.lit(0)).alias("principals")), "room", "left").fillna(0, ["seats"])
         m = m.join(self.ends, "room").join(self.record, "room", "left")
         t = F.col("last_text")

@@ -27,10 +27,10 @@ def seat_name(name: Column) -> Column:
     return F.when(t != "", t)
 
 
-def posts(room: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def posts(room: DataFrame, keep: list[str] | None = None, written: bool = False) -> DataFrame:
     """One row per post ``id``, with ``seat`` and ``at_ms``; of the other columns those in ``keep`` (all, if none are named).
 
-    What isn't kept isn't shuffled: name what a query needs.
+    What isn't kept isn't shuffled: name what a query needs. ``written``: the names of the instances are written before they are joined.
 
     Repeated deliveries become one row: the first received, with the first usable ``created_at`` among them. A missing
     sender name is the name under which the same ``sender_instance_id`` posts on that board most often (ties: the first
@@ -46,6 +46,7 @@ def posts(room: DataFrame, keep: list[str] | None = None) -> DataFrame:
     # names seen per instance: two counts, so a busy instance is pre-aggregated before the shuffle
     named = one.where("_seat is not null and sender_instance_id is not null").groupBy("room_id", "sender_instance_id", "_seat").agg(F.count("*").alias("n"))
     named = named.groupBy("room_id", "sender_instance_id").agg(F.max_by("_seat", F.struct("n", "_seat")).alias("_name"))
+    named = cut(named) if written else named
     missing = one.where("_seat is null").join(named, ["room_id", "sender_instance_id"], "left").withColumn("_seat", F.col("_name"))
     out = one.where("_seat is not null").unionByName(missing.select(one.columns))
     return out.select("id", *kept, F.col("_seat").alias("seat"), "at_ms")

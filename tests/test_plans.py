@@ -5,6 +5,7 @@ import pytest
 
 from colloquy.operators import audit, board, modes, taxonomy
 from colloquy.plans import board_queries, record_queries
+from colloquy.sources import tables
 
 ROWS = [(1, "a", "I'll take `x.py`"), (2, "b", "`x.py` is done, uploaded"), (3, "c", "I'll take `x.py`, can you review `y.py`?"), (4, "a", "I am the lead. LGTM `y.py`"), (5, "b", "who is this? which seat?"), (6, "c", "bye")]
 
@@ -69,3 +70,20 @@ def test_modes_of_tables_in_small_jobs(spark, sf, joins, monkeypatch, name):
 def test_near_duplicates_meet_without_a_join(spark, joins):
     last = joins.of(modes.near_duplicates(modes.flags(boards.board(spark, ROWS).posts)))
     assert last <= 2
+
+
+def test_modes_regrouped_plans_no_actions_and_small_jobs(spark, sf, monkeypatch):
+    """What modes don't read isn't planned, and what the posts are joined with is written before."""
+    monkeypatch.setattr(board, "actions", lambda *_: pytest.fail("actions were planned"))
+    sizes = []
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ")
+    for m in (modes, board, tables):
+        monkeypatch.setattr(m, "cut", lambda df, cut=m.cut: (sizes.append(size(df)), cut(df))[1])
+    out = board_queries.QUERIES["modes_regrouped"](spark, sf)
+    assert max([*sizes, size(out)]) <= 4
+
+
+def test_actions_are_planned_once_they_are_read(spark):
+    lines = [(1, "r1", "a", 1, 1, '{"type": "item.completed", "item": {"type": "command_execution", "command": "ls", "exit_code": 0, "aggregated_output": "x"}}')]
+    b = board.from_relations(*boards.relations(spark, room=[boards.message(1, "a", "hi")], lines=lines))
+    assert b.ops is b.ops and [r.command for r in b.ops.collect()] == ["ls"]
